@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,16 +126,32 @@ def _count_terms(sample: DataFrame, only: set | None, shortest: int, longest: in
     return each.groupBy("term", "start").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
 
 
-def choose(counts: dict[tuple[str, bool], tuple[int, int]], ones: int, zeros: int, chance: float = 0.01) -> dict[tuple[str, bool], float]:
+def _decorrelated(sample: DataFrame) -> DataFrame:
+    """One row for each set of near copies, roughly: rows whose five-word shingles have the same smallest hash count once.
+    Copies of one text would else make all its words look telling."""
+
+    def run(batches):
+        for b in batches:
+            keys = []
+            for text in b.column("text").to_pylist():
+                words = (text or "").lower().split()
+                runs = zip(*(words[i:] for i in range(5))) if len(words) >= 5 else [words]
+                keys.append(min(xxhash.xxh64_intdigest(" ".join(r)) for r in runs) >> 1)
+            yield pa.RecordBatch.from_arrays([b.column("text"), b.column("label"), pa.array(keys, pa.int64())], ["text", "label", "key"])
+
+    return sample.select("text", "label").mapInArrow(run, "text string, label double, key bigint").dropDuplicates(["key", "label"]).select("text", "label")
+
+
+def choose(counts: dict[tuple[str, bool], tuple[int, int]], ones: int, zeros: int, chance: float = 0.05, lift: float = 50.0) -> dict[tuple[str, bool], float]:
     """The entries that labels single out, with log-odds weights.
 
     A term must be so much more frequent in texts of label 1 that chance alone gives such a term less than once in 1 / chance vocabularies (Chernoff bound),
-    and at least 20 times likelier there. A beginning gives way to a longer one that is as frequent; what begins with a chosen beginning is covered by it."""
+    and at least lift times likelier there. A beginning gives way to a longer one that is as frequent; what begins with a chosen beginning is covered by it."""
     share, pool = ones / (ones + zeros), max(len(counts), 100_000)
 
     def stands_out(c: tuple[int, int]) -> bool:
         n, p = sum(c), c[0] / sum(c)
-        if p <= share or (c[0] / ones) < 20 * (c[1] / zeros):
+        if p <= share or (c[0] / ones) < lift * (c[1] / zeros):
             return False
         gap = p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0)
         return n * gap > math.log(pool / chance)
@@ -184,14 +201,14 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", m
     """Learns the lexicon from at most most_rows labelled rows for which use holds. Without rows of both labels, the seed
     list with equal weights is returned."""
     small_batches(docs.sparkSession)
-    sample = scratch(labelled_sample(docs, labels, label, use, most_rows), "toxic_sample")
+    sample = scratch(_decorrelated(labelled_sample(docs, labels, label, use, most_rows)), "toxic_sample")
     n, ones = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     seed = {(e, s): 4.0 for e, s in SEED}
     if not 0 < ones < n:
         return Lexicon(seed)
     ones, zeros = int(ones), int(n - ones)
     # No rarer term can stand out; so this is a bounded list, whatever the vocabulary.
-    least = max(3, math.ceil(math.log(1e7) / -math.log(ones / n)), ones // 500)
+    least = max(3, math.ceil(math.log(2e6) / -math.log(ones / n)), ones // 500)
     frequent = _count_terms(sample.filter("label = 1"), None, shortest, longest).filter(F.col("ones") >= least)
     terms = {(r.term, r.start): r.ones for r in frequent.collect()}
     against = _count_terms(sample.filter("label = 0"), set(terms), shortest, longest)
