@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from parcelflow.plans import deal_queries, function_queries, state_queries
+
+PARTS = (function_queries, deal_queries, state_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for p in PARTS for k, v in p.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for p in PARTS for k, v in p.oracle_sql().items()}
