@@ -82,7 +82,7 @@ def mix(docs: DataFrame, block: int = 128, shard_slots: int = 1024, weights: tup
     wish = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
     shares = aims.select("source", "blocks", wish.alias("wish"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
-    shares = shares.select("source", "blocks", F.sum("wish").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("high"), "wish", F.sum("wish").over(Window.partitionBy()).alias("total"))
+    shares = shares.select("source", "blocks", F.sum("wish").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("high"), "wish", F.nullif(F.sum("wish").over(Window.partitionBy()), F.lit(0.0)).alias("total"))
     n = int(round(shares.agg(F.max("total")).first()[0] or 0))
     shards = max(1, round(n / shard_slots))
     per_shard, extra = divmod(n, shards)
