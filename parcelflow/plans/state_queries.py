@@ -21,6 +21,10 @@ SQL: dict[str, str] = {}
 c = lambda n: F.col(n)
 
 
+#: Deals up to 1998 are stored; the later ones are the batch that comes in.
+OLD, NEW = "created_on < DATE '1999-01-01'", "created_on >= DATE '1999-01-01'"
+
+
 def query(*views: str, sql: str | None = None, also: tuple[str, ...] = ()):
     def register(f):
         def run(spark, sf_dir):
@@ -102,10 +106,10 @@ def sink_run_stats(rows):
 
 
 
-@query("deals", sql="WITH s AS (SELECT address_norm, borough, min(units) AS units, CAST(NULL AS INT) AS sqft FROM deals WHERE deal_id % 2 = 0 GROUP BY 1, 2), b AS (SELECT address_norm, borough, arg_min(units, deal_id) FILTER (WHERE units IS NOT NULL) AS units, arg_min(sqft, deal_id) FILTER (WHERE sqft IS NOT NULL) AS sqft FROM deals WHERE deal_id % 2 = 1 GROUP BY 1, 2) SELECT coalesce(s.address_norm, b.address_norm) AS address_norm, coalesce(s.borough, b.borough) AS borough, coalesce(s.units, b.units) AS units, coalesce(s.sqft, b.sqft) AS sqft, s.address_norm IS NULL AS is_new FROM s FULL JOIN b ON s.address_norm = b.address_norm AND s.borough = b.borough")
+@query("deals", sql="WITH s AS (SELECT address_norm, borough, min(units) AS units, CAST(NULL AS INT) AS sqft FROM deals WHERE created_on < DATE '1999-01-01' GROUP BY 1, 2), b AS (SELECT address_norm, borough, arg_min(units, deal_id) FILTER (WHERE units IS NOT NULL) AS units, arg_min(sqft, deal_id) FILTER (WHERE sqft IS NOT NULL) AS sqft FROM deals WHERE created_on >= DATE '1999-01-01' GROUP BY 1, 2) SELECT coalesce(s.address_norm, b.address_norm) AS address_norm, coalesce(s.borough, b.borough) AS borough, coalesce(s.units, b.units) AS units, coalesce(s.sqft, b.sqft) AS sqft, s.address_norm IS NULL AS is_new FROM s FULL JOIN b ON s.address_norm = b.address_norm AND s.borough = b.borough")
 def upsert_properties(deals):
-    stored = deals.filter("deal_id % 2 = 0").groupBy("address_norm", "borough").agg(F.min("units").alias("units")).withColumn("sqft", F.lit(None).cast("int"))
-    batch = deals.filter("deal_id % 2 = 1").select("address_norm", "borough", "units", "sqft", c("deal_id").alias("ord"))
+    stored = deals.filter(OLD).groupBy("address_norm", "borough").agg(F.min("units").alias("units")).withColumn("sqft", F.lit(None).cast("int"))
+    batch = deals.filter(NEW).select("address_norm", "borough", "units", "sqft", c("deal_id").alias("ord"))
     return G.upsert_fill(stored, batch, ["address_norm", "borough"], ["units", "sqft"])
 
 
@@ -114,8 +118,8 @@ def upsert_entities(names, entities):
     return G.new_entities(entities, names.select(N.norm_entity(c("name")).alias("norm_name"), c("name").alias("display_name"), c("id").alias("ord")))
 
 
-BATCH = "SELECT deal_id AS ord, address_norm, sale_price, sale_date, CASE WHEN deal_id % 29 = 0 THEN 'Condo' ELSE asset_type END AS asset_type, CASE WHEN deal_id % 31 = 0 THEN 'A1' WHEN deal_id % 37 = 0 THEN 'R4' WHEN deal_id % 5 = 0 THEN NULL ELSE bldg_class END AS bldg_class, source_system, units, concat('D', deal_id % 4000) AS doc_id FROM deals WHERE deal_id % 2 = 1"
-MERGE = f"""WITH b AS ({BATCH}), s AS (SELECT *, concat('D', deal_id % 4000) AS doc_id FROM deals WHERE deal_id % 2 = 0),
+BATCH = "SELECT deal_id AS ord, address_norm, sale_price, sale_date, CASE WHEN deal_id % 29 = 0 THEN 'Condo' ELSE asset_type END AS asset_type, CASE WHEN deal_id % 31 = 0 THEN 'A1' WHEN deal_id % 37 = 0 THEN 'R4' WHEN deal_id % 5 = 0 THEN NULL ELSE bldg_class END AS bldg_class, source_system, units, concat('D', deal_id % 4000) AS doc_id FROM deals WHERE created_on >= DATE '1999-01-01'"
+MERGE = f"""WITH b AS ({BATCH}), s AS (SELECT *, concat('D', deal_id % 4000) AS doc_id FROM deals WHERE created_on < DATE '1999-01-01'),
 g AS (SELECT b.*, CASE WHEN EXISTS (SELECT 1 FROM exclusion_ledger x WHERE x.addr_norm = b.address_norm AND x.price = coalesce(b.sale_price, 0)) THEN 'rejected_excluded' WHEN asset_type = 'Condo' THEN 'rejected_banned_type' WHEN regexp_matches(bldg_class, '^(A[0-9A-Z]?|B[0-9A-Z]?|RG)$') THEN 'rejected_one_two_family' WHEN regexp_matches(bldg_class, '^R[0-9A-Z]?$') THEN 'rejected_condo_class' END AS gate FROM b),
 d AS (SELECT *, gate IS NULL AND (doc_id IN (SELECT doc_id FROM s) OR row_number() OVER (PARTITION BY doc_id, gate IS NULL ORDER BY ord) > 1) AS doc_seen FROM g),
 k AS (SELECT d.*, EXISTS (SELECT 1 FROM s WHERE s.address_norm = d.address_norm AND s.sale_price IS NOT DISTINCT FROM d.sale_price AND s.sale_date IS NOT DISTINCT FROM d.sale_date) OR row_number() OVER (PARTITION BY address_norm, sale_price, sale_date, gate IS NULL AND NOT doc_seen ORDER BY ord) > 1 AS key_seen FROM d)
@@ -124,14 +128,14 @@ SELECT ord, CASE WHEN gate IS NOT NULL THEN gate WHEN doc_seen THEN 'duplicate_d
 
 def _batch(deals):
     n = c("deal_id")
-    return deals.filter("deal_id % 2 = 1").select(
+    return deals.filter(NEW).select(
         n.alias("ord"), "address_norm", "sale_price", "sale_date", F.when(n % 29 == 0, "Condo").otherwise(c("asset_type")).alias("asset_type"),
         F.when(n % 31 == 0, "A1").when(n % 37 == 0, "R4").when(n % 5 == 0, None).otherwise(c("bldg_class")).alias("bldg_class"), "source_system", "units", F.concat(F.lit("D"), (n % 4000).cast("string")).alias("doc_id"),
     )
 
 
 def _stored(deals):
-    return deals.filter("deal_id % 2 = 0").withColumn("doc_id", F.concat(F.lit("D"), (c("deal_id") % 4000).cast("string")))
+    return deals.filter(OLD).withColumn("doc_id", F.concat(F.lit("D"), (c("deal_id") % 4000).cast("string")))
 
 
 @query("deals", "exclusion_ledger", sql=MERGE, also=("st_incremental_ingest",))
@@ -144,8 +148,8 @@ def sync_upsert_batch(deals, ledger):
     return G.merge_status(_stored(deals), _batch(deals), ledger).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-COARSE = "SELECT deal_id, property_id % 300 AS property_id, round(sale_price / 200000) AS sale_price, date_trunc('year', sale_date) AS sale_date FROM deals"
-TOLERANT = f"""WITH a AS ({COARSE}), s AS (SELECT * FROM a WHERE deal_id % 5 = 0), b AS (SELECT * FROM a WHERE deal_id % 5 <> 0),
+COARSE = "SELECT deal_id, property_id % 300 AS property_id, round(sale_price / 200000) AS sale_price, date_trunc('year', sale_date) AS sale_date, created_on FROM deals"
+TOLERANT = f"""WITH a AS ({COARSE}), s AS (SELECT * FROM a WHERE created_on < DATE '1995-01-01'), b AS (SELECT * FROM a WHERE created_on >= DATE '1995-01-01'),
 g AS (SELECT property_id, sale_price, count(*) AS n, bool_or(sale_date IS NULL) AS nul, list(sale_date) AS dates FROM s GROUP BY 1, 2),
 o AS (SELECT b.*, g.n, g.nul, g.dates, row_number() OVER w AS place, first_value(b.sale_date IS NULL) OVER w AS first_null, row_number() OVER (PARTITION BY b.property_id, b.sale_price, b.sale_date ORDER BY deal_id) AS nth FROM b LEFT JOIN g ON g.property_id IS NOT DISTINCT FROM b.property_id AND g.sale_price IS NOT DISTINCT FROM b.sale_price WINDOW w AS (PARTITION BY b.property_id, b.sale_price ORDER BY deal_id))
 SELECT deal_id AS ord, CASE WHEN CASE WHEN nul THEN false WHEN n > 0 THEN sale_date IS NOT NULL AND nth = 1 AND NOT list_contains(dates, sale_date) ELSE place = 1 OR (NOT first_null AND sale_date IS NOT NULL AND nth = 1) END THEN 'inserted' ELSE 'duplicate' END AS status FROM o"""
@@ -153,18 +157,18 @@ SELECT deal_id AS ord, CASE WHEN CASE WHEN nul THEN false WHEN n > 0 THEN sale_d
 
 @query("deals", sql=TOLERANT)
 def merge_deals_null_tolerant(deals):
-    a = deals.select(c("deal_id").alias("ord"), (c("property_id") % 300).alias("property_id"), F.round(c("sale_price") / 200000).alias("sale_price"), F.trunc("sale_date", "year").alias("sale_date"))
-    return G.null_tolerant_status(a.filter("ord % 5 = 0"), a.filter("ord % 5 <> 0"))
+    a = deals.select(c("deal_id").alias("ord"), (c("property_id") % 300).alias("property_id"), F.round(c("sale_price") / 200000).alias("sale_price"), F.trunc("sale_date", "year").alias("sale_date"), "created_on")
+    return G.null_tolerant_status(a.filter("created_on < DATE '1995-01-01'"), a.filter("created_on >= DATE '1995-01-01'"))
 
 
-@query("deals", sql="""WITH s AS (SELECT deal_id, concat('D', deal_id % 3000) AS doc, concat('K', deal_id % 1700) AS code, property_id, sale_price FROM deals WHERE deal_id % 4 = 0), b AS (SELECT deal_id AS ord, CASE WHEN deal_id % 3 = 0 THEN concat('D', deal_id % 3000) END AS doc, CASE WHEN deal_id % 5 = 0 THEN concat('K', deal_id % 1700) END AS code, property_id, sale_price FROM deals WHERE deal_id % 4 = 1),
+@query("deals", sql="""WITH s AS (SELECT deal_id, concat('D', deal_id % 3000) AS doc, concat('K', deal_id % 1700) AS code, property_id, sale_price FROM deals WHERE created_on < DATE '1999-01-01'), b AS (SELECT deal_id AS ord, CASE WHEN deal_id % 3 = 0 THEN concat('D', deal_id % 3000) END AS doc, CASE WHEN deal_id % 5 = 0 THEN concat('K', deal_id % 1700) END AS code, property_id, sale_price FROM deals WHERE created_on >= DATE '1999-01-01'),
 m AS (SELECT ord, 0 AS rule, s.deal_id AS matched FROM b JOIN s ON b.doc = s.doc UNION ALL SELECT ord, 1, s.deal_id FROM b JOIN s ON b.code = s.code UNION ALL SELECT ord, 2, s.deal_id FROM b JOIN s ON b.property_id = s.property_id AND b.sale_price IS NOT DISTINCT FROM s.sale_price),
 r AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY rule, matched) AS rn FROM m) SELECT b.ord, r.matched, r.rule FROM b LEFT JOIN r ON r.ord = b.ord AND rn = 1""")
 def ingest_deals_conflict(deals):
     n = c("deal_id")
     code = lambda p, m: F.concat(F.lit(p), (n % m).cast("string"))
-    stored = deals.filter("deal_id % 4 = 0").select("deal_id", code("D", 3000).alias("doc"), code("K", 1700).alias("code"), "property_id", "sale_price")
-    batch = deals.filter("deal_id % 4 = 1").select(n.alias("ord"), F.when(n % 3 == 0, code("D", 3000)).alias("doc"), F.when(n % 5 == 0, code("K", 1700)).alias("code"), "property_id", "sale_price")
+    stored = deals.filter(OLD).select("deal_id", code("D", 3000).alias("doc"), code("K", 1700).alias("code"), "property_id", "sale_price")
+    batch = deals.filter(NEW).select(n.alias("ord"), F.when(n % 3 == 0, code("D", 3000)).alias("doc"), F.when(n % 5 == 0, code("K", 1700)).alias("code"), "property_id", "sale_price")
     return G.match_by_priority(stored, batch, [["doc"], ["code"], ["property_id", "sale_price"]], "deal_id")
 
 
@@ -176,7 +180,7 @@ def field_conflict_flag(deals, properties):
     return said.join(held, "property_id").select("deal_id", G.differing([("units", c("u0"), c("u")), ("sqft", c("q0"), c("q"))]).alias("fields")).filter("fields <> ''")
 
 
-PARTY = """WITH h AS (SELECT deal_id, role, entity_id FROM deal_parties WHERE deal_id % 3 = 0), b AS (SELECT deal_id * 4 + i AS ord, deal_id, CASE WHEN i = 2 THEN 'broker' ELSE role END AS role, CASE WHEN i = 1 THEN 'n/a' ELSE entity_id END AS name, CASE WHEN i = 3 THEN 'X9' ELSE entity_id END AS entity_id, amount_gate_passed OR i = 3 AS gate FROM deal_parties, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE role = 'buyer'),
+PARTY = """WITH h AS (SELECT deal_id, role, entity_id FROM deal_parties WHERE amount_gate_passed), b AS (SELECT deal_id * 4 + i AS ord, deal_id, CASE WHEN i = 2 THEN 'broker' ELSE role END AS role, CASE WHEN i = 1 THEN 'n/a' ELSE entity_id END AS name, CASE WHEN i = 3 THEN 'X9' ELSE entity_id END AS entity_id, amount_gate_passed OR i = 3 AS gate FROM deal_parties, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE role = 'buyer'),
 o AS (SELECT b.*, h.entity_id AS held, name <> 'n/a' AND b.role IN ('buyer', 'seller') AND gate AS ok FROM b LEFT JOIN h ON h.deal_id = b.deal_id AND h.role = b.role), f AS (SELECT *, first_value(entity_id) OVER w AS first_id, row_number() OVER w AS place FROM o WINDOW w AS (PARTITION BY deal_id, role, ok ORDER BY ord))
 SELECT ord, CASE WHEN name = 'n/a' THEN 'placeholder' WHEN role NOT IN ('buyer', 'seller') THEN 'bad_role' WHEN NOT ok THEN 'gate_failed' WHEN coalesce(held, first_id) <> entity_id THEN 'conflict' WHEN held IS NOT NULL OR place > 1 THEN 'same' ELSE 'attached' END AS status FROM f"""
 
@@ -186,7 +190,7 @@ def attach_party(parties):
     i = c("i")
     b = parties.filter("role = 'buyer'").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3))))
     b = b.select((c("deal_id") * 4 + i).alias("ord"), "deal_id", F.when(i == 2, "broker").otherwise(c("role")).alias("role"), F.when(i == 1, "n/a").otherwise(c("entity_id")).alias("name"), F.when(i == 3, "X9").otherwise(c("entity_id")).alias("entity_id"), (c("amount_gate_passed") | (i == 3)).alias("gate"))
-    return G.attach_party(parties.filter("deal_id % 3 = 0").select("deal_id", "role", "entity_id"), b)
+    return G.attach_party(parties.filter("amount_gate_passed").select("deal_id", "role", "entity_id"), b)
 
 
 @query("deals", sql="SELECT deal_id, CASE WHEN sqft IS NULL AND q IS NOT NULL THEN 'filled' WHEN abs(sqft - q) > 0.2 * sqft THEN 'flagged' ELSE 'kept' END AS sqft_status FROM (SELECT deal_id, sqft, CASE WHEN deal_id % 6 = 0 THEN 5000 WHEN deal_id % 6 = 1 THEN sqft END AS q FROM deals)")
@@ -203,10 +207,10 @@ def queue_review_once(reviews):
     return G.queue_once(reviews.filter("status = 'open'"), batch, keys)
 
 
-@query("contacts", sql="WITH b AS (SELECT contact_id AS ord, entity_id, phone, CASE WHEN contact_id % 2 = 0 THEN email END AS email FROM contacts WHERE contact_id % 4 <> 3), s AS (SELECT * FROM contacts WHERE contact_id % 5 <> 0) SELECT ord, CASE WHEN s.contact_id IS NULL THEN 'inserted' WHEN (s.phone IS NULL AND b.phone IS NOT NULL) OR (s.email IS NULL AND b.email IS NOT NULL) THEN 'filled' ELSE 'same' END AS status FROM b LEFT JOIN s ON s.entity_id = b.entity_id AND (s.phone = b.phone OR s.email = b.email) AND coalesce(s.phone = b.phone, true) AND coalesce(s.email = b.email, true)", also=("contact_import",))
+@query("contacts", sql="WITH b AS (SELECT contact_id AS ord, entity_id, phone, CASE WHEN contact_id % 2 = 0 THEN email END AS email FROM contacts), s AS (SELECT * FROM contacts WHERE confidence >= 60) SELECT ord, CASE WHEN s.contact_id IS NULL THEN 'inserted' WHEN (s.phone IS NULL AND b.phone IS NOT NULL) OR (s.email IS NULL AND b.email IS NOT NULL) THEN 'filled' ELSE 'same' END AS status FROM b LEFT JOIN s ON s.entity_id = b.entity_id AND (s.phone = b.phone OR s.email = b.email) AND coalesce(s.phone = b.phone, true) AND coalesce(s.email = b.email, true)", also=("contact_import",))
 def contact_upsert(contacts):
-    b = contacts.filter("contact_id % 4 <> 3").select(c("contact_id").alias("ord"), "entity_id", "phone", F.when(c("contact_id") % 2 == 0, c("email")).alias("email")).alias("b")
-    s = contacts.filter("contact_id % 5 <> 0").alias("s")
+    b = contacts.select(c("contact_id").alias("ord"), "entity_id", "phone", F.when(c("contact_id") % 2 == 0, c("email")).alias("email")).alias("b")
+    s = contacts.filter("confidence >= 60").alias("s")
     same = [c(f"s.{f}") == c(f"b.{f}") for f in ("phone", "email")]
     met = (c("s.entity_id") == c("b.entity_id")) & (same[0] | same[1]) & F.coalesce(same[0], F.lit(True)) & F.coalesce(same[1], F.lit(True))
     filled = (c("s.phone").isNull() & c("b.phone").isNotNull()) | (c("s.email").isNull() & c("b.email").isNotNull())
@@ -231,18 +235,18 @@ def dos_targets(entities, contacts):
     return entities.filter("mailing_address IS NULL").join(contacts.filter("source = 'registry'"), "entity_id", "left_anti").orderBy("entity_key", "entity_id").limit(100).select("entity_id")
 
 
-@query("interactions", sql="SELECT count(*) AS n FROM (SELECT DISTINCT entity_id, occurred_at, notes FROM interactions WHERE interaction_id % 2 = 1 EXCEPT SELECT entity_id, occurred_at, notes FROM interactions WHERE interaction_id % 2 = 0)")
+@query("interactions", sql="SELECT count(*) AS n FROM (SELECT DISTINCT entity_id, occurred_at, notes FROM interactions WHERE channel IN ('call', 'email') EXCEPT SELECT entity_id, occurred_at, notes FROM interactions WHERE channel NOT IN ('call', 'email'))")
 def interaction_append(interactions):
     key = ["entity_id", "occurred_at", "notes"]
-    fresh = interactions.filter("interaction_id % 2 = 1").dropDuplicates(key).join(interactions.filter("interaction_id % 2 = 0"), key, "left_anti")
+    fresh = interactions.filter("channel IN ('call', 'email')").dropDuplicates(key).join(interactions.filter("channel NOT IN ('call', 'email')"), key, "left_anti")
     return fresh.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("review_queue", sql="SELECT review_id, CASE review_id % 3 WHEN 0 THEN 'merged' WHEN 1 THEN 'dismissed' ELSE 'resolved' END AS outcome FROM review_queue WHERE status = 'open' AND review_id % 7 <> 0")
+@query("review_queue", sql="SELECT review_id, CASE review_id % 3 WHEN 0 THEN 'merged' WHEN 1 THEN 'dismissed' ELSE 'resolved' END AS outcome FROM review_queue WHERE status = 'open' AND severity = 'high'")
 def review_decisions_apply(reviews):
     n = c("review_id")
     # Two decisions on some items: the first counts.
-    decided = reviews.filter(n % 7 != 0).select(n, F.explode(F.array(F.struct(F.lit(1).alias("at"), F.when(n % 3 == 0, "confirm_merge").when(n % 3 == 1, "dismiss").otherwise("resolve").alias("act")), F.struct(F.lit(2).alias("at"), F.lit("dismiss").alias("act")))).alias("d"))
+    decided = reviews.filter("severity = 'high'").select(n, F.explode(F.array(F.struct(F.lit(1).alias("at"), F.when(n % 3 == 0, "confirm_merge").when(n % 3 == 1, "dismiss").otherwise("resolve").alias("act")), F.struct(F.lit(2).alias("at"), F.lit("dismiss").alias("act")))).alias("d"))
     first = decided.groupBy("review_id").agg(F.min_by("d.act", "d.at").alias("act"))
     names = C.lookup({"confirm_merge": "merged", "dismiss": "dismissed", "resolve": "resolved"}, c("act"))
     return reviews.filter("status = 'open'").join(first, "review_id").select("review_id", names.alias("outcome"))
@@ -299,29 +303,29 @@ def trgm_similarity(rows):
     return rows.select("upload_id", "row_num", F.round(S.similarity(c("owner"), F.lit("Customer 12")), 6).alias("sim"))
 
 
-NAMES = "SELECT DISTINCT replace(c_name, 'Customer', 'Custmer') AS name, c_custkey AS id FROM {customer} WHERE c_custkey % 20 = 0"
-NEAR = f"WITH n AS (SELECT id, {grams('name')} AS g FROM ({NAMES})), e AS (SELECT entity_id, {grams('norm_name')} AS g FROM entities), p AS (SELECT id, entity_id, CAST(len(list_intersect(n.g, e.g)) AS DOUBLE) / len(list_distinct(list_concat(n.g, e.g))) AS sim FROM n, e) SELECT id, entity_id, round(sim, 6) AS sim FROM p WHERE sim >= 0.6"
+NAMES = "SELECT DISTINCT replace(c_name, 'Customer', 'Custmer') AS name, c_custkey AS id FROM {customer}"
+NEAR = f"WITH n AS (SELECT id, {grams('name')} AS g FROM ({NAMES})), e AS (SELECT entity_id, {grams('norm_name')} AS g FROM entities), p AS (SELECT id, entity_id, CAST(len(list_intersect(n.g, e.g)) AS DOUBLE) / len(list_distinct(list_concat(n.g, e.g))) AS sim FROM n, e) SELECT id, entity_id, round(sim, 6) AS sim FROM p WHERE sim >= 0.75"
 
 
 def _misspelt(customer):
-    return customer.filter("c_custkey % 20 = 0").select(c("c_custkey").alias("id"), F.replace("c_name", F.lit("Customer"), F.lit("Custmer")).alias("name"))
+    return customer.select(c("c_custkey").alias("id"), F.replace("c_name", F.lit("Customer"), F.lit("Custmer")).alias("name"))
 
 
 @query("customer", "entities", sql=NEAR, also=("join_theta_similarity",))
 def trgm_join(customer, entities):
-    got = S.trigram_join(_misspelt(customer), entities.select("entity_id", c("norm_name").alias("name")), 0.6, "id", "entity_id")
+    got = S.trigram_join(_misspelt(customer), entities.select("entity_id", c("norm_name").alias("name")), 0.75, "id", "entity_id")
     return got.select("id", "entity_id", F.round("sim", 6).alias("sim"))
 
 
 TIERS = f"""WITH q AS (SELECT row_num AS id, upper(owner) AS name FROM upload_rows), x AS (SELECT q.id, entity_id, 'exact' AS tier, 1.0 AS sim FROM q JOIN entities e ON e.norm_name = q.name), r1 AS (SELECT * FROM q WHERE id NOT IN (SELECT id FROM x)),
 a AS (SELECT r1.id, entity_id, 'alias' AS tier, 1.0 AS sim FROM r1 JOIN entity_aliases l ON l.alias_norm = r1.name), r2 AS (SELECT id, {grams('name')} AS g FROM r1 WHERE id NOT IN (SELECT id FROM a)), e AS (SELECT entity_id, {grams('norm_name')} AS g FROM entities),
-t AS (SELECT id, entity_id, 'trigram' AS tier, CAST(len(list_intersect(r2.g, e.g)) AS DOUBLE) / len(list_distinct(list_concat(r2.g, e.g))) AS sim FROM r2, e), u AS (SELECT * FROM x UNION ALL SELECT * FROM a UNION ALL SELECT * FROM t WHERE sim >= 0.6),
+t AS (SELECT id, entity_id, 'trigram' AS tier, CAST(len(list_intersect(r2.g, e.g)) AS DOUBLE) / len(list_distinct(list_concat(r2.g, e.g))) AS sim FROM r2, e), u AS (SELECT * FROM x UNION ALL SELECT * FROM a UNION ALL SELECT * FROM t WHERE sim >= 0.75),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, entity_id) AS rank FROM u) SELECT id, entity_id, tier, round(CAST(sim AS DOUBLE), 6) AS sim, rank FROM k WHERE rank <= 5"""
 
 
 @query("upload_rows", "entities", "entity_aliases", sql=TIERS, also=("resolve_with_context", "contact_lookup_tiered"))
 def resolve_exact_alias_trgm(rows, entities, aliases):
-    got = S.resolve_tiered(rows.select(c("row_num").alias("id"), F.upper("owner").alias("name")), entities, aliases, 0.6)
+    got = S.resolve_tiered(rows.select(c("row_num").alias("id"), F.upper("owner").alias("name")), entities, aliases, 0.75)
     return got.withColumn("sim", F.round("sim", 6))
 
 
@@ -330,7 +334,7 @@ SCORED = f"WITH p AS ({NEAR}), h AS (SELECT DISTINCT entity_id FROM deal_parties
 
 @query("customer", "entities", "deal_parties", "deals", sql=SCORED)
 def resolve_scored(customer, entities, parties, deals):
-    near = S.trigram_join(_misspelt(customer), entities.select("entity_id", c("norm_name").alias("name")), 0.6, "id", "entity_id").withColumn("sim", F.round("sim", 6))
+    near = S.trigram_join(_misspelt(customer), entities.select("entity_id", c("norm_name").alias("name")), 0.75, "id", "entity_id").withColumn("sim", F.round("sim", 6))
     history = parties.join(deals, "deal_id").groupBy("entity_id").agg(F.bool_or(c("borough") == "Queens").alias("h"), F.bool_or(c("asset_type") == "Retail").alias("a"))
     j = near.join(entities.select("entity_id", "is_spv_suspect"), "entity_id").join(history, "entity_id", "left")
     bonus = c("sim") + F.when(c("h"), 0.08).otherwise(0.0) + F.when(c("a"), 0.08).otherwise(0.0) - F.when(c("is_spv_suspect"), 0.06).otherwise(0.0)
@@ -339,7 +343,7 @@ def resolve_scored(customer, entities, parties, deals):
 
 @query("upload_rows", "entities", "entity_aliases", sql=f"WITH r AS ({TIERS}), b AS (SELECT * FROM r WHERE rank = 1) SELECT u.row_num, CASE WHEN b.tier IN ('exact', 'alias') THEN b.tier WHEN b.id IS NOT NULL THEN 'review' ELSE 'new_entity' END AS outcome FROM upload_rows u LEFT JOIN b ON b.id = u.row_num")
 def upload_resolve(rows, entities, aliases):
-    best = S.resolve_tiered(rows.select(c("row_num").alias("id"), F.upper("owner").alias("name")), entities, aliases, 0.6, 1)
+    best = S.resolve_tiered(rows.select(c("row_num").alias("id"), F.upper("owner").alias("name")), entities, aliases, 0.75, 1)
     j = rows.join(best, rows.row_num == best.id, "left")
     return j.select("row_num", F.when(c("tier").isin("exact", "alias"), c("tier")).when(c("tier").isNotNull(), "review").otherwise("new_entity").alias("outcome"))
 

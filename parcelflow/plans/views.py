@@ -44,7 +44,7 @@ SELECT concat('C', CAST(c_custkey AS STRING)) AS entity_id, c_name AS display_na
   CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE concat(CAST(c_custkey AS STRING), ' Main St') END AS mailing_address, c_custkey AS entity_key FROM {customer}
 UNION ALL
 SELECT concat('S', CAST(s_suppkey AS STRING)), s_name, upper(s_name), s_suppkey % 11 = 0, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE concat(CAST(s_suppkey AS STRING), ' Main St') END, s_suppkey FROM {supplier}""",
-    "entity_aliases": "SELECT concat('C', CAST(c_custkey AS STRING)) AS entity_id, concat(c_name, ' LLC') AS alias_raw, upper(concat(c_name, ' LLC')) AS alias_norm FROM {customer} WHERE c_custkey % 5 = 0",
+    "entity_aliases": "SELECT concat('C', CAST(c_custkey AS STRING)) AS entity_id, concat(c_name, ' LLC') AS alias_raw, upper(concat(c_name, ' LLC')) AS alias_norm FROM {customer} WHERE c_nationkey < 8",
     "deal_parties": """
 SELECT deal_id, concat('C', CAST(o_custkey AS STRING)) AS entity_id, 'buyer' AS role, source_system = 'acris' AS amount_gate_passed FROM deals WHERE deal_id % 19 <> 0
 UNION ALL
@@ -55,7 +55,7 @@ SELECT c_custkey AS contact_id, concat('C', CAST(c_custkey AS STRING)) AS entity
   CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE concat('C', CAST(c_custkey AS STRING), '@Mail.Example.com') END AS email,
   CASE WHEN c_custkey % 4 = 0 THEN concat('https://www.c', CAST(c_custkey AS STRING), '.example.com/') ELSE NULL END AS website,
   c_custkey % 2 = 1 AS is_primary, 50 + c_custkey % 50 AS confidence, CASE WHEN c_custkey % 2 = 0 THEN 'csv' ELSE 'registry' END AS source
-FROM {customer} WHERE c_custkey % 3 = 0""",
+FROM {customer} WHERE c_acctbal >= 5000""",
     "interactions": """
 SELECT event_id AS interaction_id, concat('C', CAST(user_id AS STRING)) AS entity_id, ts AS occurred_at,
   CASE event_type WHEN 'click' THEN 'call' WHEN 'view' THEN 'email' WHEN 'signup' THEN 'meeting' WHEN 'purchase' THEN 'text' ELSE 'other' END AS channel, props AS notes FROM {events}""",
@@ -65,16 +65,16 @@ SELECT o_orderkey AS review_id, 'deal' AS object_type, o_orderkey AS object_id,
 FROM {orders} WHERE o_orderstatus = 'P'""",
     "source_runs": """
 SELECT CAST(ts AS DATE) AS started_on, event_type AS job, CASE WHEN count(*) % 5 = 0 THEN 'failed' WHEN count(*) % 7 = 0 THEN 'running' ELSE 'ok' END AS status, count(*) AS n FROM {events} GROUP BY CAST(ts AS DATE), event_type""",
-    "uploads": "SELECT DISTINCT c_custkey % 7 AS upload_id, CASE c_custkey % 7 WHEN 0 THEN 'staged' WHEN 1 THEN 'resolving' WHEN 2 THEN 'failed' ELSE 'imported' END AS status FROM {customer} WHERE c_custkey % 20 = 0",
+    "uploads": "SELECT DISTINCT c_custkey % 7 AS upload_id, CASE c_custkey % 7 WHEN 0 THEN 'staged' WHEN 1 THEN 'resolving' WHEN 2 THEN 'failed' ELSE 'imported' END AS status FROM {customer}",
     "upload_rows": """
 SELECT c_custkey % 7 AS upload_id, c_custkey AS row_num,
-  CASE c_custkey % 60 WHEN 0 THEN c_name WHEN 20 THEN concat(c_name, ' LLC') ELSE replace(c_name, 'Customer', 'Custmer') END AS owner,
+  CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN concat(c_name, ' LLC') ELSE replace(c_name, 'Customer', 'Custmer') END AS owner,
   CASE WHEN c_custkey % 40 = 0 THEN 'n/a' ELSE concat('(917) 555-', CAST(1000 + c_custkey % 9000 AS STRING)) END AS phone,
-  CASE c_custkey % 60 WHEN 0 THEN 'imported' WHEN 20 THEN 'imported' ELSE 'review' END AS status FROM {customer} WHERE c_custkey % 20 = 0""",
+  CASE c_custkey % 3 WHEN 2 THEN 'review' ELSE 'imported' END AS status FROM {customer}""",
     "deed_masters": """
-SELECT deal_id AS document_id, sale_price * (95 + deal_id % 10) / 100 AS document_amt, sale_date AS deal_date, CAST(deal_id % 80 AS INT) - 40 AS day_shift, address_norm, borough, property_id, o_custkey, suppkey FROM deals WHERE deal_id % 3 = 0""",
+SELECT deal_id AS document_id, sale_price * (95 + deal_id % 10) / 100 AS document_amt, sale_date AS deal_date, CAST(deal_id % 80 AS INT) - 40 AS day_shift, address_norm, borough, property_id, o_custkey, suppkey FROM deals""",
     "fetch_ledger": "SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN 'fetch_error:HTTP' ELSE 'ok' END AS disposition FROM {pages}",
-    "exclusion_ledger": "SELECT DISTINCT address_norm AS addr_norm, coalesce(sale_price, 0) AS price, 'one_two_family' AS reason FROM deals WHERE deal_id % 50 = 0",
+    "exclusion_ledger": "SELECT DISTINCT address_norm AS addr_norm, coalesce(sale_price, 0) AS price, 'one_two_family' AS reason FROM deals WHERE confidence = 7",
     "raw_names": """
 SELECT c_custkey AS id, CASE c_custkey % 12 WHEN 0 THEN concat(c_name, ' L.L.C.') WHEN 1 THEN concat('  ', c_name, '   llc ') WHEN 2 THEN concat(c_name, ' Incorporated') WHEN 3 THEN 'N/A' WHEN 4 THEN ' not  disclosed ' WHEN 5 THEN '---'
   WHEN 6 THEN concat('Lincoln ', c_mktsegment, ' Corp') WHEN 7 THEN NULL WHEN 8 THEN '   ' WHEN 9 THEN concat(CAST(c_custkey % 400 + 1 AS STRING), ' small Owner LLC') WHEN 10 THEN concat('The ', c_name) ELSE concat(c_name, ' & Sons, Inc.') END AS name FROM {customer}""",
