@@ -18,9 +18,7 @@ def plain(v):
         return None if math.isnan(v) else float(f"{v:.9g}")
     if isinstance(v, (datetime.date, datetime.datetime)):
         return str(v)
-    if isinstance(v, int):
-        return float(v)
-    return str(v)
+    return v if isinstance(v, int) else str(v)
 
 
 def bag(names, rows):
@@ -28,6 +26,10 @@ def bag(names, rows):
     return Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
+def kinds(names, rows):
+    return {(n, type(r[i]).__name__) for r in rows for i, n in enumerate(names) if r[i] is not None}
+
+
 @pytest.fixture(scope="session")
 def duck(sf_dir):
     con = duckdb.connect()
@@ -42,7 +44,9 @@ def test_same_rows(spark, duck, sf_dir, name):
     got = df.collect()
     want = duck.sql(registry.oracle_sql()[name])
     assert sorted(df.columns) == sorted(want.columns)
-    a, b = bag(df.columns, got), bag(want.columns, want.fetchall())
+    rows = want.fetchall()
+    assert kinds(df.columns, got) == kinds(want.columns, rows)
+    a, b = bag(df.columns, got), bag(want.columns, rows)
     assert a == b, f"only Spark: {list((a - b).items())[:3]}; only SQL: {list((b - a).items())[:3]}"
 
 
