@@ -50,7 +50,7 @@ def unit(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / float(1 << 53)
 
 
-def mix(docs: DataFrame, block: int = 128, shard_slots: int = 1024, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7, rows_a_bin: int = 5000, run: int = 1024):
+def mix(docs: DataFrame, block: int = 128, shard_slots: int = 1024, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7, rows_a_bin: int = 2000, run: int = 1024, slots_a_task: int = 50_000):
     """Returns (documents, slots).
 
     documents: (doc_id, source, size, source_size, target, taken): one row for each row of docs; taken is how many words
@@ -108,7 +108,9 @@ def mix(docs: DataFrame, block: int = 128, shard_slots: int = 1024, weights: tup
     counts = counts.join(by_run, here).select("c.shard", "c.source", "c.blocks", "c.count", (F.col("r.run_first") + F.col("c.in_run")).alias("first"))
     # No block more than most times: a source that is full keeps within its rounds.
     counts = counts.withColumn("last", F.least(F.col("first") + F.col("count"), F.col("blocks") * most) - 1).filter("last >= first")
-    slots = counts.select("shard", "source", "blocks", F.explode(F.sequence("first", "last")).alias("slot"))
+    # The counts are few rows that unfold to many slots: they are dealt out by the number of slots, not by their own size.
+    dealt = counts.repartition(max(1, n // slots_a_task), "source", "shard")
+    slots = dealt.select("shard", "source", "blocks", F.explode(F.sequence("first", "last")).alias("slot"))
     slots = slots.withColumn("round", F.floor(F.col("slot") / F.col("blocks")))
     # i -> (a i + c) mod blocks, a prime that doesn't divide blocks: a permutation, another one in each round.
     pick = F.pmod(F.xxhash64(F.lit(seed), "source", "round"), F.lit(len(PRIMES)))
