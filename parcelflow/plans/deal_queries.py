@@ -287,7 +287,7 @@ def win_topn_group(parties, deals):
 PAGE = "SELECT deal_id, sale_price FROM deals ORDER BY sale_price DESC NULLS LAST, deal_id LIMIT 25 OFFSET 50"
 
 
-@query("deals", sql=PAGE, also=("limit_offset_page", "sort_dynamic"))
+@query("deals", sql=PAGE)
 def win_pagination(deals):
     return R.sort_page(deals, "sale_price", ["sale_date", "sale_price"], "deal_id", page=3, per_page=25).select("deal_id", "sale_price")
 
@@ -368,7 +368,7 @@ def q_tasks(parties, entities, deals, contacts, reviews, interactions):
     return gap.unionByName(open_reviews).unionByName(follow)
 
 
-@query("pages", "fetch_ledger", sql="SELECT page_id, url FROM {pages} p WHERE NOT EXISTS (SELECT 1 FROM fetch_ledger l WHERE l.url = p.url AND disposition NOT LIKE 'fetch_error%')", also=("st_retry_errors",))
+@query("pages", "fetch_ledger", sql="SELECT page_id, url FROM {pages} p WHERE NOT EXISTS (SELECT 1 FROM fetch_ledger l WHERE l.url = p.url AND disposition NOT LIKE 'fetch_error%')")
 def set_subtract_ledger(pages, ledger):
     final = ledger.filter(~c("disposition").startswith("fetch_error"))
     return pages.join(final.select("url"), "url", "left_anti").select("page_id", "url")
@@ -476,7 +476,7 @@ def q_contact_gaps(parties, entities, deals, contacts):
     return R.rollup_parties(parties, entities, deals, "buyer").filter("n_deals >= 2").join(contacts, "entity_id", "left_anti").orderBy(c("volume").desc(), "entity_id").limit(100).select("entity_id", "n_deals", "volume")
 
 
-@query("entities", "deal_parties", "contacts", sql="SELECT e.entity_id, e.display_name, (SELECT string_agg(concat(p.role, ':', CAST(p.deal_id AS VARCHAR)), ',' ORDER BY p.role, p.deal_id) FROM deal_parties p WHERE p.entity_id = e.entity_id) AS deals, (SELECT string_agg(CAST(contact_id AS VARCHAR), ',' ORDER BY contact_id) FROM contacts k WHERE k.entity_id = e.entity_id) AS contacts FROM entities e", also=("q_entity_history",))
+@query("entities", "deal_parties", "contacts", sql="SELECT e.entity_id, e.display_name, (SELECT string_agg(concat(p.role, ':', CAST(p.deal_id AS VARCHAR)), ',' ORDER BY p.role, p.deal_id) FROM deal_parties p WHERE p.entity_id = e.entity_id) AS deals, (SELECT string_agg(CAST(contact_id AS VARCHAR), ',' ORDER BY contact_id) FROM contacts k WHERE k.entity_id = e.entity_id) AS contacts FROM entities e")
 def q_entity_detail(entities, parties, contacts):
     d = F.transform(F.array_sort(F.collect_list(F.struct("role", "deal_id"))), lambda x: F.concat_ws(":", x["role"], x["deal_id"].cast("string")))
     deals = parties.groupBy("entity_id").agg(F.array_join(d, ",").alias("deals"))
@@ -490,7 +490,7 @@ def q_last_interaction(interactions):
     return r.select("entity_id", "channel", F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss").alias("at"), "rank")
 
 
-@query("entities", "contacts", sql="SELECT e.entity_id, e.display_name, string_agg(concat(CASE WHEN is_primary THEN '*' ELSE '' END, coalesce(phone, '-')), ',' ORDER BY is_primary DESC, k.contact_id) AS contacts FROM entities e JOIN contacts k ON k.entity_id = e.entity_id WHERE e.display_name ILIKE '%0012%' GROUP BY e.entity_id, e.display_name", also=("q_contact_lookup",))
+@query("entities", "contacts", sql="SELECT e.entity_id, e.display_name, string_agg(concat(CASE WHEN is_primary THEN '*' ELSE '' END, coalesce(phone, '-')), ',' ORDER BY is_primary DESC, k.contact_id) AS contacts FROM entities e JOIN contacts k ON k.entity_id = e.entity_id WHERE e.display_name ILIKE '%0012%' GROUP BY e.entity_id, e.display_name")
 def q_contact_search(entities, contacts):
     items = F.array_sort(F.collect_list(F.struct((~c("is_primary")).alias("o"), "contact_id", F.concat(F.when(c("is_primary"), "*").otherwise(""), F.coalesce("phone", F.lit("-"))).alias("t"))))
     return entities.filter(c("display_name").ilike("%0012%")).join(contacts, "entity_id").groupBy("entity_id", "display_name").agg(F.array_join(F.transform(items, lambda x: x["t"]), ",").alias("contacts"))
@@ -549,7 +549,7 @@ def q_outreach_targets(parties, entities, deals, contacts):
 DRAFT = f"WITH {RECENT}, t AS (SELECT entity_id, string_agg(concat(address_raw, ' for $', CAST(CAST(round(sale_price) AS BIGINT) AS VARCHAR)), '; ' ORDER BY rank) AS said FROM recent WHERE sale_price IS NOT NULL GROUP BY 1) SELECT e.entity_id, concat('Hello ', e.display_name, ', we saw ', said, '.') AS draft FROM entities e JOIN t ON e.entity_id = t.entity_id"
 
 
-@query("entities", "deal_parties", "deals", sql=DRAFT, also=("q_outreach_drafts_list",))
+@query("entities", "deal_parties", "deals", sql=DRAFT)
 def q_outreach_drafts(entities, parties, deals):
     line = F.concat("address_raw", F.lit(" for $"), F.round("sale_price").cast("bigint").cast("string"))
     items = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
@@ -564,7 +564,7 @@ def q_review_list(reviews):
     return found.join(F.broadcast(n), "issue_class").select("review_id", "issue_class", "severity", "in_class")
 
 
-@query("uploads", "upload_rows", sql="SELECT u.upload_id, u.status, count(r.row_num) AS n_rows, count(*) FILTER (WHERE r.status = 'review') AS in_review, count(*) FILTER (WHERE r.status = 'imported') AS imported FROM uploads u LEFT JOIN upload_rows r ON r.upload_id = u.upload_id GROUP BY u.upload_id, u.status", also=("json_stats_object",))
+@query("uploads", "upload_rows", sql="SELECT u.upload_id, u.status, count(r.row_num) AS n_rows, count(*) FILTER (WHERE r.status = 'review') AS in_review, count(*) FILTER (WHERE r.status = 'imported') AS imported FROM uploads u LEFT JOIN upload_rows r ON r.upload_id = u.upload_id GROUP BY u.upload_id, u.status")
 def q_uploads_history(uploads, rows):
     n = rows.groupBy("upload_id").agg(F.count("row_num").alias("n_rows"), F.count_if(c("status") == "review").alias("in_review"), F.count_if(c("status") == "imported").alias("imported"))
     return uploads.join(n, "upload_id", "left").select("upload_id", "status", *[F.coalesce(k, F.lit(0)).alias(k) for k in ("n_rows", "in_review", "imported")])

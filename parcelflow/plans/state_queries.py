@@ -72,7 +72,7 @@ def scan_rolling_sales(deals, properties):
     return d.join(p, ["borough", "number"]).filter(c("address_norm").contains(c("token"))).select("deal_id", "property_id")
 
 
-@query("entities", "supplier", sql="WITH r AS (SELECT upper(s_name) AS name, s_suppkey, row_number() OVER (PARTITION BY upper(s_name) ORDER BY s_suppkey) AS rn FROM {supplier}) SELECT e.entity_id, r.s_suppkey AS registry_id FROM entities e JOIN r ON r.name = e.norm_name AND r.rn = 1", also=("registry_enrich",))
+@query("entities", "supplier", sql="WITH r AS (SELECT upper(s_name) AS name, s_suppkey, row_number() OVER (PARTITION BY upper(s_name) ORDER BY s_suppkey) AS rn FROM {supplier}) SELECT e.entity_id, r.s_suppkey AS registry_id FROM entities e JOIN r ON r.name = e.norm_name AND r.rn = 1")
 def scan_registry(entities, supplier):
     first = supplier.groupBy(F.upper("s_name").alias("norm_name")).agg(F.min("s_suppkey").alias("registry_id"))
     return entities.join(first, "norm_name").select("entity_id", "registry_id")
@@ -138,12 +138,12 @@ def _stored(deals):
     return deals.filter(OLD).withColumn("doc_id", F.concat(F.lit("D"), (c("deal_id") % 4000).cast("string")))
 
 
-@query("deals", "exclusion_ledger", sql=MERGE, also=("st_incremental_ingest",))
+@query("deals", "exclusion_ledger", sql=MERGE)
 def merge_deals(deals, ledger):
     return G.merge_status(_stored(deals), _batch(deals), ledger)
 
 
-@query("deals", "exclusion_ledger", sql=f"SELECT status, count(*) AS n FROM ({MERGE}) GROUP BY status", also=("st_batch_merge",))
+@query("deals", "exclusion_ledger", sql=f"SELECT status, count(*) AS n FROM ({MERGE}) GROUP BY status")
 def sync_upsert_batch(deals, ledger):
     return G.merge_status(_stored(deals), _batch(deals), ledger).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -185,7 +185,7 @@ o AS (SELECT b.*, h.entity_id AS held, name <> 'n/a' AND b.role IN ('buyer', 'se
 SELECT ord, CASE WHEN name = 'n/a' THEN 'placeholder' WHEN role NOT IN ('buyer', 'seller') THEN 'bad_role' WHEN NOT ok THEN 'gate_failed' WHEN coalesce(held, first_id) <> entity_id THEN 'conflict' WHEN held IS NOT NULL OR place > 1 THEN 'same' ELSE 'attached' END AS status FROM f"""
 
 
-@query("deal_parties", sql=PARTY, also=("acris_party_fill",))
+@query("deal_parties", sql=PARTY)
 def attach_party(parties):
     i = c("i")
     b = parties.filter("role = 'buyer'").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3))))
@@ -207,7 +207,7 @@ def queue_review_once(reviews):
     return G.queue_once(reviews.filter("status = 'open'"), batch, keys)
 
 
-@query("contacts", sql="WITH b AS (SELECT contact_id AS ord, entity_id, phone, CASE WHEN contact_id % 2 = 0 THEN email END AS email FROM contacts), s AS (SELECT * FROM contacts WHERE confidence >= 60) SELECT ord, CASE WHEN s.contact_id IS NULL THEN 'inserted' WHEN (s.phone IS NULL AND b.phone IS NOT NULL) OR (s.email IS NULL AND b.email IS NOT NULL) THEN 'filled' ELSE 'same' END AS status FROM b LEFT JOIN s ON s.entity_id = b.entity_id AND (s.phone = b.phone OR s.email = b.email) AND coalesce(s.phone = b.phone, true) AND coalesce(s.email = b.email, true)", also=("contact_import",))
+@query("contacts", sql="WITH b AS (SELECT contact_id AS ord, entity_id, phone, CASE WHEN contact_id % 2 = 0 THEN email END AS email FROM contacts), s AS (SELECT * FROM contacts WHERE confidence >= 60) SELECT ord, CASE WHEN s.contact_id IS NULL THEN 'inserted' WHEN (s.phone IS NULL AND b.phone IS NOT NULL) OR (s.email IS NULL AND b.email IS NOT NULL) THEN 'filled' ELSE 'same' END AS status FROM b LEFT JOIN s ON s.entity_id = b.entity_id AND (s.phone = b.phone OR s.email = b.email) AND coalesce(s.phone = b.phone, true) AND coalesce(s.email = b.email, true)")
 def contact_upsert(contacts):
     b = contacts.select(c("contact_id").alias("ord"), "entity_id", "phone", F.when(c("contact_id") % 2 == 0, c("email")).alias("email")).alias("b")
     s = contacts.filter("confidence >= 60").alias("s")
@@ -223,14 +223,14 @@ def contact_dedupe(contacts):
     return contacts.groupBy(key.alias("key")).agg(F.min("contact_id").alias("keep_id"), (F.count(F.lit(1)) - 1).alias("removed"))
 
 
-@query("raw_names", "entities", "contacts", sql="SELECT DISTINCT e.entity_id, concat('555-', CAST(n.id AS VARCHAR)) AS phone FROM (SELECT id, upper(trim(name)) AS name FROM raw_names) n JOIN entities e ON e.norm_name = replace(replace(n.name, ' L.L.C.', ''), 'THE ', '') WHERE NOT EXISTS (SELECT 1 FROM contacts k WHERE k.entity_id = e.entity_id AND k.phone IS NOT NULL)", also=("broker_contacts",))
+@query("raw_names", "entities", "contacts", sql="SELECT DISTINCT e.entity_id, concat('555-', CAST(n.id AS VARCHAR)) AS phone FROM (SELECT id, upper(trim(name)) AS name FROM raw_names) n JOIN entities e ON e.norm_name = replace(replace(n.name, ' L.L.C.', ''), 'THE ', '') WHERE NOT EXISTS (SELECT 1 FROM contacts k WHERE k.entity_id = e.entity_id AND k.phone IS NOT NULL)")
 def contact_harvest(names, entities, contacts):
     staged = names.select(F.replace(F.replace(F.upper(F.trim("name")), F.lit(" L.L.C."), F.lit("")), F.lit("THE "), F.lit("")).alias("norm_name"), F.concat(F.lit("555-"), c("id").cast("string")).alias("phone"))
     met = staged.join(entities, "norm_name").select("entity_id", "phone").dropDuplicates()
     return met.join(contacts.filter("phone IS NOT NULL"), "entity_id", "left_anti")
 
 
-@query("entities", "contacts", sql="SELECT entity_id FROM entities e WHERE mailing_address IS NULL AND NOT EXISTS (SELECT 1 FROM contacts k WHERE k.entity_id = e.entity_id AND source = 'registry') ORDER BY entity_key, entity_id LIMIT 100", also=("dos_apply",))
+@query("entities", "contacts", sql="SELECT entity_id FROM entities e WHERE mailing_address IS NULL AND NOT EXISTS (SELECT 1 FROM contacts k WHERE k.entity_id = e.entity_id AND source = 'registry') ORDER BY entity_key, entity_id LIMIT 100")
 def dos_targets(entities, contacts):
     return entities.filter("mailing_address IS NULL").join(contacts.filter("source = 'registry'"), "entity_id", "left_anti").orderBy("entity_key", "entity_id").limit(100).select("entity_id")
 
@@ -323,7 +323,7 @@ t AS (SELECT id, entity_id, 'trigram' AS tier, CAST(len(list_intersect(r2.g, e.g
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, entity_id) AS rank FROM u) SELECT id, entity_id, tier, round(CAST(sim AS DOUBLE), 6) AS sim, rank FROM k WHERE rank <= 5"""
 
 
-@query("upload_rows", "entities", "entity_aliases", sql=TIERS, also=("resolve_with_context", "contact_lookup_tiered"))
+@query("upload_rows", "entities", "entity_aliases", sql=TIERS)
 def resolve_exact_alias_trgm(rows, entities, aliases):
     got = S.resolve_tiered(rows.select(c("row_num").alias("id"), F.upper("owner").alias("name")), entities, aliases, 0.75)
     return got.withColumn("sim", F.round("sim", 6))
@@ -356,7 +356,7 @@ r AS (SELECT *, row_number() OVER w AS rn, lead(days) OVER w AS second FROM m WI
 SELECT target_id, document_id FROM r WHERE rn = 1 AND CASE WHEN coalesce(sale_price > 0, false) THEN days <= 400 ELSE second IS NULL OR days < second END"""
 
 
-@query("deals", "deed_masters", sql=DEED, also=("phase2_run", "st_late_enrichment"))
+@query("deals", "deed_masters", sql=DEED)
 def match_deed(deals, masters):
     t = deals.select(c("deal_id").alias("target_id"), c("sale_price").alias("price"), c("sale_date").alias("day"), "property_id")
     d = masters.select("document_id", c("document_amt").alias("amount"), F.date_add("deal_date", c("day_shift")).alias("deed_day"), "property_id")
@@ -410,15 +410,6 @@ def listing_ingest(deals):
 # Extraction ---------------------------------------------------------------------------------------------------------
 
 
-@query("pages", sql="SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM {pages}", also=("map_deal_page",))
-def page_titles(pages):
-    return pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
-QUERIES["map_deal_page"] = QUERIES.pop("page_titles")
-SQL["map_deal_page"] = SQL.pop("page_titles")
-
-
 @query("pages", sql="SELECT page_id, link, min(pos) AS pos FROM (SELECT page_id, unnest(l) AS link, unnest(range(0, len(l))) AS pos FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"#]+)\"', 1) AS l FROM {pages})) GROUP BY page_id, link")
 def extract_page_links(pages):
     return E.page_links(pages).select("page_id", "link", c("pos").cast("bigint").alias("pos"))
