@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Labels, intents in their order, and synonyms.
 CAPTION_LABELS = {"date": r"DATE", "address": r"ADDRESS", "market": r"MARKET", "buyer": r"BUYER", "seller": r"SELLER", "price": r"SALE\s+PRICE", "units": r"UNITS", "landlord": r"LANDLORD", "tenant": r"TENANT", "lender": r"LENDER"}
 
 
@@ -32,6 +33,7 @@ def clean_party(c: Column) -> Column:
     return F.when((text != "") & ~headline, text)
 
 
+# Fixed values.
 INTENTS = [
     ("find_similar_buyers", r"\b(best|ideal|likely|recommended|top)\b.*\bbuyer|\bbuyer\b.*\bfor\b"),
     ("buyer_leaderboard", r"\b(top|active|most active)\b.*\bbuyers?\b|\bbuyer leaderboard\b"),
@@ -71,6 +73,7 @@ def page_links(pages: DataFrame, pattern: str = r'href="([^"#]+)"') -> DataFrame
     return each.groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
 
 
+# Fixed values.
 SYNONYMS = {
     "entity_name": ["owner", "entity", "company", "buyer", "seller", "name", "llc", "borrower", "landlord"],
     "person_name": ["contact", "contact_name", "person", "principal", "rep", "broker"],
