@@ -36,7 +36,7 @@ def byte_letters() -> list[str]:
 class BacktrackingBPE:
     """encode(text) -> ids as little-endian unsigned 32-bit bytes; decode(ids) -> text."""
 
-    def __init__(self, path: str, remember: int = 400_000, pairs: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 250_000, pairs: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], byte_letters()

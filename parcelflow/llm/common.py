@@ -57,3 +57,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def fold_of(doc_id, modulus: int):
     """crc32 of the decimal text of doc_id, modulo modulus (null where doc_id is null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+
+
+#: Ids up to this number (16 bytes each in a broadcast relation, 32 MB in all) travel to the rows they drop.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, on: str = "doc_id", most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of docs whose id isn't in gone (distinct ids, already written to a table). The ids are counted: up to `most` they are
+    broadcast and the texts stay where they are; beyond, both sides are shuffled by id. The result is the same."""
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    return docs.join(gone, on, "left_anti").select(*docs.columns)

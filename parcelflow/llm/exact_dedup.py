@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import SPACE_CHARS, scratch, shared_dir
+from parcelflow.llm.common import SPACE_CHARS, scratch, shared_dir, without
 
 
 def digest(text: Column) -> Column:
@@ -33,7 +33,7 @@ class DigestIndex:
 
     def rows(self) -> DataFrame:
         """The same as plain files: both sides of a join are then dealt out anew, and a hot digest can be split."""
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.spark.table(self.name).schema).parquet(self.path)
 
     def add(self, marked: DataFrame) -> int:
         """marked (doc_id, digest, n_chars) -> appends the digests that the index lacks and returns the batch's number.
@@ -79,17 +79,23 @@ def assign(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def keep_new(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = scratch(_judged(docs, index or DigestIndex(docs.sparkSession)).filter("best").select("digest", "doc_id", "copies"), "kept")
-    columns = docs.columns
-    keyed = docs.withColumn("_digest", digest(F.col("text"))).alias("d")
-
-    def rows(k: DataFrame) -> DataFrame:
-        same = (F.col("d._digest") == k["digest"]) & F.col("d.doc_id").eqNullSafe(k["doc_id"])
-        return keyed.join(k, same, "left_semi")
-
-    out = rows(kept.filter("copies = 1")).select(*columns)
-    repeated = kept.filter("copies > 1")
+    """The rows of docs that stay, with all their columns.
+
+    What goes is decided on narrow rows. Usually no id that goes is also an id that stays, so ids alone say which rows go, and
+    the texts needn't be shuffled (see common.without); else rows are told apart by id and digest."""
+    judged = scratch(_judged(docs, index or DigestIndex(docs.sparkSession)).select("digest", "doc_id", "copies", "best"), "judged")
+    kept, gone = judged.filter("best"), judged.filter("NOT best")
+    repeated = kept.filter("copies > 1").select("digest", "doc_id")
+    twice = gone.select("doc_id").filter("doc_id IS NOT NULL").join(kept.select("doc_id"), "doc_id", "left_semi")
+    if repeated.isEmpty() and twice.isEmpty() and gone.filter("doc_id IS NULL").isEmpty():
+        return without(docs, scratch(gone.select("doc_id").distinct(), "gone"))
+    keyed = docs.withColumn("_digest", digest(F.col("text")))
+
+    def rows(k: DataFrame, how: str) -> DataFrame:
+        k = k.select(F.col("digest").alias("_k"), F.col("doc_id").alias("_id"))
+        return keyed.join(k, (F.col("_digest") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), how)
+
+    out = rows(kept.filter("copies = 1"), "left_semi")
     if not repeated.isEmpty():
-        out = out.unionByName(rows(repeated).dropDuplicates(["_digest"]).select(*columns))
-    return out
+        out = out.unionByName(rows(repeated, "left_semi").dropDuplicates(["_digest"]))
+    return out.select(*docs.columns)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import WORD, scratch
+from parcelflow.llm.common import BROADCAST_IDS, WORD, scratch
 
 #: Fixed primes below 2**31 from which a permutation's multiplier is drawn.
 PRIMES = [1299709, 15485863, 32452843, 49979687, 67867967, 86028121, 104395301, 122949823, 141650939, 160481183, 179424673, 198491317, 217645199, 236887691, 256203161, 275604541]
@@ -142,5 +142,8 @@ def mixed_documents(docs: DataFrame, seed: int = 7, **settings) -> DataFrame:
     ratio = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1.0)
     times = F.floor(ratio + unit(F.lit(seed + 2), F.col("doc_id"))).cast("int")
     plan = documents.groupBy("doc_id").agg(F.max(times).alias("_times")).filter("_times > 0").withColumnRenamed("doc_id", "_id")
+    plan = scratch(plan, "mix_plan")
+    if plan.count() <= BROADCAST_IDS:  # else texts and plan are shuffled by id
+        plan = F.broadcast(plan)
     joined = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_id")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import scratch, small_batches
+from parcelflow.llm.common import scratch, small_batches, without
 from parcelflow.llm.components import components
 
 
@@ -102,5 +102,4 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs without those that have a smaller doc_id in their group: every other row stays whole, rows with
     a null doc_id among them."""
     found = groups(docs, **settings)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, scratch(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone"))
