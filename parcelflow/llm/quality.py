@@ -122,7 +122,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column,
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality", most_rows: int = 20_000, trees: int = 12, depth: int = 3, penalty: float = 0.001) -> RuleModel:
+def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality", most_rows: int = 20_000, trees: int = 12, depth: int = 3, penalty: float = 0.0002) -> RuleModel:
     """Grows the trees and fits the weights. Without labelled rows of both kinds, the score is the share of label 1
     (one half without any)."""
     rows = scratch(with_stats_and_label(labelled_sample(docs, labels, label, use, most_rows)), "quality_sample")
@@ -130,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality",
     if not 0 < ones < n:
         p = (ones + 0.5) / (n + 1)
         return RuleModel(math.log(p / (1 - p)))
-    rows = rows.coalesce(2).withColumn("features", array_to_vector(F.array(*STATS))).cache()
+    # The bounded sample in one sorted partition: the same rows give the same trees, however they came.
+    rows = rows.repartition(1).sortWithinPartitions("label", *STATS).withColumn("features", array_to_vector(F.array(*STATS))).cache()
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=11, featureSubsetStrategy="0.5").fit(rows)
     rules = tree_rules(forest)
     if not rules:
