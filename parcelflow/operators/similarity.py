@@ -23,21 +23,24 @@ def trigram_join(left: DataFrame, right: DataFrame, least: float, left_id: str =
     """left (l_id, name), right (r_id, name) -> every pair with a similarity of at least `least`, with sim.
 
     Exact, by prefix filtering: two sets with Jaccard likeness t share a trigram among each one's rarest n - ceil(t n) + 1, so
-    only those are joined; a trigram that most names have is in few prefixes, and hot ones cost little. Pairs are then verified on their whole sets."""
+    only those are joined, and only where lengths and places let the pair reach t; a trigram that most names have is in few prefixes. Pairs are then verified on their whole sets."""
     l = left.select(F.col(left_id).alias("l"), trigrams(F.col("name")).alias("lt")).filter(F.size("lt") > 0)  # noqa: E741
     r = right.select(F.col(right_id).alias("r"), trigrams(F.col("name")).alias("rt")).filter(F.size("rt") > 0)
     each = l.select(F.explode("lt").alias("g")).unionByName(r.select(F.explode("rt").alias("g")))
     freq = each.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    least_of = lambda c: F.ceil(c - 1e-9)  # noqa: E731  a product like 0.6 * 5 may lie just above 3
 
     def prefix(df: DataFrame, key: str, grams: str) -> DataFrame:
-        n = F.size(grams)
-        ranked = df.select(key, n.alias("n"), F.explode(grams).alias("g")).join(freq, "g")
+        ranked = df.select(key, F.size(grams).alias("n"), F.explode(grams).alias("g")).join(freq, "g")
         rank = F.row_number().over(Window.partitionBy(key).orderBy("f", "g"))
-        return ranked.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(key, "g", "n")
-
-    lp, rp = prefix(l, "l", "lt").withColumnRenamed("n", "ln"), prefix(r, "r", "rt").withColumnRenamed("n", "rn")
-    sized = (F.col("ln") >= F.ceil(F.col("rn") * least)) & (F.col("rn") >= F.ceil(F.col("ln") * least))
-    pairs = lp.join(rp, "g").filter(sized).select("l", "r").distinct()
+        return ranked.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - least_of(F.col("n") * least) + 1).select(key, "g", "n", "rank")
+
+    lp = prefix(l, "l", "lt").withColumnsRenamed({"n": "ln", "rank": "lk"})
+    rp = prefix(r, "r", "rt").withColumnsRenamed({"n": "rn", "rank": "rk"})
+    sized = (F.col("ln") >= least_of(F.col("rn") * least)) & (F.col("rn") >= least_of(F.col("ln") * least))
+    # At the first trigram that two names share, what can still be shared lies behind it in both.
+    reach = 1 + F.least(F.col("ln") - F.col("lk"), F.col("rn") - F.col("rk")) >= least_of((F.col("ln") + F.col("rn")) * (least / (1 + least)))
+    pairs = lp.join(rp, "g").filter(sized & reach).select("l", "r").distinct()
     full = pairs.join(l, "l").join(r, "r")
     sim = F.size(F.array_intersect("lt", "rt")) / F.size(F.array_union("lt", "rt"))
     return full.select(F.col("l").alias(left_id), F.col("r").alias(right_id), sim.alias("sim")).filter(F.col("sim") >= least)
