@@ -427,3 +427,11 @@ def test_lexicon_matching():
 def test_crc_fold(spark):
     got = rows(spark.range(50).select("id", common.fold_of(F.col("id"), 5)))
     assert all(f == zlib.crc32(str(i).encode()) % 5 for i, f in got)
+
+
+def test_without_either_way(spark):
+    docs = documents(spark, ODD, [*range(len(ODD) - 1), None])
+    gone = spark.createDataFrame([(1,), (3,), (99,)], "doc_id bigint")
+    small, large = (common.without(docs, gone, most=n) for n in (10, 0))
+    assert small.columns == large.columns == docs.columns
+    assert sorted(rows(small), key=str) == sorted(rows(large), key=str) and small.count() == len(ODD) - 2
