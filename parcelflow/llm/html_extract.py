@@ -1,10 +1,11 @@
 """HTML main text by template deduction.
 
-A page is read as tokens: the paths of its block elements, and the texts outside its article. Over all pages of a host, tokens
+A page is read as tokens: the paths of its block elements, and the texts of its blocks. Over all pages of a host, tokens
 with the same occurrence vector (how often each page has them) form an equivalence class; classes that occur on enough of
-the host's pages and whose paths nest make up the host's template (Arasu and Garcia-Molina, 2003). Template places are slots; slots that are menus,
-headers, footers and the like, and texts that the template itself repeats, are left out, and what the remaining slots hold
-is the main text.
+the host's pages and whose paths nest make up the host's template (Arasu and Garcia-Molina, 2003). Its places are slots. The main text is what varies in
+them: texts that the template repeats go, inside an article too; an article or main element is preferred only where it holds at least half
+of what varies. Lists of element names and words leave out slots that are menus, headers, footers and the like, and decide alone on hosts
+with too few pages for a template.
 
 Vectors are never built: a token's vector is stood for by its number of pages and sums of two hashes over (page, count), which tasks pre-aggregate,
 so a host with a third of all pages costs one row a token and task.
@@ -14,12 +15,12 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.llm.common import scratch, small_batches
@@ -41,6 +42,8 @@ CLOSE_P = {"address", "article", "aside", "blockquote", "details", "div", "dl",
 #: Words of class, id and role that name what isn't main text.
 NOT_MAIN = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "comment", "comments", "disqus", "reply", "replies", "respond", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "popup", "modal", "toolbar", "pagination", "pager", "search", "widget", "complementary", "contentinfo"}
 MAIN = {"article", "main"}
+#: The columns that stand for an occurrence vector.
+VECTOR = ("n_pages", "total", "v1", "v2")
 
 
 def events(page: str) -> Iterator[tuple]:
@@ -118,83 +121,138 @@ def outside(step: str) -> bool:
     return "hidden" in words or any(part in NOT_MAIN for w in words for part in re.split(r"[-_]+", w))
 
 
-def tokens(page: str | None) -> Counter:
-    """How often the page has each token: a path, or a text outside the article (path, hash)."""
-    found: Counter = Counter()
+def blocks(page: str | None) -> Iterator[tuple[tuple[str, ...], str | None]]:
+    """(path, text) of each block with text, white space as one space, and (path, None) where an element opens, in page order."""
+    parts: list[str] = []
+    where: tuple[str, ...] = ()
+
+    def ended():
+        text = SPACES.sub(" ", "".join(parts)).strip()
+        parts.clear()
+        return [(where, text)] if text else []
+
     for kind, *rest in events(page or ""):
+        if kind == "text":
+            if parts and rest[0] != where:
+                yield from ended()
+            where = rest[0]
+            parts.append(rest[1])
+        elif kind == "break" or rest[0][-1] in RAW:
+            yield from ended()
         if kind == "open":
-            found["/".join(rest[0])] += 1
-        elif kind == "text" and not any(s.split(".")[0] in MAIN for s in rest[0]) and (text := SPACES.sub(" ", rest[1]).strip()):
-            found["/".join(rest[0]) + "=" + xxhash.xxh64_hexdigest(text)] += 1
+            yield rest[0], None
+    yield from ended()
+
+
+def text_token(path: tuple[str, ...], text: str) -> str:
+    return "/".join(path) + "=" + xxhash.xxh64_hexdigest(text)
+
+
+def prefixes(path: str) -> list[str]:
+    """The page's root (empty), each path above, and the path."""
+    steps = path.split("/") if path else []
+    return ["/".join(steps[:i]) for i in range(len(steps) + 1)]
+
+
+def tokens(page: str | None) -> dict[str, list[int]]:
+    """How often the page has each token, a path or a block's text (path=hash), and its characters: for a path, all below that no name calls boilerplate.
+    The empty token is the page."""
+    found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    if not page:
+        return found
+    found[""][0] = 1
+    for path, text in blocks(page):
+        if text is None:
+            found["/".join(path)][0] += 1
+            continue
+        size = 0 if any(map(outside, path)) else len(text)
+        s = found[text_token(path, text)]
+        s[0] += 1
+        s[1] += size
+        if size:
+            for p in prefixes("/".join(path)):
+                found[p][1] += size
     return found
 
 
 def token_vectors(pages: DataFrame) -> DataFrame:
-    """pages (page_id, host, html) -> (host, token, n_pages, total, v1, v2): v1 and v2 stand for the token's occurrence vector."""
+    """pages (page_id, host, html) -> (host, token, n_pages, total, v1, v2, chars): v1 and v2 stand for the token's occurrence vector.
+
+    A text is template only if its vector is that of a path above it. Where the text occurs, so do these, so a text that differs from all of them
+    within a batch differs from them at last: what such a batch has of it is left out, and never makes it equal."""
 
     def run(batches):
         for b in batches:
-            sums: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+            sums: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
             for page_id, host, page in zip(*(b.column(c).to_pylist() for c in ("page_id", "host", "html"))):
-                for token, n in tokens(page).items():
+                for token, (n, chars) in tokens(page).items():
+                    if not n:
+                        continue
                     h = xxhash.xxh64_intdigest(f"{page_id} {n}")
                     s = sums[(host, token)]
                     s[0] += 1
                     s[1] += n
                     s[2] += h & 0x7FFFFFFF
                     s[3] += h >> 33
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(4))], ["host", "token", "n_pages", "total", "v1", "v2"])
-
-    each = pages.mapInArrow(run, "host string, token string, n_pages bigint, total bigint, v1 bigint, v2 bigint")
-    return each.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("n_pages", "total", "v1", "v2")])
+                    s[4] += chars
+            kept = [(k, v) for k, v in sums.items() if "=" not in k[1] or any((k[0], p) in sums and sums[(k[0], p)][:4] == v[:4] for p in prefixes(k[1].rpartition("=")[0]))]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in kept], pa.string()), pa.array([k[1] for k, _ in kept], pa.string()), *(pa.array([v[i] for _, v in kept], pa.int64()) for i in range(5))], ["host", "token", *VECTOR, "chars"])
+
+    each = pages.mapInArrow(run, "host string, token string, n_pages bigint, total bigint, v1 bigint, v2 bigint, chars bigint")
+    return each.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in (*VECTOR, "chars")])
+
+
+def deduce(found: dict[str, tuple], most: float = 0.5) -> tuple[list[str], list[str]]:
+    """token -> (vector, characters), of the tokens that are on enough of a host's pages -> the slots of the main text and the template's texts.
+
+    Tokens with the same vector are a class. A class keeps the paths that nest: the parent is in a kept class too; a text is kept if its class
+    has a path above it. The template's article and main elements are the slots if they hold at least `most` of what varies; if they
+    hold less, every place is a slot (the empty path). No slots: the template has no such element."""
+    classes: dict[tuple, set[str]] = defaultdict(set)
+    kept = {""}
+    for t in sorted((t for t in found if t and "=" not in t), key=lambda t: t.count("/")):
+        if t.rpartition("/")[0] in kept:
+            kept.add(t)
+    for t in kept:
+        classes[found[t][0]].add(t)
+    varies = {t: found[t][1] for t in kept}
+    texts = []
+    for t in found:
+        if "=" in t and not classes[found[t][0]].isdisjoint(above := prefixes(t.rpartition("=")[0])):
+            texts.append(t)
+            for p in above:
+                if p in varies:
+                    varies[p] -= found[t][1]
+    named = {t for t in kept if t.split("/")[-1].split(".")[0] in MAIN}
+    slots = sorted(t for t in named if named.isdisjoint(prefixes(t)[:-1]))
+    if slots and sum(varies[t] for t in slots) < most * varies[""]:
+        slots = [""]
+    return slots, sorted(texts)
 
 
 def templates(vectors: DataFrame, least_pages: int = 8, share: float = 0.5) -> DataFrame:
-    """(host, token, class): the tokens of valid classes. A class is valid if it is on at least share of the host's pages, and its paths nest: each token's
-    parent path is in a valid class too. Texts are template only on hosts of at least least_pages pages and in
-    the class of the pages' root, that is, the same once on every page."""
-    hosts = vectors.filter("token in ('html', 'body', 'html/body') or token not like '%/%'").groupBy("host").agg(F.max("n_pages").alias("pages"))
-    is_text = F.col("token").contains("=")
-    often = vectors.join(hosts, "host").filter(F.when(is_text, (F.col("n_pages") == F.col("pages")) & (F.col("total") == F.col("pages")) & (F.col("pages") >= least_pages)).otherwise(F.col("n_pages") >= share * F.col("pages")))
-    # The class's number: its vector's hash. Paths of a class that occurs on half the pages have parents that do so, so nesting needs a check of texts only.
-    often = often.withColumn("class", F.xxhash64("n_pages", "total", "v1", "v2"))
-    # A path with a quarter of the host's templates' size at most would be content; a host's template is at most 500 tokens, the most frequent ones.
-    w = Window.partitionBy("host").orderBy(F.col("n_pages").desc(), F.length("token"), "token")
-    return often.withColumn("rank", F.row_number().over(w)).filter("rank <= 500").select("host", "token", "class")
-
-
-def extract(page: str | None, template: frozenset[str] | set[str] | None) -> str:
-    """The main text: white space inside a block becomes one space, blocks are joined by an empty line. template: the
-    host's tokens; None or empty where none was found."""
-    blocks: list[tuple[tuple[str, ...], str]] = []
-    parts: list[str] = []
-    where: tuple[str, ...] = ()
-    for kind, *rest in events(page or ""):
-        if kind == "text":
-            if parts and rest[0] != where:
-                blocks.append((where, "".join(parts)))
-                parts = []
-            where = rest[0]
-            parts.append(rest[1])
-        elif kind == "break" or kind == "open" and rest[0][-1] in RAW:
-            if parts:
-                blocks.append((where, "".join(parts)))
-            parts = []
-    if parts:
-        blocks.append((where, "".join(parts)))
+    """(host, slots, tokens): the slots of the main text, and the texts that are template, of each host of at least least_pages pages. Tokens count if they are on at
+    least share of the host's pages; so a host has at most 1 / share times the tokens of its mean page, and none is cut."""
+    hosts = vectors.filter("token = ''").select("host", F.col("n_pages").alias("pages")).filter(F.col("pages") >= least_pages)
+    often = vectors.join(hosts, "host").filter(F.col("n_pages") >= share * F.col("pages"))
+    each = often.groupBy("host").agg(F.collect_list(F.struct("token", *VECTOR, "chars")).alias("found"))
+
+    def run(batches):
+        for b in batches:
+            got = [deduce({r["token"]: (tuple(r[c] for c in VECTOR), r["chars"]) for r in rows}) for rows in b.column("found").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("host"), *(pa.array([g[i] for g in got], pa.list_(pa.string())) for i in (0, 1))], ["host", "slots", "tokens"])
+
+    return each.mapInArrow(run, "host string, slots array<string>, tokens array<string>")
+
+
+def extract(page: str | None, template: frozenset[str] | set[str] | None, slots: list[str] | None = None) -> str:
+    """The main text: white space inside a block becomes one space, blocks are joined by an empty line. template and slots: the host's texts and
+    the places of its main text; None or empty where none was found. Without slots, and on pages that have no text in them, what lies in an article or main element counts,
+    or else all of the page."""
     template = template or frozenset()
-    # The article's slot, if the template has one: only what lies in it remains. A page off the template may have its own.
-    slots = {t for t in template if "=" not in t and t.split("/")[-1].split(".")[0] in MAIN}
-    kept, within = [], []
-    for path, text in blocks:
-        text = SPACES.sub(" ", text).strip()
-        if not text or any(map(outside, path)):
-            continue
-        if "/".join(path) + "=" + xxhash.xxh64_hexdigest(text) in template:
-            continue
-        inside = any("/".join(path[: i + 1]) in slots for i in range(len(path))) or any(s.split(".")[0] in MAIN for s in path)
-        (within if inside else kept).append(text)
-    return "\n\n".join(within or kept)
+    varying = [(path, text) for path, text in blocks(page) if text and not any(map(outside, path)) and text_token(path, text) not in template]
+    held = [text for path, text in varying if slots and not set(slots).isdisjoint(prefixes("/".join(path)))]
+    return "\n\n".join(held or [t for path, t in varying if any(s.split(".")[0] in MAIN for s in path)] or [t for _, t in varying])
 
 
 def main_text(pages: DataFrame, broadcast_bytes: int = 16 << 20, salts: int = 16) -> DataFrame:
@@ -203,32 +261,31 @@ def main_text(pages: DataFrame, broadcast_bytes: int = 16 << 20, salts: int = 16
     Null and empty html give an empty text; a null url, or one without ://, is a host of its own with an empty name. Repeated rows count as pages of their own.
     Extra columns are ignored; an empty table gives no rows.
 
-    Templates are at most 500 tokens a host. If all hosts' templates are within broadcast_bytes they travel with the tasks;
+    Templates are whole. If all hosts' templates are within broadcast_bytes they travel with the tasks;
     beyond, pages are joined to them by host and a salt, so that a hot host is dealt over several tasks."""
     spark = pages.sparkSession
     small_batches(spark, 200)
     kind = pages.schema["page_id"].dataType.simpleString()
     own = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
-    found = templates(token_vectors(own.select("page_id", "host", "html")))
-    by_host = scratch(found.groupBy("host").agg(F.array_sort(F.collect_list("token")).alias("tokens")), "templates")
-    size = by_host.agg(F.sum(F.length("host") + F.length(F.array_join("tokens", " ")))).first()[0] or 0
+    by_host = scratch(templates(token_vectors(own.select("page_id", "host", "html"))), "templates")
+    size = by_host.agg(F.sum(F.length("host") + F.length(F.array_join(F.concat("slots", "tokens"), " ")))).first()[0] or 0
     schema = f"page_id {kind}, url string, text string"
 
     if size <= broadcast_bytes:
-        held = {r.host: frozenset(r.tokens) for r in by_host.collect()}
+        held = {r.host: (frozenset(r.tokens), r.slots) for r in by_host.collect()}
 
         def run(batches):
             for b in batches:
-                texts = [extract(p, held.get(h)) for h, p in zip(b.column("host").to_pylist(), b.column("html").to_pylist())]
+                texts = [extract(p, *held.get(h, (None, None))) for h, p in zip(b.column("host").to_pylist(), b.column("html").to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
         return own.mapInArrow(run, schema)
 
     def run_joined(batches):
         for b in batches:
-            texts = [extract(p, frozenset(t or ())) for t, p in zip(b.column("tokens").to_pylist(), b.column("html").to_pylist())]
+            texts = [extract(p, frozenset(t or ()), s) for t, s, p in zip(*(b.column(c).to_pylist() for c in ("tokens", "slots", "html")))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     salted = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)))
     spread = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "tokens").mapInArrow(run_joined, schema)
+    return salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "tokens", "slots").mapInArrow(run_joined, schema)

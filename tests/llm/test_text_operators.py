@@ -359,6 +359,30 @@ def test_html(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_template_decides(spark):
+    """Repeated text goes from inside an article, inline markup and all; teasers in article elements don't displace the text."""
+    story = "Story {0} " + "about things {0} " * 20
+    shapes = {
+        "a": ("<html><body><article><h1>Head {0}</h1><p>" + story + "</p><p>Read <b>more</b> with us</p></article></body></html>", "Head {0}\n\n" + story.strip()),
+        "b": ("<html><body><div class='text'><p>" + story + "</p></div><div class='cards'><article>Card {0}</article></div></body></html>", story.strip() + "\n\nCard {0}"),
+    }
+    rows = [(i, f"http://{host}.example/", page.format(i)) for host, (page, _) in shapes.items() for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for size in (1 << 20, 0):
+        got = {(r.url[7], r.page_id): r.text for r in html_extract.main_text(pages, broadcast_bytes=size).collect()}
+        assert got == {(host, i): want.format(i) for host, (_, want) in shapes.items() for i in range(20)}
+
+
+def test_html_classes_nest():
+    once, twice = (9, 9, 1, 1), (9, 18, 2, 2)
+    found = {"": (once, 90), "body": (once, 90), "body/div": (once, 90), "body/x/div": (once, 80), "body/div/p": (twice, 90), "body/div/p=1": (once, 5), "body/div/p=2": ((9, 9, 5, 5), 5)}
+    assert html_extract.deduce(found) == ([], ["body/div/p=1"])
+    found |= {"body/article": (once, 60), "body/x/main": (once, 90)}
+    assert html_extract.deduce(found)[0] == ["body/article"]
+    found["body/article"] = (once, 30)
+    assert html_extract.deduce(found)[0] == [""]
+
+
 def test_html_template_text_goes(spark):
     page = "<html><body><div><p>Story number {0} about many things</p></div><div><p>All rights reserved by us</p></div></body></html>"
     pages = spark.createDataFrame([(i, "http://h.example/", page.format(i)) for i in range(30)], "page_id bigint, url string, html string")
