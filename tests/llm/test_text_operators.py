@@ -373,6 +373,13 @@ def test_html_template_decides(spark):
         assert got == {(host, i): want.format(i) for host, (_, want) in shapes.items() for i in range(20)}
 
 
+def test_html_template_is_whole(spark):
+    """A host's template may have any number of texts."""
+    page = "<html><body>" + "".join(f"<div><p>Fixed line {i}</p></div>" for i in range(600)) + "<div><p>Story {0}</p></div></body></html>"
+    pages = spark.createDataFrame([(i, "http://h.example/", page.replace("{0}", str(i))) for i in range(20)], "page_id bigint, url string, html string")
+    assert {r.text for r in html_extract.main_text(pages).collect()} == {f"Story {i}" for i in range(20)}
+
+
 def test_html_classes_nest():
     once, twice = (9, 9, 1, 1), (9, 18, 2, 2)
     found = {"": (once, 90), "body": (once, 90), "body/div": (once, 90), "body/x/div": (once, 80), "body/div/p": (twice, 90), "body/div/p=1": (once, 5), "body/div/p=2": ((9, 9, 5, 5), 5)}
