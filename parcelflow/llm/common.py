@@ -63,6 +63,17 @@ def fold_of(doc_id, modulus: int):
 BROADCAST_IDS = 2_000_000
 
 
+def row_key(*columns: str):
+    """Tells rows apart whose ids repeat or are null: whether doc_id is null, doc_id, columns, SHA-256 of the text (null counts as empty). Orders by doc_id, null last."""
+    text = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *columns, text.alias("digest"))
+
+
+def ids_tell_rows(docs: DataFrame) -> bool:
+    """Whether no doc_id is null or repeats."""
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty()
+
+
 def without(docs: DataFrame, gone: DataFrame, on: str = "doc_id", most: int = BROADCAST_IDS) -> DataFrame:
     """The rows of docs whose id isn't in gone (distinct ids, already written to a table). The ids are counted: up to `most` they are
     broadcast and the texts stay where they are; beyond, both sides are shuffled by id. The result is the same."""

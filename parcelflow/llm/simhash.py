@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import scratch, small_batches, without
+from parcelflow.llm.common import BROADCAST_IDS, ids_tell_rows, row_key, scratch, small_batches, without
 from parcelflow.llm.components import components
 
 
@@ -99,7 +99,17 @@ def groups(docs: DataFrame, words: int = 3, radius: int = 2, segments: int = 2)
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs without those that have a smaller doc_id in their group: every other row stays whole, rows with
-    a null doc_id among them."""
-    found = groups(docs, **settings)
-    return without(docs, scratch(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone"))
+    """The rows of docs without those that come after another row of their group: by doc_id, null last, then by the text's SHA-256. What stays is
+    whole. Rows that agree in doc_id and text stay together.
+
+    Where ids repeat or are null, rows are told apart by id and text."""
+    if ids_tell_rows(docs):
+        found = groups(docs, **settings)
+        return without(docs, scratch(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone"))
+    keyed = docs.withColumn("_key", row_key())
+    found = groups(keyed.select(F.col("_key").alias("doc_id"), "text"), **settings)
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.digest").alias("_digest")).distinct()
+    gone = scratch(gone, "gone")
+    if gone.count() <= BROADCAST_IDS // 4:  # longer keys than ids alone
+        gone = F.broadcast(gone)
+    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key.digest") == F.col("_digest")), "left_anti").select(*docs.columns)

@@ -251,6 +251,14 @@ def test_simhash_groups(spark):
     assert simhash.groups(documents(spark, ODD).limit(0)).count() == 0
 
 
+def test_keep_one_of_repeated_and_null_ids(spark):
+    near, other = texts_like(2)
+    docs = documents(spark, [near, near + " ", other, near, None, "", other, "lone", "lone"], [1, 5, 5, None, None, None, None, 6, 6])
+    kept = rows(simhash.keep_one(docs).select("doc_id", "text"))
+    # Beside (1, near), the row that holds the other text stays though its id goes elsewhere; rows that agree in id and text stay.
+    assert sorted(kept, key=str) == sorted([(1, near), (5, other), (6, "lone"), (6, "lone"), (None, None), (None, "")], key=str)
+
+
 # 6: URLs -------------------------------------------------------------------------------------------------------------
 
 
