@@ -82,18 +82,18 @@ def keep_new(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
     What goes is decided on narrow rows. Usually no id that goes is also an id that stays, so ids alone say which rows go, and
-    the texts needn't be shuffled (see common.without); else rows are told apart by id and digest."""
-    judged = scratch(_judged(docs, index or DigestIndex(docs.sparkSession)).select("digest", "doc_id", "copies", "best"), "judged")
+    the texts needn't be shuffled (see common.without); else rows are told apart by id, digest and length."""
+    judged = scratch(_judged(docs, index or DigestIndex(docs.sparkSession)).select("digest", "doc_id", "n_chars", "copies", "best"), "judged")
     kept, gone = judged.filter("best"), judged.filter("NOT best")
-    repeated = kept.filter("copies > 1").select("digest", "doc_id")
+    repeated = kept.filter("copies > 1").select("digest", "doc_id", "n_chars")
     twice = gone.select("doc_id").filter("doc_id IS NOT NULL").join(kept.select("doc_id"), "doc_id", "left_semi")
     if repeated.isEmpty() and twice.isEmpty() and gone.filter("doc_id IS NULL").isEmpty():
         return without(docs, scratch(gone.select("doc_id").distinct(), "gone"))
-    keyed = docs.withColumn("_digest", digest(F.col("text")))
+    keyed = docs.withColumn("_digest", digest(F.col("text"))).withColumn("_chars", F.length(F.coalesce("text", F.lit(""))))
 
     def rows(k: DataFrame, how: str) -> DataFrame:
-        k = k.select(F.col("digest").alias("_k"), F.col("doc_id").alias("_id"))
-        return keyed.join(k, (F.col("_digest") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), how)
+        k = k.select(F.col("digest").alias("_k"), F.col("n_chars").alias("_n"), F.col("doc_id").alias("_id"))
+        return keyed.join(k, (F.col("_digest") == F.col("_k")) & (F.col("_chars") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_id")), how)
 
     out = rows(kept.filter("copies = 1"), "left_semi")
     if not repeated.isEmpty():

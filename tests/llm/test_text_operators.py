@@ -184,6 +184,11 @@ def test_index_grows(spark):
     assert "Exchange" not in plan  # the bucketed side isn't shuffled
 
 
+def test_exact_of_one_id_and_other_spaces(spark):
+    docs = documents(spark, ["ab", "a b", "c", "c d", "cd", "c d", None, " "], [1, 1, 2, 3, 3, 3, None, None])
+    assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.keep_new(docs).collect()) == [(0, " "), (1, "a b"), (2, "c"), (3, "c d")]
+
+
 # 5: SimHash ----------------------------------------------------------------------------------------------------------
 
 
