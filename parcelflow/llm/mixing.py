@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelflow.llm.common import BROADCAST_IDS, WORD, scratch
+from parcelflow.llm.common import BROADCAST_IDS, WORD, ids_tell_rows, row_key, scratch
 
 #: Fixed primes below 2**31 from which a permutation's multiplier is drawn.
 PRIMES = [1299709, 15485863, 32452843, 49979687, 67867967, 86028121, 104395301, 122949823, 141650939, 160481183, 179424673, 198491317, 217645199, 236887691, 256203161, 275604541]
@@ -137,13 +137,23 @@ def mix(docs: DataFrame, block: int = 128, shard_slots: int = 1024, weights: tup
 
 def mixed_documents(docs: DataFrame, seed: int = 7, **settings) -> DataFrame:
     """docs as the mix takes them, whole: each row taken / size times on average, the fraction settled by a hash of
-    doc_id. Rows without words stay once. Columns are those of docs."""
-    documents, _ = mix(docs, seed=seed, **settings)
+    doc_id. Rows without words stay once. Columns are those of docs.
+
+    Where ids repeat or are null, rows are told apart by id, source and text, and the hash is of all three; rows that agree in these are one row,
+    taken as often as all of them."""
+    unique = ids_tell_rows(docs)
+    keyed = docs.withColumn("_key", F.col("doc_id") if unique else row_key("source"))
+    documents, _ = mix(keyed.select(F.col("_key").alias("doc_id"), "source", "text"), seed=seed, **settings)
     ratio = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1.0)
     times = F.floor(ratio + unit(F.lit(seed + 2), F.col("doc_id"))).cast("int")
-    plan = documents.groupBy("doc_id").agg(F.max(times).alias("_times")).filter("_times > 0").withColumnRenamed("doc_id", "_id")
+    plan = documents.groupBy("doc_id").agg(F.sum(times).alias("_times"), F.count(F.lit(1)).alias("_rows")).filter("_times > 0").withColumnRenamed("doc_id", "_id")
     plan = scratch(plan, "mix_plan")
-    if plan.count() <= BROADCAST_IDS:  # else texts and plan are shuffled by id
-        plan = F.broadcast(plan)
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_id")))
+    small = plan.count() <= (BROADCAST_IDS if unique else BROADCAST_IDS // 4)  # else texts and plan are shuffled by key
+
+    def met(p: DataFrame) -> DataFrame:
+        return keyed.join(F.broadcast(p) if small else p, F.col("_key").eqNullSafe(F.col("_id")))
+
+    joined = met(plan.filter("_rows = 1"))
+    if not unique and not (repeated := plan.filter("_rows > 1")).isEmpty():
+        joined = joined.unionByName(met(repeated).dropDuplicates(["_key"]))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)

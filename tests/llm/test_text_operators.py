@@ -353,6 +353,24 @@ def test_mixed_documents(spark):
     assert 0 < got.count() <= 600 and set(r[1] for r in got.collect()) <= set(texts_like(200))
 
 
+def test_mixed_documents_of_repeated_ids(spark):
+    """Rows without an id, and rows that repeat one, are taken by their own share: sources meet their targets as those of distinct ids do."""
+    texts = [f"{t} {i}" for i, t in enumerate(texts_like(400))]
+    ids = [None if i % 2 else i // 40 for i in range(400)]
+    sources = F.when(F.regexp_extract("text", r"(\d+)$", 1).cast("int") % 10 < 8, "a").otherwise("z")
+    docs = documents(spark, texts + ["same words here now 5"] * 2, ids + [3, 3]).withColumn("source", sources)
+    sizes, mixed = {}, {}
+    for r in docs.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
+    times = {}
+    for r in mixing.mixed_documents(docs, block=8).collect():
+        mixed[r.source] = mixed.get(r.source, 0) + len(r.text.split())
+        times[r.text] = times.get(r.text, 0) + 1
+    want = brute_targets(sizes)
+    assert all(abs(mixed[s] - want[s]) < 0.1 * want[s] for s in want), (mixed, want)
+    assert max(times.values()) <= 6 and len(set(times.values())) > 1
+
+
 # 9: HTML -------------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T {0}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu {0}</a></li></ul></nav><!-- x --><div class="ad">Buy {0}</div>
