@@ -211,10 +211,11 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", m
     least = max(3, math.ceil(math.log(2e6) / -math.log(ones / n)), ones // 500)
     frequent = _count_terms(sample.filter("label = 1"), None, shortest, longest).filter(F.col("ones") >= least)
     terms = {(r.term, r.start): r.ones for r in frequent.collect()}
-    against = _count_terms(sample.filter("label = 0"), set(terms), shortest, longest)
+    counted = {k: (fold(k[0]), k[1]) for k in seed}
+    against = _count_terms(sample.filter("label = 0"), set(terms) | set(counted.values()), shortest, longest)
     zero_counts = {(r.term, r.start): r.zeros for r in against.collect()}
     learned = choose({k: (v, zero_counts.get(k, 0)) for k, v in terms.items()}, ones, zeros)
-    lexicon = Lexicon({k: v for k, v in seed.items() if zero_counts.get(k, 0) <= 0.02 * zeros} | learned)
+    lexicon = Lexicon({k: v for k, v in seed.items() if zero_counts.get(counted[k], 0) <= 0.02 * zeros} | learned)
 
     def run(batches):
         for b in batches:

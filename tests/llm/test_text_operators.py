@@ -477,6 +477,14 @@ def test_toxicity(spark):
     assert toxicity.fit(docs, labels.limit(0), use).score("you idiot") > 0.3
 
 
+def test_seed_word_of_clean_texts_goes(spark):
+    docs, labels = labelled(spark)
+    clean = F.col("doc_id").isin([r.doc_id for r in labels.filter("toxic = 0").collect()])
+    docs = docs.withColumn("text", F.when(clean, F.concat("text", F.lit(" basura"))).otherwise(F.col("text")))
+    weights = toxicity.fit(docs, labels, F.lit(True)).weights
+    assert ("basura", False) not in weights and ("escoria", False) in weights and ("grumbold", False) in weights
+
+
 def test_lexicon_matching():
     lexicon = toxicity.Lexicon({("trash", False): 1.0, ("gru", True): 2.0})
     spans = lambda t: [h[:2] for h in lexicon.hits(t)]
