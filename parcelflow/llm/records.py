@@ -68,7 +68,7 @@ def open_dir(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class RecordFile:
-    """One data file with its index: len(), [i] for shuffled reads, iteration in order."""
+    """One data file with its index: len(), [i] for shuffled reads, run() for a stretch, iteration in order."""
 
     def __init__(self, uri: str, name: str):
         self.fs, base = open_dir(uri)
@@ -84,10 +84,21 @@ class RecordFile:
             f.seek(int(self.entries[i]["offset"]))
             return read_frame(f)
 
+    def ids_before(self, i: int) -> int:
+        return int(self.entries["ids"][:i].sum(dtype=np.int64))
+
+    def run(self, first: int, count: int) -> Iterator[tuple[int | None, np.ndarray]]:
+        """The records from first on, at most count, in order."""
+        if first >= len(self):
+            return
+        with self.fs.open_input_file(f"{self.path}.rec") as f:
+            f.seek(int(self.entries[first]["offset"]))
+            with pa.BufferedInputStream(f, 1 << 20) as ahead:
+                for _ in range(min(count, len(self) - first)):
+                    yield read_frame(ahead)
+
     def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        with self.fs.open_input_stream(f"{self.path}.rec", buffer_size=1 << 20) as f:
-            while (record := read_frame(f)) is not None:
-                yield record
+        return self.run(0, len(self))
 
 
 @cache
@@ -99,11 +110,14 @@ def write(docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int =
     """Encodes every text, appends end_id and writes the records in ascending doc_id order (null first; rows that repeat a doc_id by a
     hash of their text) to files part-NNNNNN.rec and .idx in the folder out; returns the folder.
 
+    doc_id must be an integer or null (other types are cast and raise an error where they can't be). A null text counts as empty: its record has the end
+    id only. Extra columns are ignored; an empty table gives no files.
+
     Texts are dealt out by ranges of doc_id once, sorted, encoded and written by the same task. manifest/ in the folder
     lists the files with their numbers of records and ids; it is written last."""
     spark = docs.sparkSession
     out = out or shared_dir(spark, "records")
-    small_batches(spark, 500)
+    small_batches(spark)
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -111,10 +125,11 @@ def write(docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int =
         fs.create_dir(base, recursive=True)
         name, mine = f"part-{part:06d}", f"_{part:06d}-{uuid.uuid4().hex}"
         enc, n_docs, n_ids, at = encoder(tokenizer), 0, 0, 0
+        end = enc.pack([end_id])
         with fs.open_output_stream(f"{base}/{mine}.rec") as data, fs.open_output_stream(f"{base}/{mine}.idx") as index:
             for b in batches:
-                for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                    ids = enc.encode(text or "") + enc.pack([end_id])
+                for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode_batch(b.column("text"))):
+                    ids += end
                     record = frame(doc_id, ids, enc.width)
                     n = len(ids) // enc.width
                     data.write(record)
@@ -135,18 +150,20 @@ def write(docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int =
     return out
 
 
-def read(spark: SparkSession, out: str) -> DataFrame:
+def read(spark: SparkSession, out: str, records_a_task: int = 10_000) -> DataFrame:
     """(name, doc_id, start, ids binary: unsigned 32-bit little-endian) of every record; start counts all ids before
-    it. A damaged record raises an error."""
+    it. A damaged record raises an error. Each task finds its stretch of a file by the index."""
     w = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     files = spark.read.parquet(f"{out}/manifest").withColumn("start", F.coalesce(F.sum("n_ids").over(w), F.lit(0)))
-    n = max(1, files.count())
+    stretches = files.withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_docs") - 1, F.lit(records_a_task).cast("bigint"))))
+    n = max(1, stretches.count())
 
     def run(batches):
         for b in batches:
-            for name, start in zip(b.column("name").to_pylist(), b.column("start").to_pylist()):
-                got, size = [], 0
-                for doc_id, ids in RecordFile(out, name):
+            for name, start, first in zip(*(b.column(c).to_pylist() for c in ("name", "start", "first"))):
+                file = RecordFile(out, name)
+                start, got, size = start + file.ids_before(first), [], 0
+                for doc_id, ids in file.run(first, records_a_task):
                     got.append((name, doc_id, start, ids.tobytes()))
                     start, size = start + len(ids), size + len(ids)
                     if size > 1 << 20:
@@ -158,4 +175,4 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     def batch(got):
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["name", "doc_id", "start", "ids"])
 
-    return files.select("name", "start").repartition(n).mapInArrow(run, "name string, doc_id bigint, start bigint, ids binary")
+    return stretches.select("name", "start", "first").repartition(n, "name", "first").mapInArrow(run, "name string, doc_id bigint, start bigint, ids binary")

@@ -7,12 +7,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from parcelflow.llm import bpe, common, components, exact_dedup, html_extract, lempel_ziv, mixing, quality, records, simhash, toxicity, urls, wordbpe
+from parcelflow.llm import bpe, common, components, exact_dedup, html_extract, lempel_ziv, mixing, quality, queries, records, simhash, toxicity, urls, wordbpe
 
 ODD = [None, "", " \t\n", "a", "one two", "Same text here again", "Same  text\nhere again ", "same text here again", "x" * 3000, "word " * 5000, "ß İ Σς é ́ \U0001f600 中文 <|endoftext|> | 12 ***"]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, digest string, size int, label double, _copy int"
@@ -69,9 +70,16 @@ def test_encode_decode_rows(spark):
 
 
 def test_word_encoder_equals_library():
-    library, mine = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), wordbpe.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), remember=50)
-    for text in fuzzed() + [t or "" for t in ODD] + texts_like(50) + ["a<|endoftext|>b <|startoftext|>"]:
-        assert np.frombuffer(mine.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["a<|endoftext|>b <|startoftext|>", "don't 's '", "word... x.,! ##a.# a1b2 Été! ÀÖ×÷ ªµº ﬁ İ", "l'été; L'ÉTÉ:", "'LL 'Re ''d"]
+    texts = fuzzed() + [t or "" for t in ODD] + texts_like(50) + odd + ["word, " * 300_000]
+    for remember, most in ((50, 1000), (500_000, 4 << 20)):
+        mine = wordbpe.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), remember=remember)
+        got = list(mine.encode_batch(pa.array(texts), most))
+        assert len(got) == len(texts)
+        for text, ids in zip(texts, got):
+            assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text[:50]
+        assert list(mine.encode_batch(pa.array([None, "a"]))) == [b"", mine.encode("a")] and list(mine.encode_batch(pa.array([], pa.string()))) == []
 
 
 def test_records_round_trip(spark):
@@ -79,7 +87,7 @@ def test_records_round_trip(spark):
     texts = ODD + texts_like(60)
     ids = [5, None, 3, 3, *range(10, 10 + len(texts) - 4)]
     out = records.write(documents(spark, texts, ids).repartition(3), public_tokenizers.path("word_bpe_49k.json"))
-    got = sorted(rows(records.read(spark, out)), key=lambda r: r[2])
+    got = sorted(rows(records.read(spark, out, records_a_task=7)), key=lambda r: r[2])
     by_id = sorted(zip(ids, texts), key=lambda x: (x[0] is not None, x[0] or 0))
     assert [r[1] for r in got] == [i for i, _ in by_id]
     at = 0
@@ -93,6 +101,8 @@ def test_records_round_trip(spark):
     whole = list(file)
     for i in order:  # shuffled reads by the index
         assert file[i][0] == whole[i][0] and (file[i][1] == whole[i][1]).all()
+    digests = sorted(rows(queries.records_digest(records.read(spark, out))), key=lambda r: r[1])
+    assert digests == [(i, start, len(data) // 4, zlib.crc32(data)) for _, i, start, data in got]
     empty = records.write(documents(spark, ODD).limit(0), public_tokenizers.path("word_bpe_49k.json"))
     assert rows(records.read(spark, empty)) == []
 
