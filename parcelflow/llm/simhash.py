@@ -7,10 +7,15 @@ segments: by the pigeonhole principle, two that differ in at most ``radius`` bit
 every fingerprint looks up the small Hamming ball of each segment, and complete distances are checked on what it meets.
 
 Only distinct fingerprints enter the search: thousands of copies are one entry, so a hot group costs one row, not pairs.
+
+keep_one() drops near copies by Jaccard likeness of five-word shingles. 64 bits are too few to tell 0.8 from less, so its fingerprints are long and cut into many
+segments, each a choice of bits, with balls of radius zero: at 0.8, where every bit differs with a chance of 0.15, a ball of radius one costs 24 more rows a
+segment for what five more segments give.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -98,18 +103,135 @@ def groups(docs: DataFrame, words: int = 3, radius: int = 2, segments: int = 2)
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# Near copies by likeness ---------------------------------------------------------------------------------------------
+
+#: Odd multipliers that join the hashes of neighbouring words, and the steps of a 64-bit mixer: fixed values.
+_GOLDEN, _MIX_1, _MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * _MIX_1
+    x = (x ^ x >> np.uint64(27)) * _MIX_2
+    return x ^ x >> np.uint64(31)
+
+
+def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's word shingles (A-Z lower-cased; the whole sequence where there are fewer words)."""
+    found = (text or "").encode().lower().split()
+    each = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    n = max(min(1, len(each)), len(each) - words + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(words, len(each))):
+        out = _mixed(out + each[i : i + n] + _GOLDEN)
+    return np.unique(out)
+
+
+def wide_simhash(text: str | None, words: int = 5, bits: int = 1024) -> bytes:
+    """A fingerprint of so many bits: of each bit, whether over half of the distinct shingles' hashes set it. Zeros for a text without words."""
+    hashes, lanes = shingle_hashes(text, words), np.arange(1, bits // 64 + 1, dtype=np.uint64) * _GOLDEN
+    votes = np.zeros(bits, np.int64)
+    for i in range(0, len(hashes), 255):  # a byte can count so many
+        part = _mixed(hashes[i : i + 255, None] ^ lanes)
+        votes += np.unpackbits(part.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(votes * 2 > len(hashes)).tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, words: int = 5, bits: int = 1024) -> DataFrame:
+    """docs (doc_id, text, ...) -> (doc_id, fp: 64 bits in each long, node: a hash of fp): one row for each row, whole texts."""
+    small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType
+
+    def run(batches):
+        for b in batches:
+            flat = np.frombuffer(b"".join(wide_simhash(t, words, bits) for t in b.column("text").to_pylist()), "<i8")
+            fps = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * (bits // 64), flat)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), fps], ["doc_id", "fp"])
+
+    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, fp array<bigint>")
+    return found.withColumn("node", F.xxhash64("fp"))
+
+
+def most_bits(likeness: float, bits: int) -> int:
+    """How many bits two sets of one size and this Jaccard likeness differ in, on average: the angle between them over pi."""
+    return round(bits * math.acos(2 * likeness / (1 + likeness)) / math.pi)
+
+
+def segment_keys(fps: DataFrame, bits: int = 1024, segments: int = 96, width: int = 24, seed: int = 5) -> DataFrame:
+    """fps (node, fp) -> (node, key long): one row for each segment, a fixed choice of width bits; the key tells the segment and its bits."""
+    rng = np.random.default_rng(seed)
+    chosen = np.stack([rng.choice(bits, width, replace=False) for _ in range(segments)])
+    weights, number = 1 << np.arange(width, dtype=np.int64), np.arange(segments, dtype=np.int64) << width
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                set_bits = np.unpackbits(part.column("fp").flatten().to_numpy().view(np.uint8).reshape(part.num_rows, -1), axis=1)
+                keys = set_bits[:, chosen].astype(np.int64) @ weights + number
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), segments)), pa.array(keys.ravel())], ["node", "key"])
+
+    return fps.select("node", "fp").mapInArrow(run, "node bigint, key bigint")
+
+
+def _within(pairs: DataFrame, fps: DataFrame, radius: int, bits: int) -> DataFrame:
+    """The pairs (u, v) whose whole fingerprints differ in at most radius bits."""
+    a, b = (fps.select(F.col("node").alias(x), F.col("fp").alias(f"{x}_fp")) for x in ("u", "v"))
+    distance = F.lit(0)
+    for i in range(bits // 64):
+        distance = distance + F.bit_count(F.col("u_fp")[i].bitwiseXOR(F.col("v_fp")[i]))
+    return pairs.join(a, "u").join(b, "v").filter(distance <= radius).select("u", "v")
+
+
+def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int = 96, width: int = 24) -> DataFrame:
+    """fps (node, fp; distinct) -> (node, root) of the nodes that are linked to another one.
+
+    Nodes that share a segment are candidates, and whole distances decide. First each node meets only the smallest one of its bucket, so a group of thousands of near
+    copies costs a row for each, not pairs. Then, in buckets of three or more that still hold several groups, nodes of different groups meet each other. So no
+    link between groups is lost that shares a segment."""
+    keys = scratch(segment_keys(fps, bits, segments, width), "segments")
+    buckets = keys.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    met = scratch(keys.join(buckets, "key"), "buckets")
+    stars = met.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
+    links = scratch(_within(stars, fps, radius, bits), "stars")
+    roots = scratch(components(links), "roots")
+    named = met.filter("members > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    several = scratch(named.join(mixed, "key"), "several")
+    a, b = several.select("key", F.col("node").alias("u"), F.col("root").alias("r")), several.select("key", F.col("node").alias("v"), F.col("root").alias("s"))
+    between = a.join(b, "key").filter("r < s").select("u", "v").distinct()
+    more = scratch(_within(between, fps, radius, bits), "between")
+    if more.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+
+
+def like_groups(docs: DataFrame, words: int = 5, likeness: float = 0.8, bits: int = 1024, segments: int = 96, width: int = 24) -> DataFrame:
+    """docs -> (doc_id, component_id): texts whose sets of word shingles have a Jaccard likeness of about `likeness` or more are linked; component_id is
+    the smallest doc_id of the group (null last).
+
+    Likeness is read from the distance of long SimHash fingerprints, to about 0.02 with 1,024 bits. Null and empty texts are alike. Extra columns are ignored; an empty table
+    gives no rows."""
+    marked = scratch(wide_fingerprints(docs, words, bits), "wide_simhash")
+    fps = scratch(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first_id")), "distinct_simhash")
+    roots = likeness_roots(fps, most_bits(likeness, bits), bits, segments, width)
+    rooted = fps.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    low = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return marked.select("doc_id", "node").join(rooted.join(low, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs without those that come after another row of their group: by doc_id, null last, then by the text's SHA-256. What stays is
-    whole. Rows that agree in doc_id and text stay together.
+    """The rows of docs without those that come after another row of their group (see like_groups): by doc_id, null last, then by the text's SHA-256. What stays is
+    whole, with all columns, whatever their names. Rows that agree in doc_id and text stay together. Null and empty texts are alike; an empty table gives no rows.
 
     Where ids repeat or are null, rows are told apart by id and text."""
     if ids_tell_rows(docs):
-        found = groups(docs, **settings)
+        found = like_groups(docs, **settings)
         return without(docs, scratch(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone"))
-    keyed = docs.withColumn("_key", row_key())
-    found = groups(keyed.select(F.col("_key").alias("doc_id"), "text"), **settings)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.digest").alias("_digest")).distinct()
+    keyed = docs.select(row_key().alias("key"), F.struct("*").alias("row"))
+    found = like_groups(keyed.select(F.col("key").alias("doc_id"), "row.text"), **settings)
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.digest").alias("digest")).distinct()
     gone = scratch(gone, "gone")
     if gone.count() <= BROADCAST_IDS // 4:  # longer keys than ids alone
         gone = F.broadcast(gone)
-    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key.digest") == F.col("_digest")), "left_anti").select(*docs.columns)
+    kept = keyed.join(gone, F.col("key.doc_id").eqNullSafe(F.col("id")) & (F.col("key.digest") == F.col("digest")), "left_anti")
+    return kept.select("row.*")

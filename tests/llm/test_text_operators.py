@@ -261,11 +261,88 @@ def test_simhash_groups(spark):
                 if (fps[i] ^ fps[j]).bit_count() <= 2:
                     group[j] = group[i] = min(group[i], group[j])
     assert {i: v[1] for i, v in got.items()} == dict(enumerate(group))
-    kept = rows(simhash.keep_one(documents(spark, texts)))
-    assert sorted(r[0] for r in kept) == sorted(set(group))
     assert simhash.groups(documents(spark, ODD).limit(0)).count() == 0
 
 
+def shingle_set(text, words=5):
+    found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(found[i : i + words]) for i in range(max(min(1, len(found)), len(found) - words + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def near_copies(n, base, seed):
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        words = base.split()
+        for _ in range(rng.randint(1, 3)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+def distinct_text(n, seed):
+    rng = random.Random(seed)
+    return " ".join(f"v{rng.randrange(5000)}" for _ in range(n))
+
+
+def test_wide_simhash_equals_brute_force():
+    for text in [t for t in ODD if t is None or len(t) < 4000] + texts_like(10) + [distinct_text(700, 1)]:
+        hashes = [int(h) for h in simhash.shingle_hashes(text)]
+        assert len(hashes) == len(shingle_set(text))
+        bits = np.unpackbits(np.frombuffer(simhash.wide_simhash(text), np.uint8))
+        for lane in range(16):
+            mixed = simhash._mixed(np.array(hashes, np.uint64) ^ np.uint64((lane + 1) * 0x9E3779B97F4A7C15 % 2**64)) if hashes else np.array([], np.uint64)
+            for byte in range(8):
+                for bit in range(8):
+                    n = sum(int(h) >> (8 * byte + 7 - bit) & 1 for h in mixed)
+                    assert bits[64 * lane + 8 * byte + bit] == (2 * n > len(hashes))
+
+
+def test_likeness_roots_lose_no_link_of_a_segment(spark):
+    """Against all pairs that share a segment and are near enough: the same groups, in a crowd of near copies of several texts and of texts between them."""
+    texts = [x for k in range(4) for x in near_copies(40, distinct_text(60, k), k)] + [distinct_text(60, 90 + k) for k in range(40)]
+    ids = range(len(texts))
+    fps = simhash.wide_fingerprints(documents(spark, texts)).select("node", "fp").distinct().cache()
+    bits = {r.node: np.unpackbits(np.array(r.fp, "<i8").view(np.uint8)) for r in fps.collect()}
+    keys = {}
+    for r in simhash.segment_keys(fps, segments=12, width=16).collect():
+        keys.setdefault(r.key, []).append(r.node)
+    parent = {n: n for n in bits}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for bucket in keys.values():
+        for i, a in enumerate(bucket):
+            for b in bucket[:i]:
+                if int((bits[a] != bits[b]).sum()) <= 90:
+                    x, y = sorted((find(a), find(b)))
+                    parent[y] = x
+    got = {r.node: r.root for r in simhash.likeness_roots(fps, 90, segments=12, width=16).collect()}
+    assert {n: got.get(n, n) for n in bits} == {n: find(n) for n in bits} and len(set(map(find, bits))) > 40 and len(list(ids)) == 200
+
+
+def test_keep_one_of_near_copies(spark):
+    texts = near_copies(150, distinct_text(300, 3), 3) + [distinct_text(300, 50 + i) for i in range(20)] + near_copies(5, distinct_text(80, 7), 7) + ["Lone short text", "lone SHORT text", None, ""]
+    docs = documents(spark, texts)
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    sets = [shingle_set(t) for t in texts]
+    for i, x in enumerate(sets):
+        near = [jaccard(x, y) for y in sets[:i]]
+        if not near or max(near) < 0.7:
+            assert i in kept, i
+        if near and max(near) > 0.88:
+            assert i not in kept, i
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns and sorted(rows(got), key=str) == sorted((r for r in rows(docs) if r[0] in kept), key=str)
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
 def test_keep_one_of_repeated_and_null_ids(spark):
     near, other = texts_like(2)
     docs = documents(spark, [near, near + " ", other, near, None, "", other, "lone", "lone"], [1, 5, 5, None, None, None, None, 6, 6])
