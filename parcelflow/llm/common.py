@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name that the driver and every executor can reach: below spark.checkpoint.dir, or, where that is
-    unset (tests on one machine), below a temporary folder of this session."""
+    unset and all runs on one machine (tests), below a temporary folder of this session. On a cluster without it: an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="parcelflow-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -79,4 +81,4 @@ def without(docs: DataFrame, gone: DataFrame, on: str = "doc_id", most: int = BR
     broadcast and the texts stay where they are; beyond, both sides are shuffled by id. The result is the same."""
     if gone.count() <= most:
         gone = F.broadcast(gone)
-    return docs.join(gone, on, "left_anti").select(*docs.columns)
+    return docs.join(gone, docs[on] == gone[on], "left_anti")

@@ -3,7 +3,10 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -185,15 +188,50 @@ def test_exact_assign(spark):
 
 def test_index_grows(spark):
     index = exact_dedup.DigestIndex(spark, buckets=4)
-    first = rows(exact_dedup.keep_new(documents(spark, ["a b", "c", "ab", None]), index))
+    first = rows(exact_dedup.keep_new(documents(spark, ["a b", "c", "ab", None]), index, "one"))
     assert sorted(r[1] or "" for r in first) == ["", "a b", "c"]
-    second = rows(exact_dedup.keep_new(documents(spark, ["d", "a  b", "d ", "d "], [9, 8, 7, 7]), index))
-    assert [r[1] for r in second] == ["d "]
-    assert index.table().count() == 4
+    for _ in range(2):  # the second time as after a failure: nothing is added twice, and the same rows stay
+        second = rows(exact_dedup.keep_new(documents(spark, ["d", "a  b", "d ", "d "], [9, 8, 7, 7]), index, "two"))
+        assert [r[1] for r in second] == ["d "]
+        assert index.table().count() == 4
     plan = index.table().select("digest").hint("merge").join(index.table(), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan  # the bucketed side isn't shuffled
 
 
+def test_index_outlives_its_session(spark, tmp_path):
+    """Another process opens the folder with other settings, finds what the first one held, and overwrites nothing."""
+    path = f"{tmp_path}/digests"
+    code = f"""
+import tempfile
+from pyspark.sql import SparkSession
+from parcelflow.llm import exact_dedup
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "3").config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
+docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id bigint, text string")
+print(exact_dedup.keep_new(docs, exact_dedup.DigestIndex(spark, {path!r}), "first").count())
+"""
+    root = Path(__file__).resolve().parents[2]
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    assert out.stdout.split() == ["3"], out.stderr
+    index = exact_dedup.DigestIndex(spark, path, buckets=7)
+    assert index.buckets == 3 and index.table().count() == 3
+    got = exact_dedup.keep_new(documents(spark, ["a", " b", "d"], [7, 8, 9]), index, "second")
+    assert [r.text for r in got.collect()] == ["d"] and index.table().count() == 4
+    assert sorted(r.keep_id for r in index.rows().collect()) == [1, 2, 3, 9]
+
+
+def test_exact_by_parts(spark):
+    """The parts by length, and so the anti-join, change nothing; extra columns keep their values, whatever their names."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "b", " ", "  "]) for _ in range(rng.randint(0, 6))) for _ in range(300)]
+    docs = documents(spark, texts).withColumnsRenamed({"fp": "row", "size": "own_digest", "label": "n.chars"})
+    got = [sorted(rows(exact_dedup.assign(docs, parts=n)), key=lambda r: r[0]) for n in (1, 2, 5)]
+    assert got[0] == got[1] == got[2]
+    kept = {r[0] for r in got[0] if r[3]}
+    for d in (docs, docs.unionByName(docs.filter("doc_id = 7"))):
+        new = exact_dedup.keep_new(d)
+        assert new.columns == docs.columns and sorted(rows(new), key=str) == sorted((r for r in rows(docs) if r[0] in kept), key=str)
+
+
 def test_exact_of_one_id_and_other_spaces(spark):
     docs = documents(spark, ["ab", "a b", "c", "c d", "cd", "c d", None, " "], [1, 1, 2, 3, 3, 3, None, None])
     assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.keep_new(docs).collect()) == [(0, " "), (1, "a b"), (2, "c"), (3, "c d")]
