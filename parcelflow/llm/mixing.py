@@ -1,10 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Each source's words, document after document, are packed into blocks of a fixed length. Output shards of a fixed number of
-slots draw how many of their slots each source gets: a multinomial draw by inverse distribution, with the shard's uniforms
-stratified (slot k of K draws from the k-th part of [0, 1)), which keeps every source's expected count and removes most of
-its noise. A source's slots, numbered over all shards, run through pseudorandom permutations of its block numbers, one for each round,
-and blocks join documents by source and block number. All draws are hashes of fixed seeds, so reruns agree.
+slots draw how many of their slots each source gets: a multinomial draw, made slot by slot with independent uniform numbers. A source's slots, numbered over all shards,
+run through pseudorandom permutations of its block numbers (a Feistel network keyed by source and round), one for each round, and blocks join documents by source and
+block number. All draws are hashes of fixed seeds, so reruns agree.
 """
 
 from __future__ import annotations
@@ -14,14 +13,11 @@ from pyspark.sql import functions as F
 
 from parcelflow.llm.common import BROADCAST_IDS, WORD, ids_tell_rows, row_key, scratch
 
-#: Fixed primes below 2**31 from which a permutation's multiplier is drawn.
-PRIMES = [1299709, 15485863, 32452843, 49979687, 67867967, 86028121, 104395301, 122949823, 141650939, 160481183, 179424673, 198491317, 217645199, 236887691, 256203161, 275604541]
-
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words between ASCII white space; null counts 0."""
+    """(doc_id, source, size, tie): words between ASCII white space, null counts 0; tie is a hash of the text, which tells apart rows whose ids repeat or are null."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    return docs.select("doc_id", "source", size.alias("size"))
+    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("tie"))
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -50,7 +46,46 @@ def unit(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / float(1 << 53)
 
 
-def mix(docs: DataFrame, block: int = 128, shard_slots: int = 1024, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7, rows_a_bin: int = 2000, run: int = 1024, slots_a_task: int = 50_000):
+def permuted(i: Column, n: Column, *key: Column) -> Column:
+    """Where a permutation of 0 .. n - 1 that the key chooses sends i.
+
+    i is a place in a grid of a x b, a and b about the root of n; four rounds shift its row by a hash of its column and the other way round, which permutes the grid. A place
+    at n or beyond, of which there are fewer than a, is sent on until it lies below n."""
+    a = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("bigint"), F.lit(1).cast("bigint"))
+    b = F.ceil(n / a).cast("bigint")
+
+    def step(x: Column) -> Column:
+        row, column = F.floor(x / b), x % b
+        for k in range(2):
+            row = (row + F.pmod(F.xxhash64(*key, F.lit(2 * k), column), a)) % a
+            column = (column + F.pmod(F.xxhash64(*key, F.lit(2 * k + 1), row), b)) % b
+        return row * b + column
+
+    once = step(i)
+    # A walk outside never meets a place twice. In a grid of up to 64 rows it ends within 64 steps; in a larger one each step ends it but with a chance below 1 / 64.
+    onward = F.aggregate(F.sequence(F.lit(1), F.lit(64)), once, lambda x, _: F.when(x < n, x).otherwise(step(x)))
+    return F.when(once < n, once).otherwise(onward)
+
+
+def draws(shares: DataFrame, n: int, shards: int, seed: int) -> DataFrame:
+    """shares (source, wish > 0), n slots dealt over shards -> (shard, source, count): how many of a shard's slots each source gets, where it gets any.
+
+    Each slot's uniform number falls into one source's stretch of [0, 1). Stretches are cut at the borders of a grid, at least as fine as there are sources, so slots
+    find theirs in an equi-join on the grid's cell."""
+    order = Window.orderBy(F.col("source").asc_nulls_last())
+    total = F.sum("wish").over(Window.partitionBy())
+    high = F.when(F.lead("wish").over(order).isNull(), F.lit(1.0)).otherwise(F.sum("wish").over(order.rowsBetween(Window.unboundedPreceding, 0)) / total)
+    spread = shares.select("source", high.alias("high"))
+    spread = scratch(spread.select("source", F.coalesce(F.lag("high").over(order), F.lit(0.0)).alias("low"), "high"), "stretches")
+    cells = max(1024, spread.count())
+    cell = F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1))))
+    stretches = spread.filter("low < high").withColumn("cell", cell)
+    slots = shares.sparkSession.range(n).select(F.floor(F.col("id") * shards / n).cast("bigint").alias("shard"), unit(F.lit(seed), F.col("id")).alias("u"))
+    met = slots.withColumn("cell", F.floor(F.col("u") * cells)).join(stretches, "cell").filter("low <= u AND u < high")
+    return met.groupBy("shard", "source").agg(F.count(F.lit(1)).alias("count"))
+
+
+def mix(docs: DataFrame, block: int = 32, shard_slots: int = 4096, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7, rows_a_bin: int = 2000, run: int = 1024, slots_a_task: int = 50_000):
     """Returns (documents, slots).
 
     documents: (doc_id, source, size, source_size, target, taken): one row for each row of docs; taken is how many words
@@ -64,41 +99,29 @@ def mix(docs: DataFrame, block: int = 128, shard_slots: int = 1024, weights: tup
     and bins are then summed. The number of bins follows the number of rows."""
     sized = scratch(sizes(docs), "sizes")
     bins = max(1, sized.count() // rows_a_bin)
-    sized = sized.withColumn("bin", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(bins)))
+    sized = sized.withColumn("bin", F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.lit(bins)))
     by_bin = sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     by_source = by_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
     aims = scratch(targets(by_source, weights, most).withColumn("blocks", F.ceil(F.col("source_size") / block).cast("bigint")), "targets")
 
     up_to = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_bin.select("source", "bin", F.coalesce(F.sum("bin_size").over(up_to), F.lit(0)).alias("bin_start"))
-    within = Window.partitionBy("source", "bin").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    row = Window.partitionBy("source", "bin").orderBy("doc_id", "size")
+    within = Window.partitionBy("source", "bin").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    row = Window.partitionBy("source", "bin").orderBy("doc_id", "size", "tie")
     numbered = sized.select("*", F.coalesce(F.sum("size").over(within), F.lit(0)).alias("in_bin"), F.row_number().over(row).alias("row"))
     s, b = numbered.alias("s"), starts.alias("b")
     same = F.col("s.source").eqNullSafe(F.col("b.source")) & (F.col("s.bin") == F.col("b.bin"))
     placed = s.join(b, same).select("s.doc_id", "s.source", "s.size", "s.bin", "s.row", (F.col("b.bin_start") + F.col("s.in_bin")).alias("start"))
 
     # A source's share of the slots: its target in blocks of its own mean length.
-    wish = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
-    shares = aims.select("source", "blocks", wish.alias("wish"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    shares = shares.select("source", "blocks", F.sum("wish").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("high"), "wish", F.nullif(F.sum("wish").over(Window.partitionBy()), F.lit(0.0)).alias("total"))
-    n = int(round(shares.agg(F.max("total")).first()[0] or 0))
+    wish = F.col("target") * F.col("blocks") / F.col("source_size")
+    shares = aims.filter("source_size > 0").select("source", wish.alias("wish"))
+    n = int(round(shares.agg(F.sum("wish")).first()[0] or 0))
     shards = max(1, round(n / shard_slots))
-    per_shard, extra = divmod(n, shards)
-
-    # Draw: slot k of a shard lands in the source whose stretch of [0, total) holds its stratified uniform. So the number of a
-    # shard's slots below a bound is known but for the one slot on the bound, which its uniform settles.
-    def below(p: Column) -> Column:
-        at = p * F.col("slots")
-        on = F.floor(at)
-        return F.when(p >= 1 - 1e-12, F.col("slots")).otherwise(on + (unit(F.lit(seed), F.col("shard"), on) < at - on).cast("bigint"))
-
-    runs = shares.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((shards - 1) // run)))).repartition("source", "run")
-    drawn = runs.withColumn("shard", F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, F.lit(shards)) - 1)))
-    drawn = drawn.withColumn("slots", F.lit(per_shard) + (F.col("shard") < extra).cast("bigint"))
-    count = below(F.least(F.col("high") / F.col("total"), F.lit(1.0))) - below(F.greatest((F.col("high") - F.col("wish")) / F.col("total"), F.lit(0.0)))
-    counts = drawn.select("source", "blocks", "run", "shard", count.alias("count")).filter("count > 0")
+    drawn = draws(shares, n, shards, seed).alias("d")
+    z = aims.alias("z")
+    counts = drawn.join(z, F.col("d.source").eqNullSafe(F.col("z.source"))).select("d.shard", "d.source", "z.blocks", "d.count", F.floor(F.col("d.shard") / run).alias("run"))
+    counts = scratch(counts, "draws")
     # Where a shard's slots begin among its source's: sums within runs of shards, then over runs.
     before = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     by_run = counts.groupBy("source", "run").agg(F.sum("count").alias("count")).select("source", "run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("run_first")).alias("r")
@@ -112,13 +135,7 @@ def mix(docs: DataFrame, block: int = 128, shard_slots: int = 1024, weights: tup
     dealt = counts.repartition(max(1, n // slots_a_task), "source", "shard")
     slots = dealt.select("shard", "source", "blocks", F.explode(F.sequence("first", "last")).alias("slot"))
     slots = slots.withColumn("round", F.floor(F.col("slot") / F.col("blocks")))
-    # i -> (a i + c) mod blocks, a prime that doesn't divide blocks: a permutation, another one in each round.
-    pick = F.pmod(F.xxhash64(F.lit(seed), "source", "round"), F.lit(len(PRIMES)))
-    primes = F.array(*[F.lit(p).cast("bigint") for p in PRIMES])
-    turned = F.concat(F.slice(primes, pick.cast("int") + 1, len(PRIMES)), F.slice(primes, 1, pick.cast("int")))
-    a = F.element_at(F.filter(turned, lambda p: F.col("blocks") % p != 0), 1)
-    shift = F.pmod(F.xxhash64(F.lit(seed + 1), "source", "round"), F.col("blocks"))
-    index = (((F.col("slot") % F.col("blocks")).cast("decimal(19,0)") * a.cast("decimal(11,0)") + shift.cast("decimal(19,0)")) % F.col("blocks").cast("decimal(19,0)")).cast("bigint")
+    index = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("source"), F.col("round"))
     slots = slots.withColumn("block", index).select("shard", "source", "slot", "round", "block")
 
     times = slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
@@ -137,23 +154,23 @@ def mix(docs: DataFrame, block: int = 128, shard_slots: int = 1024, weights: tup
 
 def mixed_documents(docs: DataFrame, seed: int = 7, **settings) -> DataFrame:
     """docs as the mix takes them, whole: each row taken / size times on average, the fraction settled by a hash of
-    doc_id. Rows without words stay once. Columns are those of docs.
+    doc_id. Rows without words, null texts among them, stay once. Columns are those of docs, whatever their names; an empty table gives no rows.
 
     Where ids repeat or are null, rows are told apart by id, source and text, and the hash is of all three; rows that agree in these are one row,
     taken as often as all of them."""
     unique = ids_tell_rows(docs)
-    keyed = docs.withColumn("_key", F.col("doc_id") if unique else row_key("source"))
-    documents, _ = mix(keyed.select(F.col("_key").alias("doc_id"), "source", "text"), seed=seed, **settings)
+    keyed = docs.select((F.col("doc_id") if unique else row_key("source")).alias("key"), F.struct("*").alias("row"))
+    documents, _ = mix(keyed.select(F.col("key").alias("doc_id"), "row.source", "row.text"), seed=seed, **settings)
     ratio = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1.0)
     times = F.floor(ratio + unit(F.lit(seed + 2), F.col("doc_id"))).cast("int")
-    plan = documents.groupBy("doc_id").agg(F.sum(times).alias("_times"), F.count(F.lit(1)).alias("_rows")).filter("_times > 0").withColumnRenamed("doc_id", "_id")
+    plan = documents.groupBy(F.col("doc_id").alias("id")).agg(F.sum(times).alias("times"), F.count(F.lit(1)).alias("rows")).filter("times > 0")
     plan = scratch(plan, "mix_plan")
     small = plan.count() <= (BROADCAST_IDS if unique else BROADCAST_IDS // 4)  # else texts and plan are shuffled by key
 
     def met(p: DataFrame) -> DataFrame:
-        return keyed.join(F.broadcast(p) if small else p, F.col("_key").eqNullSafe(F.col("_id")))
+        return keyed.join(F.broadcast(p) if small else p, F.col("key").eqNullSafe(F.col("id")))
 
-    joined = met(plan.filter("_rows = 1"))
-    if not unique and not (repeated := plan.filter("_rows > 1")).isEmpty():
-        joined = joined.unionByName(met(repeated).dropDuplicates(["_key"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    joined = met(plan.filter("rows = 1"))
+    if not unique and not (repeated := plan.filter("rows > 1")).isEmpty():
+        joined = joined.unionByName(met(repeated).dropDuplicates(["key"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

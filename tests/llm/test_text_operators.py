@@ -446,10 +446,15 @@ def test_targets(spark, sizes):
     assert got == pytest.approx(brute_targets(sizes))
 
 
-def test_mix(spark):
+def mixed_sources(spark):
     rng = random.Random(9)
     texts = [None if i % 50 == 0 else " ".join("w" for _ in range(rng.randint(0, 400))) for i in range(600)]
     docs = documents(spark, texts).withColumn("source", F.when(F.col("doc_id") < 300, "big").when(F.col("doc_id") < 310, None).otherwise(F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string"))))
+    return texts, docs
+
+
+def test_mix(spark):
+    texts, docs = mixed_sources(spark)
     documents_, slots = mixing.mix(docs, block=16, shard_slots=256, rows_a_bin=40, run=3)
     got = documents_.collect()
     assert len(got) == 600
@@ -460,22 +465,60 @@ def test_mix(spark):
         taken[r.source] = taken.get(r.source, 0) + r.taken
         target[r.source] = r.target
     assert target == pytest.approx(brute_targets(sizes))
+    n = sum(target.values()) / 16
+    for s in sizes:  # within four standard deviations of the draw, and two blocks
+        p = target[s] / sum(target.values())
+        assert abs(taken[s] - target[s]) < 16 * (4 * (n * p * (1 - p)) ** 0.5 + 2), s
+    # What is taken, once more from the slots: blocks of 16 words over a source's documents in a row, in the order of their starts.
+    held = [tuple(r) for r in slots.select("source", "round", "block").collect()]
+    assert len(held) == len(set(held))  # each round of a source takes each block once
+    times = {}
+    for source, _, block in held:
+        times[source, block] = times.get((source, block), 0) + 1
     for s in sizes:
-        assert abs(taken[s] - target[s]) < 0.04 * target[s] + 64
-    # Each round of a source takes each block once.
-    seen = [tuple(r) for r in slots.select("source", "round", "block").collect()]
-    assert len(seen) == len(set(seen))
+        assert sum(t for (source, _), t in times.items() if source == s) * 16 >= taken[s]
+        assert taken[s] == sum(t * min(16, sizes[s] - 16 * b) for (source, b), t in times.items() if source == s)
+        assert max((b for source, b in times if source == s), default=0) <= (sizes[s] - 1) // 16
     again, _ = mixing.mix(docs.repartition(7), block=16, shard_slots=256, rows_a_bin=40, run=3)
     assert sorted(rows(again), key=str) == sorted((tuple(r) for r in got), key=str)
     assert mixing.mix(docs.limit(0))[0].count() == 0
     assert {r.taken for r in mixing.mix(documents(spark, [None, ""]))[0].collect()} == {0}
 
 
+def test_permutation(spark):
+    for n in [*range(1, 40), 63, 64, 65, 100, 1000, 4097]:
+        df = spark.range(n).select(*[mixing.permuted(F.col("id"), F.lit(n).cast("bigint"), F.lit(k)).alias(f"p{k}") for k in (1, 2)])
+        got = df.collect()
+        assert sorted(r.p1 for r in got) == list(range(n)) == sorted(r.p2 for r in got), n
+        if n > 30:
+            assert sum(r.p1 == r.p2 for r in got) < n / 4 and sum(a.p1 + 1 == b.p1 for a, b in zip(got, got[1:])) < n / 4
+
+
+def test_draws_are_multinomial(spark):
+    """Counts over shards vary as independent draws do: a chi-square sum over 400 shards and 4 sources, and each source's variance."""
+    wish = {"a": 5.0, "b": 2.5, None: 2.0, "c": 0.5}
+    shards, each = 400, 100
+    got = mixing.draws(spark.createDataFrame(list(wish.items()), "source string, wish double"), shards * each, shards, 3).collect()
+    counts = {(r.shard, r.source): r["count"] for r in got}
+    total, chi = sum(wish.values()), 0.0
+    assert all(sum(counts.get((s, k), 0) for k in wish) == each for s in range(shards))
+    for k, w in wish.items():
+        p = w / total
+        x = np.array([counts.get((s, k), 0) for s in range(shards)])
+        chi += float(((x - each * p) ** 2).sum() / (each * p))
+        assert 0.75 < x.var() / (each * p * (1 - p)) < 1.3 and abs(x.mean() - each * p) < 4 * (each * p / shards) ** 0.5
+    freedom = shards * (len(wish) - 1)
+    assert abs(chi - freedom) < 5 * (2 * freedom) ** 0.5
+    many = spark.range(3000).select(F.col("id").cast("string").alias("source"), F.lit(1.0).alias("wish"))
+    assert mixing.draws(many, 20000, 5, 3).agg(F.sum("count")).first()[0] == 20000
+
+
 def test_mixed_documents(spark):
     docs = documents(spark, texts_like(200))
+    docs = docs.withColumnsRenamed({"fp": "_id", "digest": "key", "size": "row", "label": "times"})
     got = mixing.mixed_documents(docs, block=8)
     assert got.columns == docs.columns
-    assert 0 < got.count() <= 600 and set(r[1] for r in got.collect()) <= set(texts_like(200))
+    assert 0 < got.count() <= 600 and set(rows(got)) <= set(rows(docs))  # every column keeps its value
 
 
 def test_mixed_documents_of_repeated_ids(spark):
