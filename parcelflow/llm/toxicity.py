@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick.
 
-Texts are folded first: lower case, look-alike letters of other scripts and digits that stand for letters become plain
-letters, invisible characters go. Entries match whole words or beginnings of words. A hit inside an exception phrase doesn't
+Texts are folded first: lower case, accented letters, look-alike letters of other scripts and digits that stand for letters become plain
+letters (1 both i and l), invisible characters go. Entries match whole words or beginnings of words. A hit inside an exception phrase doesn't
 count. The sum of hits' weights, and that sum for each hundred words, go through a logistic curve.
 
 The lexicon is a seed list plus words and word beginnings that labelled rows single out; weights and curve come from a bounded sample of labelled rows.
@@ -12,8 +12,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -29,7 +31,9 @@ from parcelflow.llm.quality import labelled_sample
 LOOKALIKES = dict(zip("абсԁеһіјӏмпорԛѕтԝхуѵαβεηικνορτυχ", "abcdehijlmnopqstwxyvabenikvoptux"))
 DIGITS = dict(zip("0134578", "oieastb"))
 INVISIBLE = "­​‌‍⁠﻿"
-FOLD = {ord(k): v for k, v in (LOOKALIKES | DIGITS).items()} | {ord(c): None for c in INVISIBLE}
+#: Letters of Latin-1 and Latin Extended-A with an accent become the plain ones.
+ACCENTS = {c: d for c in map(chr, range(0xC0, 0x180)) if (d := unicodedata.normalize("NFD", c)[0]) != c}
+FOLD = {ord(k): v for k, v in (ACCENTS | LOOKALIKES | DIGITS).items()} | {ord(c): None for c in INVISIBLE}
 SIGNS = re.compile(r"[@$](?=\w)")
 
 #: Common insults, counted before any label is seen: (entry, matches word beginnings too).
@@ -38,7 +42,10 @@ SEED = [(w, False) for w in "idiot idiots moron morons stupid loser losers scum
 EXCEPTIONS = ["trash can", "trash bin", "trash bag", "take out the trash", "pathetic fallacy", "clown fish", "sore loser", "pond scum", "disgusting smell", "class clown", "village idiot"]
 
 
-def fold(text: str) -> str:
+def fold(text: str, one: str = "i") -> str:
+    """one: the letter that 1 stands for."""
+    if one != "i":
+        text = text.replace("1", one)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     text = text.lower().translate(FOLD)
@@ -78,9 +85,15 @@ class Lexicon:
 
     def hits(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, weight) in the folded text, without those inside an exception phrase."""
-        folded, found, excused = fold(text), [], []
         if not len(self.automaton()):
             return []
+        found = self._hits(fold(text))
+        if "1" in text:
+            found = sorted({*found, *self._hits(fold(text, "l"))})
+        return found
+
+    def _hits(self, folded: str) -> list[tuple[int, int, float]]:
+        found, excused = [], []
         for last, values in self.automaton().iter(folded):
             for size, start_only, weight in values:
                 begin, end = last - size + 1, last + 1
@@ -90,7 +103,10 @@ class Lexicon:
                     continue
                 (found if weight is not None else excused).append((begin, end, weight))
         if excused:
-            found = [h for h in found if not any(b <= h[0] and h[1] <= e for b, e, _ in excused)]
+            # Of the phrases that begin at or before a hit, the one that reaches farthest decides.
+            excused.sort(key=lambda x: x[0])
+            begins, reach = [x[0] for x in excused], list(accumulate((x[1] for x in excused), max))
+            found = [h for h in found if not (k := bisect_right(begins, h[0])) or reach[k - 1] < h[1]]
         return found
 
     def features(self, text: str | None) -> tuple[float, float]:
@@ -128,7 +144,7 @@ def _count_terms(sample: DataFrame, only: set | None, shortest: int, longest: in
 
 def _decorrelated(sample: DataFrame) -> DataFrame:
     """One row for each set of near copies, roughly: rows whose five-word shingles have the same smallest hash count once.
-    Copies of one text would else make all its words look telling."""
+    Copies of one text would else make all its words look telling. The row with the smallest doc_id counts, however the rows are dealt out."""
 
     def run(batches):
         for b in batches:
@@ -137,9 +153,11 @@ def _decorrelated(sample: DataFrame) -> DataFrame:
                 words = (text or "").lower().split()
                 runs = zip(*(words[i:] for i in range(5))) if len(words) >= 5 else [words]
                 keys.append(min(xxhash.xxh64_intdigest(" ".join(r)) for r in runs) >> 1)
-            yield pa.RecordBatch.from_arrays([b.column("text"), b.column("label"), pa.array(keys, pa.int64())], ["text", "label", "key"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), b.column("label"), pa.array(keys, pa.int64())], ["doc_id", "text", "label", "key"])
 
-    return sample.select("text", "label").mapInArrow(run, "text string, label double, key bigint").dropDuplicates(["key", "label"]).select("text", "label")
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    keyed = sample.select("doc_id", "text", "label").mapInArrow(run, f"doc_id {kind}, text string, label double, key bigint")
+    return keyed.groupBy("key", "label").agg(F.min(F.struct("doc_id", "text")).alias("row")).select("row.text", "label")
 
 
 def choose(counts: dict[tuple[str, bool], tuple[int, int]], ones: int, zeros: int, chance: float = 0.05, lift: float = 50.0) -> dict[tuple[str, bool], float]:
@@ -199,7 +217,7 @@ def _curve(features: np.ndarray, labels: np.ndarray, ridge: float = 0.05) -> tup
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", most_rows: int = 20_000, shortest: int = 4, longest: int = 12) -> Lexicon:
     """Learns the lexicon from at most most_rows labelled rows for which use holds. Without rows of both labels, the seed
-    list with equal weights is returned."""
+    list with equal weights is returned. Null texts count as empty, labels of null or of null ids are ignored, repeated labels and documents count once."""
     small_batches(docs.sparkSession)
     sample = scratch(_decorrelated(labelled_sample(docs, labels, label, use, most_rows)), "toxic_sample")
     n, ones = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
