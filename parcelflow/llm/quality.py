@@ -16,6 +16,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from parcelflow.llm.common import scratch, small_batches
 
@@ -116,15 +117,17 @@ def tree_rules(forest) -> list[Rule]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, most_rows: int) -> DataFrame:
     """docs with a column label, of at most most_rows labelled rows for which use holds, chosen by a hash of doc_id. The
-    chosen ids are few by that bound, and so are broadcast; texts aren't shuffled. A doc_id with several labels counts once, as 1 if any is 1."""
+    chosen ids are few by that bound, and so are broadcast; of the texts only the sample is shuffled. A doc_id with several labels counts once, as 1 if any is 1; with
+    several texts, the first in code point order counts."""
     chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & use).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality", most_rows: int = 20_000, trees: int = 12, depth: int = 3, penalty: float = 0.0002) -> RuleModel:
     """Grows the trees and fits the weights. Without labelled rows of both kinds, the score is the share of label 1
-    (one half without any)."""
+    (one half without any). Null texts count as empty, labels of null or of null ids are ignored; see labelled_sample for repeats."""
     rows = scratch(with_stats_and_label(labelled_sample(docs, labels, label, use, most_rows)), "quality_sample")
     n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not 0 < ones < n:
@@ -159,17 +162,15 @@ def scores(docs: DataFrame, model: RuleModel) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: RuleModel, threshold: float) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with all their columns: the rules are evaluated beside the
-    row, so nothing is shuffled."""
+    """The rows of docs whose score reaches the threshold, with all their columns, whatever their names: the rules are evaluated beside the
+    row, so nothing is shuffled. A null or empty text is scored by its zero statistics, repeated rows are judged alike; an empty table gives no rows."""
     small_batches(docs.sparkSession)
-    names = docs.columns
-    mine = [f"_{s}" for s in STATS]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    rows = docs.select(F.struct("*").alias("row"))
 
     def run(batches):
         for b in batches:
-            columns = list(zip(*map(statistics, b.column("text").to_pylist()))) or [()] * len(STATS)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.float64()) for c in columns)], [*names, *mine])
+            columns = list(zip(*map(statistics, b.column("row").field("text").to_pylist()))) or [()] * len(STATS)
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(c, pa.float64()) for c in columns)], ["row", *STATS])
 
-    beside = docs.mapInArrow(run, fields + ", " + ", ".join(f"{c} double" for c in mine))
-    return beside.filter(model.score("_") >= threshold).select(*names)
+    beside = rows.mapInArrow(run, StructType([*rows.schema, *(StructField(s, DoubleType()) for s in STATS)]))
+    return beside.filter(model.score() >= threshold).select("row.*")
