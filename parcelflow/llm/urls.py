@@ -1,7 +1,7 @@
 """URL filters: a blocked Bloom filter passes possible hits of a rule list to an exact hash join.
 
-A listed entry is a canonical URL prefix: host and path. A page's keys are its host's domain suffixes joined with the path
-prefixes that have a listed length. The filter is a table of 512-bit blocks: a key's hash names one block and eight bits in
+A listed entry is a canonical URL prefix: host and path. A page's keys are its host's listed domain suffixes joined with the path
+prefixes that have a length listed there. The filter is a table of 512-bit blocks: a key's hash names one block and eight bits in
 it. Keys whose bits are all set go on to the exact join, which removes false positives.
 """
 
@@ -53,12 +53,15 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", broadcast_
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not n:
         return parts.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())  # path lengths: bounded by the longest listed path
+    # Path prefixes are made only below listed hosts, and only of the lengths that the host's own rules have.
+    hosts = rules.groupBy(F.col("host").alias("suffix")).agg(F.collect_set(F.length("path")).alias("lengths"))
     distinct = parts.select("host", "path").distinct().filter("host <> ''")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.array_distinct(F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k)))
-    keys = distinct.withColumn("suffix", F.explode(suffixes)).withColumn("prefix", F.explode(prefixes)).withColumn("key", F.concat("suffix", "prefix"))
+    below = distinct.withColumn("suffix", F.explode(suffixes)).join(hosts, "suffix")
+    length = F.explode(F.filter("lengths", lambda k: k <= F.length("path")))
+    keys = below.select("host", "path", "suffix", length.alias("length")).withColumn("prefix", F.substring(F.col("path"), F.lit(1), F.col("length")))
+    keys = keys.select("host", "path", "suffix", "prefix", F.concat("suffix", "prefix").alias("key"))
     table, blocks = bloom(listed.select("key"), n)
     if blocks * 8 * (LANES + 1) <= broadcast_bytes:
         table = F.broadcast(table)
