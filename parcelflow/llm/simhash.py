@@ -182,27 +182,46 @@ def _within(pairs: DataFrame, fps: DataFrame, radius: int, bits: int) -> DataFra
     return pairs.join(a, "u").join(b, "v").filter(distance <= radius).select("u", "v")
 
 
-def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int = 96, width: int = 24) -> DataFrame:
+def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int = 96, width: int = 24, rounds: int = 3, few: int = 16) -> DataFrame:
     """fps (node, fp; distinct) -> (node, root) of the nodes that are linked to another one.
 
-    Nodes that share a segment are candidates, and whole distances decide. First each node meets only the smallest one of its bucket, so a group of thousands of near
-    copies costs a row for each, not pairs. Then, in buckets of three or more that still hold several groups, nodes of different groups meet each other. So no
-    link between groups is lost that shares a segment."""
+    Nodes that share a segment are candidates, and whole distances decide. First each node meets the smallest node of each of its buckets. In further rounds, in buckets that still
+    hold several groups, it meets another node, chosen by a hash of the round, if that one's group isn't its own. At last all nodes of different groups meet in
+    buckets of at most `few` nodes. So a crowd of thousands of near copies costs a row for each member, bucket and round, never pairs.
+
+    A link between two groups is missed only where its ends share none but larger buckets and neither end is met there; the other members of both groups, and each
+    one's other buckets, are as many more chances."""
     keys = scratch(segment_keys(fps, bits, segments, width), "segments")
     buckets = keys.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = scratch(keys.join(buckets, "key"), "buckets")
-    stars = met.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-    links = scratch(_within(stars, fps, radius, bits), "stars")
-    roots = scratch(components(links), "roots")
-    named = met.filter("members > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    several = scratch(named.join(mixed, "key"), "several")
-    a, b = several.select("key", F.col("node").alias("u"), F.col("root").alias("r")), several.select("key", F.col("node").alias("v"), F.col("root").alias("s"))
-    between = a.join(b, "key").filter("r < s").select("u", "v").distinct()
-    more = scratch(_within(between, fps, radius, bits), "between")
-    if more.isEmpty():
-        return roots
-    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    asked = met.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
+    roots = scratch(components(_within(asked, fps, radius, bits)), "roots")
+    left = met.filter("members > 2").select("key", "node", "members")
+
+    def joined(asked: DataFrame, name: str) -> DataFrame | None:
+        links = scratch(_within(asked, fps, radius, bits), f"links_{name}")
+        if links.isEmpty():
+            return None
+        return scratch(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)), f"roots_{name}")
+
+    def mixed(order) -> DataFrame:
+        """The buckets that hold several groups, each row with its root and the bucket's first row in that order."""
+        named = left.join(roots, "node", "left").select("key", "node", "members", F.coalesce("root", "node").alias("root"))
+        each = named.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "root")).alias("center"), F.min("root").alias("low"), F.max("root").alias("high"))
+        return named.join(each.filter("low <> high").select("key", "center"), "key")
+
+    for i in range(1, rounds + 1):
+        left = scratch(mixed(F.xxhash64("node", F.lit(i))), f"round_{i}")
+        asked = left.filter("root <> center.root").select(F.least("node", "center.node").alias("u"), F.greatest("node", "center.node").alias("v")).distinct()
+        more = joined(asked, str(i))
+        left = left.select("key", "node", "members")
+        if more is None:
+            break
+        roots = more
+    small = scratch(mixed(F.col("node")).filter(F.col("members") <= few).select("key", "node", "root"), "small")
+    a, b = small.select("key", F.col("node").alias("u"), F.col("root").alias("r")), small.select("key", F.col("node").alias("v"), F.col("root").alias("s"))
+    more = joined(a.join(b, "key").filter("r < s").select("u", "v").distinct(), "small")
+    return roots if more is None else more
 
 
 def like_groups(docs: DataFrame, words: int = 5, likeness: float = 0.8, bits: int = 1024, segments: int = 96, width: int = 24) -> DataFrame:

@@ -342,7 +342,6 @@ def test_wide_simhash_equals_brute_force():
 def test_likeness_roots_lose_no_link_of_a_segment(spark):
     """Against all pairs that share a segment and are near enough: the same groups, in a crowd of near copies of several texts and of texts between them."""
     texts = [x for k in range(4) for x in near_copies(40, distinct_text(60, k), k)] + [distinct_text(60, 90 + k) for k in range(40)]
-    ids = range(len(texts))
     fps = simhash.wide_fingerprints(documents(spark, texts)).select("node", "fp").distinct().cache()
     bits = {r.node: np.unpackbits(np.array(r.fp, "<i8").view(np.uint8)) for r in fps.collect()}
     keys = {}
@@ -361,8 +360,13 @@ def test_likeness_roots_lose_no_link_of_a_segment(spark):
                 if int((bits[a] != bits[b]).sum()) <= 90:
                     x, y = sorted((find(a), find(b)))
                     parent[y] = x
-    got = {r.node: r.root for r in simhash.likeness_roots(fps, 90, segments=12, width=16).collect()}
-    assert {n: got.get(n, n) for n in bits} == {n: find(n) for n in bits} and len(set(map(find, bits))) > 40 and len(list(ids)) == 200
+    want = {n: find(n) for n in bits}
+    got = {r.node: r.root for r in simhash.likeness_roots(fps, 90, segments=12, width=16, few=1000).collect()}
+    assert {n: got.get(n, n) for n in bits} == want and len(set(want.values())) > 40
+    # With few pairs in small buckets only, groups may fall apart but never mix, and hardly do.
+    some = {r.node: r.root for r in simhash.likeness_roots(fps, 90, segments=12, width=16, few=4).collect()}
+    apart = {(some.get(n, n), want[n]) for n in bits}
+    assert len({a for a, _ in apart}) == len(apart) <= len(set(want.values())) + 5
 
 
 def test_keep_one_of_near_copies(spark):
