@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelflow.sources import landing
+
 
 def trigrams(c: Column) -> Column:
     """The set of trigrams of a text's words, each lower-cased and padded with two spaces before and one after."""
@@ -19,13 +21,20 @@ def similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(x, y)) / F.when(F.size(F.array_union(x, y)) > 0, F.size(F.array_union(x, y))), F.lit(0.0))
 
 
+def _distinct_sets(names: DataFrame, key: str, grams: str) -> DataFrame:
+    """The distinct names with their trigrams, written once: every later step reads them."""
+    sets = names.select(F.col("name").alias(key)).distinct().withColumn(grams, trigrams(F.col(key))).filter(F.size(grams) > 0)
+    path = landing.folder(names.sparkSession, "trigrams")
+    sets.write.parquet(path)
+    return names.sparkSession.read.schema(sets.schema).parquet(path)
+
+
 def trigram_join(left: DataFrame, right: DataFrame, least: float, left_id: str = "l_id", right_id: str = "r_id") -> DataFrame:
     """left (l_id, name), right (r_id, name) -> every pair with a similarity of at least `least`, with sim.
 
-    Exact, by prefix filtering: two sets with Jaccard likeness t share a trigram among each one's rarest n - ceil(t n) + 1, so
+    Exact, by prefix filtering over distinct names: two sets with Jaccard likeness t share a trigram among each one's rarest n - ceil(t n) + 1, so
     only those are joined, and only where lengths and places let the pair reach t; a trigram that most names have is in few prefixes. Pairs are then verified on their whole sets."""
-    l = left.select(F.col(left_id).alias("l"), trigrams(F.col("name")).alias("lt")).filter(F.size("lt") > 0)  # noqa: E741
-    r = right.select(F.col(right_id).alias("r"), trigrams(F.col("name")).alias("rt")).filter(F.size("rt") > 0)
+    l, r = _distinct_sets(left, "l", "lt"), _distinct_sets(right, "r", "rt")  # noqa: E741
     each = l.select(F.explode("lt").alias("g")).unionByName(r.select(F.explode("rt").alias("g")))
     freq = each.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
     least_of = lambda c: F.ceil(c - 1e-9)  # noqa: E731  a product like 0.6 * 5 may lie just above 3
@@ -41,9 +50,10 @@ def trigram_join(left: DataFrame, right: DataFrame, least: float, left_id: str =
     # At the first trigram that two names share, what can still be shared lies behind it in both.
     reach = 1 + F.least(F.col("ln") - F.col("lk"), F.col("rn") - F.col("rk")) >= least_of((F.col("ln") + F.col("rn")) * (least / (1 + least)))
     pairs = lp.join(rp, "g").filter(sized & reach).select("l", "r").distinct()
-    full = pairs.join(l, "l").join(r, "r")
     sim = F.size(F.array_intersect("lt", "rt")) / F.size(F.array_union("lt", "rt"))
-    return full.select(F.col("l").alias(left_id), F.col("r").alias(right_id), sim.alias("sim")).filter(F.col("sim") >= least)
+    near = pairs.join(l, "l").join(r, "r").select("l", "r", sim.alias("sim")).filter(F.col("sim") >= least)
+    asked, held = left.select(F.col(left_id).alias("l_key"), F.col("name").alias("l")), right.select(F.col(right_id).alias("r_key"), F.col("name").alias("r"))
+    return near.join(asked, "l").join(held, "r").select(F.col("l_key").alias(left_id), F.col("r_key").alias(right_id), "sim")
 
 
 def resolve_tiered(names: DataFrame, entities: DataFrame, aliases: DataFrame, least: float = 0.45, top: int = 5) -> DataFrame:
@@ -52,7 +62,28 @@ def resolve_tiered(names: DataFrame, entities: DataFrame, aliases: DataFrame, le
     rest = names.join(exact.select("id"), "id", "left_anti")
     alias = rest.join(aliases.select(F.col("alias_norm").alias("name"), "entity_id"), "name").select("id", "entity_id", F.lit("alias").alias("tier"), F.lit(1.0).alias("sim"))
     rest = rest.join(alias.select("id"), "id", "left_anti")
-    near = trigram_join(rest.select("id", "name"), entities.select("entity_id", F.col("norm_name").alias("name")), least, "id", "entity_id")
+    near = trigram_join(rest.select("id", "name"), entities.select("entity_id", F.col("norm_name").alias("name")), least, "id", "entity_id").filter(F.col("sim") > least)
     near = near.select("id", "entity_id", F.lit("trigram").alias("tier"), "sim")
     w = Window.partitionBy("id").orderBy(F.col("sim").desc(), "entity_id")
     return exact.unionByName(alias).unionByName(near).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
+def resolve_scored(asked: DataFrame, entities: DataFrame, aliases: DataFrame, properties: DataFrame, history: DataFrame, least: float = 0.28, top: int = 5) -> DataFrame:
+    """asked (id, name, address, borough, asset) -> (id, entity_id, score, rank): the best candidates by name and history.
+
+    A candidate's name or one of its aliases has a similarity of at least `least`; the greater one counts. Added: 0.25 where it was a party at a property whose address has a similarity of
+    0.72 or more to the one asked for, 0.08 for a deal in the borough, 0.08 for one of the asset type; a suspected shell company without such a property loses 0.06. Scores lie within 0 and
+    1. entities (entity_id, norm_name, display_name, is_spv_suspect), aliases (entity_id, alias_norm), properties (property_id, address_norm), history (entity_id, property_id, borough,
+    asset_type): one row for each party of a deal, which is made distinct before it is joined."""
+    names = entities.select("entity_id", F.col("norm_name").alias("name")).unionByName(aliases.select("entity_id", F.col("alias_norm").alias("name")))
+    near = trigram_join(asked.select("id", "name"), names, least, "id", "entity_id").groupBy("id", "entity_id").agg(F.max("sim").alias("name_score"))
+    at = trigram_join(asked.select("id", F.col("address").alias("name")), properties.select("property_id", F.col("address_norm").alias("name")), 0.72, "id", "property_id")
+    here = at.join(history.select("property_id", "entity_id").distinct(), "property_id").select("id", "entity_id", F.lit(True).alias("here")).distinct()
+    in_borough = history.select("entity_id", "borough", F.lit(True).alias("known")).distinct()
+    of_asset = history.select("entity_id", F.lower("asset_type").alias("asset"), F.lit(True).alias("dealt")).distinct()
+    j = near.join(asked.select("id", "borough", F.lower("asset").alias("asset")), "id").join(here, ["id", "entity_id"], "left")
+    j = j.join(in_borough, ["entity_id", "borough"], "left").join(of_asset, ["entity_id", "asset"], "left").join(entities.select("entity_id", "display_name", "is_spv_suspect"), "entity_id")
+    sum_ = F.col("name_score") + F.when(F.col("here"), 0.25).otherwise(0.0) + F.when(F.col("known"), 0.08).otherwise(0.0) + F.when(F.col("dealt"), 0.08).otherwise(0.0) - F.when(F.col("is_spv_suspect") & F.col("here").isNull(), 0.06).otherwise(0.0)
+    scored = j.withColumn("score", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum_)), 4))
+    w = Window.partitionBy("id").orderBy(F.col("score").desc(), F.col("name_score").desc(), "display_name", "entity_id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("id", "entity_id", "score", "rank")

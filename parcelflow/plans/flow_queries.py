@@ -10,7 +10,7 @@ from parcelflow.operators import relational as R
 from parcelflow.operators import similarity as S
 from parcelflow.plans.deal_queries import RECENT, recent_deals
 from parcelflow.plans.function_queries import NORM
-from parcelflow.plans.state_queries import DEED, NEAR, TIERS, _misspelt
+from parcelflow.plans.state_queries import ASKED_NAMES, DEED, FIRM_NAMES, TIERS, _asked_names, near_sql
 from parcelflow.plans.views import frame, with_views
 from parcelflow.sources import landing
 from parcelflow.sources import tables as T
@@ -254,44 +254,46 @@ def contact_import(spark, fields, names, contacts):
 
 # Resolution with more ---------------------------------------------------------------------------------------------
 
-CONTEXT = f"""WITH p AS ({NEAR}), x AS (SELECT DISTINCT o_custkey AS id, property_id FROM deals), q AS (SELECT DISTINCT d.property_id, r.entity_id FROM deal_parties r JOIN deals d ON d.deal_id = r.deal_id),
-k AS (SELECT DISTINCT x.id, q.entity_id FROM x JOIN q ON q.property_id = x.property_id), u AS (SELECT coalesce(p.id, k.id) AS id, coalesce(p.entity_id, k.entity_id) AS entity_id, CASE WHEN p.id IS NULL THEN 0.9 WHEN k.id IS NULL THEN p.sim ELSE p.sim + 1.0 END AS score FROM p FULL JOIN k ON k.id = p.id AND k.entity_id = p.entity_id),
-r AS (SELECT u.*, row_number() OVER (PARTITION BY u.id ORDER BY score DESC, u.entity_id) AS rank FROM u JOIN entities e ON e.entity_id = u.entity_id WHERE NOT e.is_spv_suspect) SELECT id, entity_id, round(CAST(score AS DOUBLE), 4) AS score, rank FROM r WHERE rank <= 5"""
+CONTEXT = f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, entity_id) AS place FROM ({near_sql(ASKED_NAMES, FIRM_NAMES, 0.55, True)})),
+p AS (SELECT n.id, n.entity_id, sim FROM n JOIN firms f ON f.entity_id = n.entity_id WHERE place <= 10 AND NOT is_spv_suspect),
+k AS (SELECT DISTINCT a.row_num AS id, r.entity_id FROM asked a JOIN deals d ON d.property_id = a.property_id JOIN deal_parties r ON r.deal_id = d.deal_id WHERE lower(trim(a.owner)) <> 'n/a'),
+u AS (SELECT coalesce(p.id, k.id) AS id, coalesce(p.entity_id, k.entity_id) AS entity_id, CASE WHEN p.id IS NULL THEN 0.9 WHEN k.id IS NULL THEN p.sim ELSE p.sim + 1.0 END AS score FROM p FULL JOIN k ON k.id = p.id AND k.entity_id = p.entity_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, entity_id) AS rank FROM u) SELECT id, entity_id, round(CAST(score AS DOUBLE), 4) AS score, rank FROM r WHERE rank <= 5"""
 
 
-@query("customer", "entities", "deal_parties", "deals", sql=CONTEXT)
-def resolve_with_context(spark, customer, entities, parties, deals):
-    """Names by trigrams, and parties of deals at the addresses that came with the name: both, 1 more; the address alone, 0.9."""
-    near = S.trigram_join(_misspelt(customer), entities.select("entity_id", c("norm_name").alias("name")), 0.75, "id", "entity_id").withColumn("sim", F.round("sim", 6))
-    asked = deals.select(c("o_custkey").alias("id"), "property_id").distinct()
+@query("asked", "firms", "deal_parties", "deals", sql=CONTEXT)
+def resolve_with_context(spark, asked, firms, parties, deals):
+    """Names by trigrams, without suspected shell companies, and parties of deals at the address that came with the name: both, 1 more; the address alone, 0.9."""
+    near = S.trigram_join(_asked_names(asked), firms.select("entity_id", c("norm_name").alias("name")), 0.55, "id", "entity_id").filter("sim > 0.55")
+    near = R.top_per_group(near, ["id"], [c("sim").desc(), c("entity_id")], 10).drop("rank").join(firms.filter("NOT is_spv_suspect").select("entity_id"), "entity_id")
     at = parties.join(deals.select("deal_id", "property_id"), "deal_id").select("property_id", "entity_id").distinct()
-    context = asked.join(at, "property_id").select("id", "entity_id").distinct().withColumn("here", F.lit(True))
+    context = asked.filter(~N.is_placeholder(c("owner"))).select(c("row_num").alias("id"), "property_id").join(at, "property_id").select("id", "entity_id").distinct().withColumn("here", F.lit(True))
     score = F.when(c("sim").isNull(), 0.9).when(c("here").isNull(), c("sim")).otherwise(c("sim") + 1.0)
-    both = near.join(context, ["id", "entity_id"], "full").select("id", "entity_id", score.alias("score")).join(entities.filter("NOT is_spv_suspect").select("entity_id"), "entity_id")
+    both = near.join(context, ["id", "entity_id"], "full").select("id", "entity_id", score.alias("score"))
     return R.top_per_group(both, ["id"], [c("score").desc(), c("entity_id")], 5).select("id", "entity_id", F.round("score", 4).alias("score"), "rank")
 
 
 BEST = f"b AS (SELECT id, entity_id, tier FROM ({TIERS}) WHERE rank = 1)"
 
 
-def _best(rows, entities, aliases):
-    return S.resolve_tiered(rows.select(c("row_num").alias("id"), F.upper("owner").alias("name")), entities, aliases, 0.75, 1)
+def _best(asked, firms, aliases):
+    return S.resolve_tiered(_asked_names(asked), firms, aliases, 0.45, 1)
 
 
-@query("upload_rows", "entities", "entity_aliases", "contacts", sql=f"WITH {BEST} SELECT b.id, b.entity_id, b.tier, e.mailing_address, EXISTS (SELECT 1 FROM contacts k WHERE k.entity_id = b.entity_id) AS has_contact FROM b JOIN entities e ON e.entity_id = b.entity_id")
+@query("asked", "firms", "firm_aliases", "contacts", sql=f"WITH {BEST} SELECT b.id, b.entity_id, b.tier, e.mailing_address, EXISTS (SELECT 1 FROM contacts k WHERE k.entity_id = b.entity_id) AS has_contact FROM b JOIN firms e ON e.entity_id = b.entity_id")
 def contact_lookup_tiered(spark, rows, entities, aliases, contacts):
     held = contacts.select("entity_id", F.lit(True).alias("h")).distinct()
     return _best(rows, entities, aliases).join(entities.select("entity_id", "mailing_address"), "entity_id").join(held, "entity_id", "left").select("id", "entity_id", "tier", "mailing_address", c("h").isNotNull().alias("has_contact"))
 
 
-@query("upload_rows", "entities", "entity_aliases", "contacts", sql=f"WITH {BEST} SELECT b.id, b.entity_id, string_agg(concat(CASE WHEN is_primary THEN '*' ELSE '' END, coalesce(phone, '-')), ',' ORDER BY is_primary DESC, k.confidence DESC, k.contact_id) AS contacts FROM b JOIN contacts k ON k.entity_id = b.entity_id GROUP BY b.id, b.entity_id")
+@query("asked", "firms", "firm_aliases", "contacts", sql=f"WITH {BEST} SELECT b.id, b.entity_id, string_agg(concat(CASE WHEN is_primary THEN '*' ELSE '' END, coalesce(phone, '-')), ',' ORDER BY is_primary DESC, k.confidence DESC, k.contact_id) AS contacts FROM b JOIN contacts k ON k.entity_id = b.entity_id GROUP BY b.id, b.entity_id")
 def q_contact_lookup(spark, rows, entities, aliases, contacts):
     text = F.concat(F.when(c("is_primary"), "*").otherwise(""), F.coalesce("phone", F.lit("-")))
     items = F.array_sort(F.collect_list(F.struct((~c("is_primary")).alias("o"), (-c("confidence")).alias("k"), "contact_id", text.alias("t"))))
     return _best(rows, entities, aliases).join(contacts, "entity_id").groupBy("id", "entity_id").agg(F.array_join(F.transform(items, lambda x: x["t"]), ",").alias("contacts"))
 
 
-@query("upload_rows", "entities", "entity_aliases", "deal_parties", "deals", sql=f"WITH {BEST} SELECT b.id, p.entity_id, d.deal_id, d.asset_type, CAST(d.sale_date AS VARCHAR) AS sale_date FROM b JOIN deal_parties p ON p.entity_id = b.entity_id AND p.role = 'buyer' JOIN deals d ON d.deal_id = p.deal_id")
+@query("asked", "firms", "firm_aliases", "deal_parties", "deals", sql=f"WITH {BEST} SELECT b.id, p.entity_id, d.deal_id, d.asset_type, CAST(d.sale_date AS VARCHAR) AS sale_date FROM b JOIN deal_parties p ON p.entity_id = b.entity_id AND p.role = 'buyer' JOIN deals d ON d.deal_id = p.deal_id")
 def q_entity_history(spark, rows, entities, aliases, parties, deals):
     mine = parties.filter("role = 'buyer'").select("entity_id", "deal_id")
     return _best(rows, entities, aliases).select("id", "entity_id").join(mine, "entity_id").join(deals, "deal_id").select("id", "entity_id", "deal_id", "asset_type", c("sale_date").cast("string").alias("sale_date"))

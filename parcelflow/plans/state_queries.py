@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parcelflow.functions import classify as C
@@ -303,49 +304,70 @@ def trgm_similarity(rows):
     return rows.select("upload_id", "row_num", F.round(S.similarity(c("owner"), F.lit("Customer 12")), 6).alias("sim"))
 
 
-NAMES = "SELECT DISTINCT replace(c_name, 'Customer', 'Custmer') AS name, c_custkey AS id FROM {customer}"
-NEAR = f"WITH n AS (SELECT id, {grams('name')} AS g FROM ({NAMES})), e AS (SELECT entity_id, {grams('norm_name')} AS g FROM entities), p AS (SELECT id, entity_id, CAST(len(list_intersect(n.g, e.g)) AS DOUBLE) / len(list_distinct(list_concat(n.g, e.g))) AS sim FROM n, e) SELECT id, entity_id, round(sim, 6) AS sim FROM p WHERE sim >= 0.75"
+PLACEHOLDER = "lower(trim({x})) = 'n/a'"
 
 
-def _misspelt(customer):
-    return customer.select(c("c_custkey").alias("id"), F.replace("c_name", F.lit("Customer"), F.lit("Custmer")).alias("name"))
+def near_sql(left: str, right: str, least: float, strict: bool = False) -> str:
+    """(id, entity_id, sim) of the names in left (id, name) and right (entity_id, name), compared all with all."""
+    pairs = f"SELECT id, entity_id, CAST(len(list_intersect(n.g, e.g)) AS DOUBLE) / len(list_distinct(list_concat(n.g, e.g))) AS sim FROM (SELECT id, {grams('name')} AS g FROM ({left}) WHERE name IS NOT NULL) n, (SELECT entity_id, {grams('name')} AS g FROM ({right}) WHERE name IS NOT NULL) e"
+    return f"SELECT id, entity_id, sim FROM ({pairs}) WHERE sim {'>' if strict else '>='} {least}"
 
 
-@query("customer", "entities", sql=NEAR, also=("join_theta_similarity",))
-def trgm_join(customer, entities):
-    got = S.trigram_join(_misspelt(customer), entities.select("entity_id", c("norm_name").alias("name")), 0.75, "id", "entity_id")
+ASKED_NAMES = f"SELECT row_num AS id, upper(owner) AS name FROM asked WHERE NOT {PLACEHOLDER.format(x='owner')}"
+FIRM_NAMES = "SELECT entity_id, norm_name AS name FROM firms"
+
+
+def _asked_names(asked):
+    return asked.filter(~N.is_placeholder(c("owner"))).select(c("row_num").alias("id"), F.upper("owner").alias("name"))
+
+
+@query("asked", "firms", sql=f"SELECT id, entity_id, round(sim, 6) AS sim FROM ({near_sql(ASKED_NAMES, FIRM_NAMES, 0.45)})", also=("join_theta_similarity",))
+def trgm_join(asked, firms):
+    got = S.trigram_join(_asked_names(asked), firms.select("entity_id", c("norm_name").alias("name")), 0.45, "id", "entity_id")
     return got.select("id", "entity_id", F.round("sim", 6).alias("sim"))
 
 
-TIERS = f"""WITH q AS (SELECT row_num AS id, upper(owner) AS name FROM upload_rows), x AS (SELECT q.id, entity_id, 'exact' AS tier, 1.0 AS sim FROM q JOIN entities e ON e.norm_name = q.name), r1 AS (SELECT * FROM q WHERE id NOT IN (SELECT id FROM x)),
-a AS (SELECT r1.id, entity_id, 'alias' AS tier, 1.0 AS sim FROM r1 JOIN entity_aliases l ON l.alias_norm = r1.name), r2 AS (SELECT id, {grams('name')} AS g FROM r1 WHERE id NOT IN (SELECT id FROM a)), e AS (SELECT entity_id, {grams('norm_name')} AS g FROM entities),
-t AS (SELECT id, entity_id, 'trigram' AS tier, CAST(len(list_intersect(r2.g, e.g)) AS DOUBLE) / len(list_distinct(list_concat(r2.g, e.g))) AS sim FROM r2, e), u AS (SELECT * FROM x UNION ALL SELECT * FROM a UNION ALL SELECT * FROM t WHERE sim >= 0.75),
+TIERS = f"""WITH q AS ({ASKED_NAMES}), x AS (SELECT q.id, entity_id, 'exact' AS tier, 1.0 AS sim FROM q JOIN firms e ON e.norm_name = q.name), r1 AS (SELECT * FROM q WHERE id NOT IN (SELECT id FROM x)),
+a AS (SELECT r1.id, entity_id, 'alias' AS tier, 1.0 AS sim FROM r1 JOIN firm_aliases l ON l.alias_norm = r1.name), r2 AS (SELECT id, name FROM r1 WHERE id NOT IN (SELECT id FROM a)),
+u AS (SELECT * FROM x UNION ALL SELECT * FROM a UNION ALL SELECT id, entity_id, 'trigram', sim FROM ({near_sql("SELECT * FROM r2", FIRM_NAMES, 0.45, True)})),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, entity_id) AS rank FROM u) SELECT id, entity_id, tier, round(CAST(sim AS DOUBLE), 6) AS sim, rank FROM k WHERE rank <= 5"""
 
 
-@query("upload_rows", "entities", "entity_aliases", sql=TIERS)
-def resolve_exact_alias_trgm(rows, entities, aliases):
-    got = S.resolve_tiered(rows.select(c("row_num").alias("id"), F.upper("owner").alias("name")), entities, aliases, 0.75)
-    return got.withColumn("sim", F.round("sim", 6))
+@query("asked", "firms", "firm_aliases", sql=TIERS)
+def resolve_exact_alias_trgm(asked, firms, aliases):
+    return S.resolve_tiered(_asked_names(asked), firms, aliases, 0.45).withColumn("sim", F.round("sim", 6))
+
+
+HISTORY = "SELECT DISTINCT q.entity_id, d.property_id, d.borough, d.asset_type FROM deal_parties q JOIN deals d ON d.deal_id = q.deal_id"
+SCORED = f"""WITH h AS ({HISTORY}), s AS (SELECT id, entity_id, max(sim) AS name_score FROM ({near_sql(ASKED_NAMES, FIRM_NAMES + " UNION ALL SELECT entity_id, alias_norm FROM firm_aliases", 0.28)}) GROUP BY 1, 2),
+t AS (SELECT DISTINCT z.id, h.entity_id FROM ({near_sql("SELECT row_num AS id, address_norm AS name FROM asked", "SELECT property_id AS entity_id, address_norm AS name FROM properties", 0.72)}) z JOIN h ON h.property_id = z.entity_id),
+j AS (SELECT s.id, s.entity_id, name_score, display_name, is_spv_suspect, t.id IS NOT NULL AS here, EXISTS (SELECT 1 FROM h WHERE h.entity_id = s.entity_id AND h.borough = a.borough) AS known, EXISTS (SELECT 1 FROM h WHERE h.entity_id = s.entity_id AND lower(h.asset_type) = lower(a.asset)) AS dealt
+  FROM s JOIN asked a ON a.row_num = s.id JOIN firms f ON f.entity_id = s.entity_id LEFT JOIN t ON t.id = s.id AND t.entity_id = s.entity_id),
+c AS (SELECT *, round(least(1.0, greatest(0.0, name_score + CASE WHEN here THEN 0.25 ELSE 0 END + CASE WHEN known THEN 0.08 ELSE 0 END + CASE WHEN dealt THEN 0.08 ELSE 0 END - CASE WHEN is_spv_suspect AND NOT here THEN 0.06 ELSE 0 END)), 4) AS score FROM j),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, name_score DESC, display_name, entity_id) AS rank FROM c) SELECT id, entity_id, score, rank FROM k WHERE rank <= 5"""
 
 
-SCORED = f"WITH p AS ({NEAR}), h AS (SELECT DISTINCT entity_id FROM deal_parties q JOIN deals d ON d.deal_id = q.deal_id WHERE borough = 'Queens'), a AS (SELECT DISTINCT entity_id FROM deal_parties q JOIN deals d ON d.deal_id = q.deal_id WHERE asset_type = 'Retail') SELECT p.id, p.entity_id, round(least(1.0, greatest(0.0, sim + CASE WHEN h.entity_id IS NOT NULL THEN 0.08 ELSE 0 END + CASE WHEN a.entity_id IS NOT NULL THEN 0.08 ELSE 0 END - CASE WHEN is_spv_suspect THEN 0.06 ELSE 0 END)), 4) AS score FROM p JOIN entities e ON e.entity_id = p.entity_id LEFT JOIN h ON h.entity_id = p.entity_id LEFT JOIN a ON a.entity_id = p.entity_id"
+def _scored(asked, firms, aliases, parties, deals, properties):
+    wanted = asked.filter(~N.is_placeholder(c("owner"))).select(c("row_num").alias("id"), F.upper("owner").alias("name"), c("address_norm").alias("address"), "borough", "asset")
+    history = parties.join(deals, "deal_id").select("entity_id", "property_id", "borough", "asset_type")
+    return S.resolve_scored(wanted, firms, aliases, properties, history)
 
 
-@query("customer", "entities", "deal_parties", "deals", sql=SCORED)
-def resolve_scored(customer, entities, parties, deals):
-    near = S.trigram_join(_misspelt(customer), entities.select("entity_id", c("norm_name").alias("name")), 0.75, "id", "entity_id").withColumn("sim", F.round("sim", 6))
-    history = parties.join(deals, "deal_id").groupBy("entity_id").agg(F.bool_or(c("borough") == "Queens").alias("h"), F.bool_or(c("asset_type") == "Retail").alias("a"))
-    j = near.join(entities.select("entity_id", "is_spv_suspect"), "entity_id").join(history, "entity_id", "left")
-    bonus = c("sim") + F.when(c("h"), 0.08).otherwise(0.0) + F.when(c("a"), 0.08).otherwise(0.0) - F.when(c("is_spv_suspect"), 0.06).otherwise(0.0)
-    return j.select("id", "entity_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), bonus)), 4).alias("score"))
+@query("asked", "firms", "firm_aliases", "deal_parties", "deals", "properties", sql=f"SELECT *, max(score) OVER (PARTITION BY id) >= 0.55 AS review FROM ({SCORED})")
+def resolve_scored(asked, firms, aliases, parties, deals, properties):
+    """The best five candidates of each name; a best score of 0.55 sends the name to review."""
+    return _scored(asked, firms, aliases, parties, deals, properties).withColumn("review", F.max("score").over(Window.partitionBy("id")) >= 0.55)
 
 
-@query("upload_rows", "entities", "entity_aliases", sql=f"WITH r AS ({TIERS}), b AS (SELECT * FROM r WHERE rank = 1) SELECT u.row_num, CASE WHEN b.tier IN ('exact', 'alias') THEN b.tier WHEN b.id IS NOT NULL THEN 'review' ELSE 'new_entity' END AS outcome FROM upload_rows u LEFT JOIN b ON b.id = u.row_num")
-def upload_resolve(rows, entities, aliases):
-    best = S.resolve_tiered(rows.select(c("row_num").alias("id"), F.upper("owner").alias("name")), entities, aliases, 0.75, 1)
-    j = rows.join(best, rows.row_num == best.id, "left")
-    return j.select("row_num", F.when(c("tier").isin("exact", "alias"), c("tier")).when(c("tier").isNotNull(), "review").otherwise("new_entity").alias("outcome"))
+@query("asked", "firms", "firm_aliases", "deal_parties", "deals", "properties", sql=f"WITH b AS (SELECT id, score FROM ({SCORED}) WHERE rank = 1) SELECT row_num, CASE WHEN {PLACEHOLDER.format(x='owner')} THEN 'rejected' WHEN upper(owner) IN (SELECT norm_name FROM firms) THEN 'exact' WHEN upper(owner) IN (SELECT alias_norm FROM firm_aliases) THEN 'alias' WHEN score >= 0.55 THEN 'review' ELSE 'new_entity' END AS outcome FROM asked LEFT JOIN b ON b.id = row_num")
+def upload_resolve(asked, firms, aliases, parties, deals, properties):
+    """What becomes of each uploaded row: rejected placeholders, exact and alias hits, review where a candidate scores 0.55, else a new entity. Only rows without a hit are scored."""
+    named = asked.select("*", F.upper("owner").alias("name"))
+    exact, alias = firms.select(c("norm_name").alias("name"), F.lit(True).alias("exact")).distinct(), aliases.select(c("alias_norm").alias("name"), F.lit(True).alias("alias")).distinct()
+    j = named.join(exact, "name", "left").join(alias, "name", "left")
+    best = _scored(j.filter("exact IS NULL AND alias IS NULL"), firms, aliases, parties, deals, properties).filter("rank = 1").select(c("id").alias("row_num"), "score")
+    outcome = F.when(N.is_placeholder(c("owner")), "rejected").when(c("exact"), "exact").when(c("alias"), "alias").when(c("score") >= 0.55, "review").otherwise("new_entity")
+    return j.join(best, "row_num", "left").select("row_num", outcome.alias("outcome"))
 
 
 # Deeds --------------------------------------------------------------------------------------------------------------

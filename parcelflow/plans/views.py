@@ -13,6 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 AS_OF, AS_OF_TOUCH = "2001-08-02 00:00:00", "2024-01-31 00:00:00"
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"]
 
+def made_name(key: str) -> str:
+    """SQL for a firm's name of two words of seven letters that spread out from a number; names of different numbers share few trigrams."""
+    word = lambda step, letters: f"translate(CAST(CAST({key} AS BIGINT) * {step} % 9000000 + 1000000 AS STRING), '0123456789', '{letters}')"
+    return f"concat({word(2654435, 'bdfgklmnrs')}, ' ', {word(1618033, 'aeioutvpcz')})"
+
+
 VIEWS = {
     "properties": """
 SELECT p_partkey AS property_id,
@@ -71,6 +77,17 @@ SELECT c_custkey % 7 AS upload_id, c_custkey AS row_num,
   CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN concat(c_name, ' LLC') ELSE replace(c_name, 'Customer', 'Custmer') END AS owner,
   CASE WHEN c_custkey % 40 = 0 THEN 'n/a' ELSE concat('(917) 555-', CAST(1000 + c_custkey % 9000 AS STRING)) END AS phone,
   CASE c_custkey % 3 WHEN 2 THEN 'review' ELSE 'imported' END AS status FROM {customer}""",
+    "firms": f"""
+SELECT entity_id, entity_key, display_name, upper(display_name) AS norm_name, is_spv_suspect, mailing_address
+FROM (SELECT entity_id, entity_key, {made_name("CASE WHEN entity_id LIKE 'S%' THEN entity_key + 40009 ELSE entity_key END")} AS display_name, is_spv_suspect, mailing_address FROM entities) n""",
+    "firm_aliases": f"SELECT entity_id, upper({made_name('entity_key + 777777')}) AS alias_norm FROM entities WHERE entity_id LIKE 'C%' AND entity_key % 5 = 0",
+    "asked": f"""
+SELECT a.row_num, a.upload_id,
+  CASE a.row_num % 7 WHEN 0 THEN name WHEN 1 THEN CASE WHEN a.row_num % 5 = 0 THEN alias ELSE name END WHEN 2 THEN concat(substr(name, 1, 3), substr(name, 5))
+  WHEN 3 THEN concat(substr(name, 1, 3), substr(name, 5, 6), substr(name, 12)) WHEN 4 THEN 'n/a' WHEN 5 THEN other ELSE concat(substr(name, 1, 9), substr(name, 11), 's') END AS owner,
+  CASE WHEN a.row_num % 2 = 0 THEN p.address_norm ELSE concat(p.address_norm, 'reet') END AS address_norm, p.property_id, p.borough, CASE WHEN a.row_num % 3 = 0 THEN 'Retail' END AS asset
+FROM (SELECT c_custkey AS row_num, c_custkey % 7 AS upload_id, {made_name('c_custkey')} AS name, {made_name('c_custkey + 777777')} AS alias, {made_name('c_custkey + 333333')} AS other FROM {{customer}}) a
+LEFT JOIN (SELECT o_custkey, min(property_id) AS property_id FROM deals GROUP BY o_custkey) d ON d.o_custkey = a.row_num LEFT JOIN properties p ON p.property_id = d.property_id""",
     "deed_masters": """
 SELECT deal_id AS document_id, sale_price * (95 + deal_id % 10) / 100 AS document_amt, sale_date AS deal_date, CAST(deal_id % 80 AS INT) - 40 AS day_shift, address_norm, borough, property_id, o_custkey, suppkey FROM deals""",
     "fetch_ledger": "SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN 'fetch_error:HTTP' ELSE 'ok' END AS disposition FROM {pages}",
