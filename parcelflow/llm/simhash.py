@@ -186,10 +186,10 @@ def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int
     """fps (node, fp; distinct) -> (node, root) of the nodes that are linked to another one.
 
     Nodes that share a segment are candidates, and whole distances decide. First each node meets the smallest node of each of its buckets. In further rounds, in buckets that still
-    hold several groups, it meets another node, chosen by a hash of the round, if that one's group isn't its own. At last all nodes of different groups meet in
-    buckets of at most `few` nodes. So a crowd of thousands of near copies costs a row for each member, bucket and round, never pairs.
+    hold several groups, one node of each group, chosen by a hash of the round, meets the first one of the bucket. At last all nodes of different groups meet in
+    buckets of at most `few` nodes. So a crowd of thousands of near copies costs at most a row for each member, bucket and round, never pairs.
 
-    A link between two groups is missed only where its ends share none but larger buckets and neither end is met there; the other members of both groups, and each
+    A link between two groups is missed only where its ends share none but larger buckets and are not the nodes that meet there; the other members of both groups, and each
     one's other buckets, are as many more chances."""
     keys = scratch(segment_keys(fps, bits, segments, width), "segments")
     buckets = keys.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -204,21 +204,24 @@ def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int
             return None
         return scratch(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)), f"roots_{name}")
 
-    def mixed(order) -> DataFrame:
-        """The buckets that hold several groups, each row with its root and the bucket's first row in that order."""
-        named = left.join(roots, "node", "left").select("key", "node", "members", F.coalesce("root", "node").alias("root"))
-        each = named.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "root")).alias("center"), F.min("root").alias("low"), F.max("root").alias("high"))
-        return named.join(each.filter("low <> high").select("key", "center"), "key")
+    def named() -> DataFrame:
+        """The rows of buckets that hold several groups, with each node's root."""
+        rows = left.join(roots, "node", "left").select("key", "node", "members", F.coalesce("root", "node").alias("root"))
+        several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+        return rows.join(several, "key", "left_semi")
 
     for i in range(1, rounds + 1):
-        left = scratch(mixed(F.xxhash64("node", F.lit(i))), f"round_{i}")
-        asked = left.filter("root <> center.root").select(F.least("node", "center.node").alias("u"), F.greatest("node", "center.node").alias("v")).distinct()
+        left = scratch(named(), f"round_{i}")
+        one = left.groupBy("key", "root").agg(F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("order"), "node")).alias("one"))
+        first = one.groupBy("key").agg(F.min("one").alias("first"))
+        asked = one.join(first, "key").filter("one.node <> first.node").select(F.least("one.node", "first.node").alias("u"), F.greatest("one.node", "first.node").alias("v")).distinct()
         more = joined(asked, str(i))
         left = left.select("key", "node", "members")
         if more is None:
             break
         roots = more
-    small = scratch(mixed(F.col("node")).filter(F.col("members") <= few).select("key", "node", "root"), "small")
+    left = left.filter(F.col("members") <= few)
+    small = scratch(named().select("key", "node", "root"), "small")
     a, b = small.select("key", F.col("node").alias("u"), F.col("root").alias("r")), small.select("key", F.col("node").alias("v"), F.col("root").alias("s"))
     more = joined(a.join(b, "key").filter("r < s").select("u", "v").distinct(), "small")
     return roots if more is None else more
