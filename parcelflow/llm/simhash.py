@@ -185,9 +185,10 @@ def _within(pairs: DataFrame, fps: DataFrame, radius: int, bits: int) -> DataFra
 def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int = 96, width: int = 24, rounds: int = 3, few: int = 16) -> DataFrame:
     """fps (node, fp; distinct) -> (node, root) of the nodes that are linked to another one.
 
-    Nodes that share a segment are candidates, and whole distances decide. First each node meets the smallest node of each of its buckets. In further rounds, in buckets that still
-    hold several groups, one node of each group, chosen by a hash of the round, meets the first one of the bucket. At last all nodes of different groups meet in
-    buckets of at most `few` nodes. So a crowd of thousands of near copies costs at most a row for each member, bucket and round, never pairs.
+    Nodes that share a segment are candidates, and whole distances decide. First each node meets the smallest node of each of its buckets. Then the rows of a bucket are
+    aggregated to one for each group in it, before anything is joined, and where a bucket of more than `few` nodes holds several groups, one node of each, chosen by a hash of the
+    round, meets the bucket's first one. At last all nodes of different groups meet in buckets of at most `few` nodes. So a crowd of thousands of near copies costs a row for each member and bucket
+    once and a row for each group and bucket in each round, never pairs.
 
     A link between two groups is missed only where its ends share none but larger buckets and are not the nodes that meet there; the other members of both groups, and each
     one's other buckets, are as many more chances."""
@@ -196,7 +197,6 @@ def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int
     met = scratch(keys.join(buckets, "key"), "buckets")
     asked = met.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
     roots = scratch(components(_within(asked, fps, radius, bits)), "roots")
-    left = met.filter("members > 2").select("key", "node", "members")
 
     def joined(asked: DataFrame, name: str) -> DataFrame | None:
         links = scratch(_within(asked, fps, radius, bits), f"links_{name}")
@@ -204,24 +204,28 @@ def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int
             return None
         return scratch(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)), f"roots_{name}")
 
-    def named() -> DataFrame:
-        """The rows of buckets that hold several groups, with each node's root."""
-        rows = left.join(roots, "node", "left").select("key", "node", "members", F.coalesce("root", "node").alias("root"))
-        several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        return rows.join(several, "key", "left_semi")
+    def rooted(rows: DataFrame, by: str) -> DataFrame:
+        """rows with the root, as it is now, of the node in column by."""
+        now = roots.select(F.col("node").alias(by), F.col("root").alias("now"))
+        return rows.join(now, by, "left").withColumn("root", F.coalesce("now", by)).drop("now")
 
+    # Of the larger buckets, one row for each bucket and group, with a node for each round.
+    order = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("order"), "node")).alias(f"one_{i}") for i in range(1, rounds + 1)]
+    crowd = rooted(met.filter(F.col("members") > few).select("key", "node"), "node").groupBy("key", "root").agg(*order)
     for i in range(1, rounds + 1):
-        left = scratch(named(), f"round_{i}")
-        one = left.groupBy("key", "root").agg(F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("order"), "node")).alias("one"))
-        first = one.groupBy("key").agg(F.min("one").alias("first"))
-        asked = one.join(first, "key").filter("one.node <> first.node").select(F.least("one.node", "first.node").alias("u"), F.greatest("one.node", "first.node").alias("v")).distinct()
-        more = joined(asked, str(i))
-        left = left.select("key", "node", "members")
+        left = [f"one_{k}" for k in range(i, rounds + 1)]
+        crowd = scratch(crowd, f"round_{i}")
+        first = crowd.groupBy("key").agg(F.min(f"one_{i}").alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "first")
+        crowd = scratch(crowd.join(first, "key"), f"several_{i}")
+        u, v = F.col("first.node"), F.col(f"one_{i}.node")
+        more = joined(crowd.filter(u != v).select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct(), str(i))
         if more is None:
             break
         roots = more
-    left = left.filter(F.col("members") <= few)
-    small = scratch(named().select("key", "node", "root"), "small")
+        crowd = rooted(crowd.select("key", "root", *left), "root").groupBy("key", "root").agg(*[F.min(k).alias(k) for k in left])
+    small = rooted(met.filter(F.col("members").between(3, few)).select("key", "node"), "node")
+    several = small.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    small = scratch(small.join(several, "key", "left_semi"), "small")
     a, b = small.select("key", F.col("node").alias("u"), F.col("root").alias("r")), small.select("key", F.col("node").alias("v"), F.col("root").alias("s"))
     more = joined(a.join(b, "key").filter("r < s").select("u", "v").distinct(), "small")
     return roots if more is None else more
