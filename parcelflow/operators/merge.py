@@ -47,7 +47,8 @@ def merge_status(stored: DataFrame, batch: DataFrame, ledger: DataFrame) -> Data
     passed = F.col("_gate").isNull()
     docs = stored.filter("doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("_doc")).distinct()
     out = out.join(docs, "doc_id", "left")
-    by_doc = Window.partitionBy("doc_id", passed).orderBy("ord")
+    # Rows that no earlier row can decide (without a deed id, or rejected) are a partition each, so that they don't gather in one task.
+    by_doc = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull() | ~passed, F.col("ord"))).orderBy("ord")
     doc_seen = F.col("doc_id").isNotNull() & (F.coalesce("_doc", F.lit(False)) | (F.row_number().over(by_doc) > 1))
     out = out.withColumn("_doc_seen", passed & doc_seen)
     key = ["address_norm", "sale_price", "sale_date"]
@@ -56,7 +57,7 @@ def merge_status(stored: DataFrame, batch: DataFrame, ledger: DataFrame) -> Data
     same = F.col("o.address_norm").eqNullSafe(F.col("h.address_norm")) & F.col("o.sale_price").eqNullSafe(F.col("h.sale_price")) & F.col("o.sale_date").eqNullSafe(F.col("h.sale_date"))
     out = o.join(held, same, "left").select("o.*", "h._key")
     free = passed & ~F.col("_doc_seen")
-    by_key = Window.partitionBy(*key, free).orderBy("ord")
+    by_key = Window.partitionBy(*key, F.when(~free, F.col("ord"))).orderBy("ord")
     key_seen = F.coalesce("_key", F.lit(False)) | (F.row_number().over(by_key) > 1)
     small = small_unit_flag(F.col("source_system"), F.col("bldg_class"), F.col("units"), F.col("asset_type"))
     status = F.when(~passed, F.col("_gate")).when(F.col("_doc_seen"), "duplicate_doc").when(key_seen, "duplicate_key").when(small, "merged_flagged").otherwise("merged")

@@ -104,3 +104,27 @@ def test_trigram_join_is_exact(spark):
     for least in (0.3, 0.6, 1.0):
         want = {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if grams(a) and grams(b) and len(grams(a) & grams(b)) / len(grams(a) | grams(b)) >= least}
         assert {(r.l_id, r.r_id) for r in similarity.trigram_join(left, right, least).collect()} == want
+
+
+def test_merge_status_with_few_deed_ids_equals_a_fold(spark):
+    """Nine rows of ten have no deed id: the fold's statuses, and no window partition gathers those rows."""
+    rng = random.Random(3)
+    kind = "ord long, doc_id string, address_norm string, sale_price double, sale_date string, asset_type string, bldg_class string, units int, source_system string"
+    make = lambda o: (o, f"D{rng.randrange(20)}" if rng.random() < 0.1 else None, rng.choice([None, "a", "b", "c", "d"]), rng.choice([None, 1.0, 2.0, 3.0]), rng.choice([None, "x", "y", "z"]), "Office", rng.choice(["O1", "A1"]), 20, "deed")
+    stored, batch = [make(o) for o in range(20)], [make(o) for o in range(20, 620)]
+    docs, keys, want = {r[1] for r in stored if r[1]}, {r[2:5] for r in stored}, {}
+    for r in batch:
+        if (r[2], r[3] or 0.0) == ("a", 2.0):
+            want[r[0]] = "rejected_excluded"
+        elif r[6] == "A1":
+            want[r[0]] = "rejected_one_two_family"
+        elif r[1] in docs:
+            want[r[0]] = "duplicate_doc"
+        else:
+            want[r[0]] = "duplicate_key" if r[2:5] in keys else "merged"
+            docs |= {r[1]} - {None}
+            keys.add(r[2:5])
+    ledger = spark.createDataFrame([("a", 2.0)], "addr_norm string, price double")
+    got = merge.merge_status(spark.createDataFrame(stored, kind), spark.createDataFrame(batch, kind), ledger)
+    assert {r.ord: r.status for r in got.collect()} == want
+    assert {"merged", "duplicate_key", "duplicate_doc", "rejected_excluded", "rejected_one_two_family"} == set(want.values())
