@@ -42,15 +42,6 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint(), with the folder set first where the session has none."""
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        path = shared_dir(df.sparkSession, "checkpoints")
-        if not df.sparkSession.sparkContext.getCheckpointDir():
-            df.sparkSession.sparkContext.setCheckpointDir(path)
-    return df.checkpoint()
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most so many rows, so that a Python worker holds few long texts at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -174,12 +174,12 @@ def segment_keys(fps: DataFrame, bits: int = 1024, segments: int = 96, width: in
 
 
 def _within(pairs: DataFrame, fps: DataFrame, radius: int, bits: int) -> DataFrame:
-    """The pairs (u, v) whose whole fingerprints differ in at most radius bits."""
+    """The pairs (u, v, ...) whose whole fingerprints differ in at most radius bits."""
     a, b = (fps.select(F.col("node").alias(x), F.col("fp").alias(f"{x}_fp")) for x in ("u", "v"))
     distance = F.lit(0)
     for i in range(bits // 64):
         distance = distance + F.bit_count(F.col("u_fp")[i].bitwiseXOR(F.col("v_fp")[i]))
-    return pairs.join(a, "u").join(b, "v").filter(distance <= radius).select("u", "v")
+    return pairs.join(a, "u").join(b, "v").filter(distance <= radius).select(*pairs.columns)
 
 
 def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int = 96, width: int = 24, rounds: int = 3, few: int = 16) -> DataFrame:
@@ -199,10 +199,15 @@ def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int
     roots = scratch(components(_within(asked, fps, radius, bits)), "roots")
 
     def joined(asked: DataFrame, name: str) -> DataFrame | None:
+        """The roots after the links among asked (u, v, their roots r, s), or None where there are none. Only the linked groups' roots go through components."""
         links = scratch(_within(asked, fps, radius, bits), f"links_{name}")
         if links.isEmpty():
             return None
-        return scratch(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)), f"roots_{name}")
+        merged = components(links.select(F.col("r").alias("u"), F.col("s").alias("v"))).select(F.col("node").alias("old"), F.col("root").alias("new"))
+        merged = scratch(merged, f"merged_{name}")
+        moved = roots.join(merged, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+        alone = merged.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+        return scratch(moved.unionByName(alone), f"roots_{name}")
 
     def rooted(rows: DataFrame, by: str) -> DataFrame:
         """rows with the root, as it is now, of the node in column by."""
@@ -215,10 +220,10 @@ def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int
     for i in range(1, rounds + 1):
         left = [f"one_{k}" for k in range(i, rounds + 1)]
         crowd = scratch(crowd, f"round_{i}")
-        first = crowd.groupBy("key").agg(F.min(f"one_{i}").alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "first")
+        first = crowd.groupBy("key").agg(F.min(F.struct(f"one_{i}", "root")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "first")
         crowd = scratch(crowd.join(first, "key"), f"several_{i}")
-        u, v = F.col("first.node"), F.col(f"one_{i}.node")
-        more = joined(crowd.filter(u != v).select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct(), str(i))
+        u, v = F.col(f"first.one_{i}.node"), F.col(f"one_{i}.node")
+        more = joined(crowd.filter(u != v).select(u.alias("u"), v.alias("v"), F.col("first.root").alias("r"), F.col("root").alias("s")).distinct(), str(i))
         if more is None:
             break
         roots = more
@@ -227,7 +232,7 @@ def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int
     several = small.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     small = scratch(small.join(several, "key", "left_semi"), "small")
     a, b = small.select("key", F.col("node").alias("u"), F.col("root").alias("r")), small.select("key", F.col("node").alias("v"), F.col("root").alias("s"))
-    more = joined(a.join(b, "key").filter("r < s").select("u", "v").distinct(), "small")
+    more = joined(a.join(b, "key").filter("r < s").select("u", "v", "r", "s").distinct(), "small")
     return roots if more is None else more
 
 
