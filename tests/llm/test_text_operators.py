@@ -286,6 +286,11 @@ def test_components(spark):
     got = dict(rows(components.components(spark.createDataFrame(edges, "u bigint, v bigint"))))
     assert got == {x: find(x) for x in parent}
     assert rows(components.components(spark.createDataFrame([], "u bigint, v bigint"))) == []
+    # Stars need no step: one look settles them. A chain needs more.
+    star = spark.createDataFrame([(9, 1), (1, 5), (8, 2), (8, 2)], "u bigint, v bigint")
+    assert dict(rows(components.components(star, max_steps=1))) == {1: 1, 5: 1, 9: 1, 2: 2, 8: 2}
+    with pytest.raises(RuntimeError):
+        components.components(spark.createDataFrame([(3, 2), (2, 1)], "u bigint, v bigint"), max_steps=1)
 
 
 def test_simhash_groups(spark):
