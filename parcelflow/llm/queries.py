@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.llm import bpe, exact_dedup, html_extract, lempel_ziv, mixing, quality, records, simhash, toxicity, urls
+from parcelflow.llm import bpe, exact_dedup, html_extract, lempel_ziv, merkle, mixing, phrases, quality, records, sharding, simhash, toxicity, urls
 from parcelflow.llm.common import fold_of, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -118,12 +118,127 @@ def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.scores(docs, toxicity.fit(docs, labels, ~held_out)), held_out)
 
 
+def op11_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = sharding.assign(table(spark, sf_dir, "documents"), 16)
+    return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _op11_sql(shards: int = 16, rounds: int = 6) -> str:
+    """The Feistel network as nested selects of 128-bit unsigned numbers; numbers that fall outside walk on in the recursion. CRC-32 by its table of 256 values."""
+    two64 = "18446744073709551616::UHUGEINT"
+    multiplied = [(30, int(sharding.M1)), (27, int(sharding.M2))]
+    step = "SELECT id, n, bits, low, v // low AS a, v % low AS b FROM (SELECT *, CASE WHEN start THEN x - n ELSE x END AS v FROM walk WHERE x >= n)"
+    for r in range(rounds):
+        step = f"SELECT id, n, bits, low, a, b, ({'a' if r % 2 else 'b'} + {r}) % {two64} AS m FROM ({step})"
+        for shift, by in multiplied:
+            step = f"SELECT id, n, bits, low, a, b, xor(m, m // {1 << shift}::UHUGEINT) * {by}::UHUGEINT % {two64} AS m FROM ({step})"
+        step = f"SELECT id, n, bits, low, {'a' if r % 2 else f'xor(a, xor(m, m // {1 << 31}::UHUGEINT) % (bits // low)) AS a'}, {f'xor(b, xor(m, m // {1 << 31}::UHUGEINT) % low) AS b' if r % 2 else 'b'} FROM ({step})"
+    return rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+), d AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST) - 1 AS id, count(*) OVER () AS n, strlen(coalesce(text, '')) + 1 AS size,
+    xor(4294967295, list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST(concat('0x', x) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32
+  FROM documents, crc
+), walk AS (
+  SELECT id, CAST(n AS UHUGEINT) AS n, CAST(pow(2, length(bin(n - 1))) AS UHUGEINT) AS bits, CAST(pow(2, length(bin(n - 1)) // 2) AS UHUGEINT) AS low, CAST(id + n AS UHUGEINT) AS x, true AS start FROM d
+  UNION ALL
+  SELECT id, n, bits, low, a * low + b, false FROM ({step})
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(x % {shards} AS INTEGER) AS shard, CAST(x // {shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM d JOIN walk USING (id) WHERE walk.x < walk.n
+"""
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS piece FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda w: w <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM words, (VALUES (1), (2), (3), (4)) v(k)
+), f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS c FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), candidates AS MATERIALIZED (
+  SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND c >= 30
+), cuts AS (
+  SELECT d.lang, d.phrase, d.a, x.c AS l, y.c AS r, cut, CAST(2000000 * CAST(d.a AS HUGEINT) // (CAST(x.c AS HUGEINT) + y.c) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) d
+  JOIN f x ON x.lang = d.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = d.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')
+), low AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inside AS (
+  SELECT DISTINCT lang, array_to_string(w[i:j], ' ') AS phrase, a FROM (SELECT *, unnest(range(1, k)) AS i FROM candidates), (SELECT unnest(range(2, 5)) AS j) WHERE j > i AND j <= k AND j - i + 1 < k
+  UNION SELECT lang, array_to_string(w[k - j:], ' '), a FROM candidates, (SELECT unnest(range(1, 3)) AS j) WHERE j + 1 < k
+), kept AS (
+  SELECT * FROM low c WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * CAST(i.a AS HUGEINT) >= 80 * CAST(c.a AS HUGEINT))
+)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN totals USING (lang)
+) WHERE rank <= 2000
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 2) == 0)
+
+
+#: CRC-32 by its table of 256 values; nodes level by level, the tree of subroots as tree -1; then every leaf is folded up to the root.
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+), d AS (
+  SELECT row_number() OVER () AS id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, doc_id,
+    concat(CASE WHEN doc_id IS NULL THEN '-' ELSE concat(length(CAST(doc_id AS VARCHAR)), ':', doc_id) END, CASE WHEN source IS NULL THEN '-' ELSE concat(strlen(source), ':', source) END,
+      CASE WHEN lang IS NULL THEN '-' ELSE concat(strlen(lang), ':', lang) END, CASE WHEN n_chars IS NULL THEN '-' ELSE concat(length(CAST(n_chars AS VARCHAR)), ':', n_chars) END) AS head, text,
+    xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 2 = 0 AS changed
+  FROM documents, crc
+), l AS (
+  SELECT id, tree, doc_id, sha256(concat(head, CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', text) END)) AS leaf,
+    CASE WHEN changed THEN sha256(concat(head, CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(replace(text, chr(10), '')), ':', replace(text, chr(10), '')) END)) END AS tampered FROM d
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos FROM l
+), below AS (
+  SELECT tree, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY tree) AS width FROM p
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(width) + 2) // 3 FROM below WHERE width > 1 GROUP BY tree, level, pos // 3
+), above AS (
+  SELECT -1 AS tree, 0 AS level, tree AS pos, digest, count(*) OVER () AS width FROM below WHERE width = 1
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(width) + 2) // 3 FROM above WHERE width > 1 GROUP BY tree, level, pos // 3
+), around AS (
+  SELECT tree, level, pos, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind
+  FROM (SELECT * FROM below UNION ALL SELECT * FROM above) WHERE width > 1 WINDOW w AS (PARTITION BY tree, level, pos // 3 ORDER BY pos)
+), lower AS (
+  SELECT id, tree, 0 AS level, pos, coalesce(tampered, leaf) AS now, '' AS proof FROM p
+  UNION ALL
+  SELECT f.id, f.tree, f.level + 1, f.pos // 3, sha256(concat(before, now, behind)), concat(proof, before, behind) FROM lower f JOIN around a ON a.tree = f.tree AND a.level = f.level AND a.pos = f.pos
+), upper AS (
+  SELECT id, 0 AS level, tree AS pos, now, proof FROM (SELECT * FROM lower QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1)
+  UNION ALL
+  SELECT f.id, f.level + 1, f.pos // 3, sha256(concat(before, now, behind)), concat(proof, before, behind) FROM upper f JOIN around a ON a.tree = -1 AND a.level = f.level AND a.pos = f.pos
+), folded AS (
+  SELECT id, now, proof FROM upper QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1
+)
+SELECT doc_id, leaf, s.digest AS subroot, r.digest AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = r.digest AS verified
+FROM p JOIN folded f ON f.id = p.id JOIN below s ON s.tree = p.tree AND s.width = 1, (SELECT digest FROM above WHERE width = 1) r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = [op1_quality_rules, op2_token_records, op3_lempel_ziv_fingerprint, op4_exact_dedup, op5_simhash_near_dedup, op6_url_filter, op7_mix_sources, op8_byte_bpe, op9_html_main_text, op10_toxicity_lexicon]
+    ops = [op1_quality_rules, op2_token_records, op3_lempel_ziv_fingerprint, op4_exact_dedup, op5_simhash_near_dedup, op6_url_filter, op7_mix_sources, op8_byte_bpe, op9_html_main_text, op10_toxicity_lexicon, op11_feistel_shards, op12_phrase_mining, op13_merkle_manifest]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL, "op11_feistel_shards": _op11_sql(), "op12_phrase_mining": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
