@@ -74,9 +74,9 @@ def residential_gate_sql(bldg_class: Column) -> Column:
 
 
 def small_unit_flag(source: Column, bldg_class: Column, units: Column, asset_type: Column) -> Column:
-    scraped = source.isin("traded", "crexi")
+    scraped = source.isin("traded", "crexi", "instagram", "upload")
     blank = F.coalesce(F.trim(asset_type), F.lit("")).isin("", "Multifamily")
-    return F.coalesce(scraped & (F.coalesce(bldg_class, F.lit("")) == "") & (units <= 2) & blank, F.lit(False))
+    return F.coalesce(scraped & (F.trim(F.coalesce(bldg_class, F.lit(""))) == "") & (units <= 2) & blank, F.lit(False))
 
 
 def asset_from_slug(url: Column) -> Column:

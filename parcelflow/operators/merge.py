@@ -1,7 +1,7 @@
 """Stateful merges as pure functions: (stored rows, an ordered batch) -> decisions.
 
-Batches carry `ord`: an earlier row of a batch is visible to later ones, so each rule is put as a window over ord
-or as an aggregate that takes the first row.
+Batches carry `ord`: an earlier row of a batch is visible to later ones, so each rule is put as a window over ord,
+as an aggregate that takes the first row, or, where rows wait for one another, as rounds over the rows still open.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions.classify import residential_gate, small_unit_flag
 from parcelflow.functions.normalize import is_placeholder
+from parcelflow.sources import landing
 
 
 def upsert_fill(stored: DataFrame, batch: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -34,33 +35,84 @@ def new_entities(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return fresh.join(stored, "norm_name", "left_anti")
 
 
-def merge_status(stored: DataFrame, batch: DataFrame, ledger: DataFrame) -> DataFrame:
-    """One status for each batch row, by the first rule that applies: exclusion ledger, banned type, building class, deed id
-    seen, (address, price, date) seen, else merged (flagged where small units lack class evidence).
+def _ledger_key(price: Column) -> Column:
+    """Exclusions are kept by whole amounts; an unknown price is 0."""
+    return F.coalesce(price, F.lit(0)).cast("bigint")
+
+
+def class_exclusions(batch: DataFrame) -> DataFrame:
+    """(address_norm, _price, reason, since): what the batch's class rejections add to the exclusion ledger, and the ord from which they are in it. A banned type is rejected
+    before its class is looked at and adds nothing."""
+    gate = residential_gate(F.col("asset_type"), F.col("bldg_class"))
+    rejected = batch.withColumn("_gate", gate).filter(F.col("_gate").isin("one_two_family", "condo_unit"))
+    first = F.min(F.struct("ord", F.when(F.col("_gate") == "condo_unit", "condo").otherwise("one_two_family").alias("reason"))).alias("f")
+    return rejected.groupBy("address_norm", _ledger_key(F.col("sale_price")).alias("_price")).agg(first).select("address_norm", "_price", "f.reason", F.col("f.ord").alias("since"))
+
+
+def _claims(df: DataFrame, *more: str) -> DataFrame:
+    """df with _doc and _key, what a row claims when it is stored: its deed id, and its property (address and borough), price and date. A row without an address or a borough is a
+    property of its own and claims no key; unknown prices and dates are values."""
+    known = F.col("address_norm").isNotNull() & F.col("borough").isNotNull()
+    key = F.struct("address_norm", "borough", "sale_price", F.col("sale_date").cast("string").alias("sale_date"))
+    doc = F.when(F.col("doc_id") != "", F.col("doc_id"))
+    return df.select(*more, doc.alias("_doc"), F.when(known, F.to_json(key, {"ignoreNullFields": "false"})).alias("_key"))
+
+
+def first_come(rows: DataFrame) -> DataFrame:
+    """rows (ord, _doc, _key) -> those that are stored if they come one after another and a row is refused whose deed id or key a stored one has.
+
+    A refused row claims nothing, so whether a row is stored depends on the rows before it that share a claim, on those before them, and so on. In each round the rows
+    that come first of all open rows with their deed id and of all with their key are stored, and open rows that share a claim with these are refused. Claims are pre-aggregated before they
+    are joined, so a hot one can be split. Rounds go on, each over the open rows only, until none is left: at least the first open row is stored each time; there are as many rounds as the
+    longest chain of rows, each refused only for the sake of the one before (two or three in practice)."""
+    spark = rows.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = landing.folder(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    open_, won = kept(rows, "open"), None
+    while not open_.isEmpty():
+        out = open_
+        for claim in ("_doc", "_key"):
+            first = open_.filter(F.col(claim).isNotNull()).groupBy(claim).agg(F.min("ord").alias(f"_first{claim}"))
+            out = out.join(first, claim, "left")
+        wins = kept(out.filter(" AND ".join(f"({c} IS NULL OR ord = _first{c})" for c in ("_doc", "_key"))).select("ord", "_doc", "_key"), "won")
+        won = wins if won is None else won.unionByName(wins)
+        rest = open_.join(wins.select("ord"), "ord", "left_anti")
+        for claim in ("_doc", "_key"):
+            rest = rest.join(wins.filter(F.col(claim).isNotNull()).select(claim), claim, "left_anti")
+        open_ = kept(rest, "open")
+    return won if won is not None else open_
+
 
-    Rows the gates reject claim no key. Of the rest, a repeated deed id within the batch is a duplicate of its first row, and so is a repeated
-    (address, price, date) among rows whose deed id is new."""
-    price = F.coalesce("sale_price", F.lit(0.0))
-    out = batch.withColumn("_price", price).join(ledger.select(F.col("addr_norm").alias("address_norm"), F.col("price").alias("_price"), F.lit(True).alias("_out")).distinct(), ["address_norm", "_price"], "left")
+def merge_status(stored: DataFrame, batch: DataFrame, ledger: DataFrame) -> DataFrame:
+    """stored (doc_id, address_norm, borough, sale_price, sale_date), batch (ord and the same, asset_type, bldg_class, units, source_system), ledger (addr_norm, price) -> (ord, status),
+    as if the rows came one after another:
+
+    rejected_excluded, if the ledger has the address and price, or an earlier row was rejected for its class with the same; rejected_banned_type; rejected_one_two_family and
+    rejected_condo_class, for the building's class; duplicate_doc, if a stored row or an earlier one that was merged has the deed id; duplicate_key, if one has the property, price
+    and date; else merged, or merged_flagged where small units lack class evidence. ord is unique. Rows that are not merged claim neither deed id nor key."""
+    price = _ledger_key(F.col("sale_price"))
+    out = batch.withColumn("_price", price)
+    held = ledger.select(F.col("addr_norm").alias("address_norm"), _ledger_key(F.col("price")).alias("_price"), F.lit(True).alias("_out")).distinct()
+    out = out.join(held, ["address_norm", "_price"], "left").join(class_exclusions(batch).drop("reason"), ["address_norm", "_price"], "left")
     gate = residential_gate(F.col("asset_type"), F.col("bldg_class"))
-    out = out.withColumn("_gate", F.when(F.col("_out"), "rejected_excluded").when(gate == "banned_asset_type", "rejected_banned_type").when(gate == "one_two_family", "rejected_one_two_family").when(gate == "condo_unit", "rejected_condo_class"))
-    passed = F.col("_gate").isNull()
-    docs = stored.filter("doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("_doc")).distinct()
-    out = out.join(docs, "doc_id", "left")
-    # Rows that no earlier row can decide (without a deed id, or rejected) are a partition each, so that they don't gather in one task.
-    by_doc = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull() | ~passed, F.col("ord"))).orderBy("ord")
-    doc_seen = F.col("doc_id").isNotNull() & (F.coalesce("_doc", F.lit(False)) | (F.row_number().over(by_doc) > 1))
-    out = out.withColumn("_doc_seen", passed & doc_seen)
-    key = ["address_norm", "sale_price", "sale_date"]
-    held = stored.select(*key).distinct().withColumn("_key", F.lit(True)).alias("h")
-    o = out.alias("o")
-    same = F.col("o.address_norm").eqNullSafe(F.col("h.address_norm")) & F.col("o.sale_price").eqNullSafe(F.col("h.sale_price")) & F.col("o.sale_date").eqNullSafe(F.col("h.sale_date"))
-    out = o.join(held, same, "left").select("o.*", "h._key")
-    free = passed & ~F.col("_doc_seen")
-    by_key = Window.partitionBy(*key, F.when(~free, F.col("ord"))).orderBy("ord")
-    key_seen = F.coalesce("_key", F.lit(False)) | (F.row_number().over(by_key) > 1)
+    excluded = F.coalesce("_out", F.lit(False)) | F.coalesce(F.col("since") < F.col("ord"), F.lit(False))
+    gated = F.when(excluded, "rejected_excluded").when(gate == "banned_asset_type", "rejected_banned_type").when(gate == "one_two_family", "rejected_one_two_family").when(gate == "condo_unit", "rejected_condo_class")
     small = small_unit_flag(F.col("source_system"), F.col("bldg_class"), F.col("units"), F.col("asset_type"))
-    status = F.when(~passed, F.col("_gate")).when(F.col("_doc_seen"), "duplicate_doc").when(key_seen, "duplicate_key").when(small, "merged_flagged").otherwise("merged")
+    out = out.withColumn("_gate", gated).withColumn("_small", small)
+    out = _claims(out, "ord", "_gate", "_small")
+    claimed = _claims(stored)
+    docs = claimed.filter("_doc IS NOT NULL").select("_doc", F.lit(True).alias("_doc_held")).distinct()
+    keys = claimed.filter("_key IS NOT NULL").select("_key", F.lit(True).alias("_key_held")).distinct()
+    out = out.join(docs, "_doc", "left").join(keys, "_key", "left")
+    won = first_come(out.filter("_gate IS NULL AND _doc_held IS NULL AND _key_held IS NULL").select("ord", "_doc", "_key"))
+    by_doc = won.filter("_doc IS NOT NULL").select("_doc", F.col("ord").alias("_winner"))
+    out = out.join(by_doc, "_doc", "left").join(won.select("ord", F.lit(True).alias("_won")), "ord", "left")
+    earlier = F.coalesce("_doc_held", F.lit(False)) | F.coalesce(F.col("_winner") < F.col("ord"), F.lit(False))
+    status = F.when(F.col("_gate").isNotNull(), F.col("_gate")).when(F.col("_won"), F.when(F.col("_small"), "merged_flagged").otherwise("merged")).when(earlier, "duplicate_doc").otherwise("duplicate_key")
     return out.select("ord", status.alias("status"))
 
 

@@ -119,34 +119,42 @@ def upsert_entities(names, entities):
     return G.new_entities(entities, names.select(N.norm_entity(c("name")).alias("norm_name"), c("name").alias("display_name"), c("id").alias("ord")))
 
 
-BATCH = "SELECT deal_id AS ord, address_norm, sale_price, sale_date, CASE WHEN deal_id % 29 = 0 THEN 'Condo' ELSE asset_type END AS asset_type, CASE WHEN deal_id % 31 = 0 THEN 'A1' WHEN deal_id % 37 = 0 THEN 'R4' WHEN deal_id % 5 = 0 THEN NULL ELSE bldg_class END AS bldg_class, source_system, units, concat('D', deal_id % 4000) AS doc_id FROM deals WHERE created_on >= DATE '1999-01-01'"
-MERGE = f"""WITH b AS ({BATCH}), s AS (SELECT *, concat('D', deal_id % 4000) AS doc_id FROM deals WHERE created_on < DATE '1999-01-01'),
-g AS (SELECT b.*, CASE WHEN EXISTS (SELECT 1 FROM exclusion_ledger x WHERE x.addr_norm = b.address_norm AND x.price = coalesce(b.sale_price, 0)) THEN 'rejected_excluded' WHEN asset_type = 'Condo' THEN 'rejected_banned_type' WHEN regexp_matches(bldg_class, '^(A[0-9A-Z]?|B[0-9A-Z]?|RG)$') THEN 'rejected_one_two_family' WHEN regexp_matches(bldg_class, '^R[0-9A-Z]?$') THEN 'rejected_condo_class' END AS gate FROM b),
-d AS (SELECT *, gate IS NULL AND (doc_id IN (SELECT doc_id FROM s) OR row_number() OVER (PARTITION BY doc_id, gate IS NULL ORDER BY ord) > 1) AS doc_seen FROM g),
-k AS (SELECT d.*, EXISTS (SELECT 1 FROM s WHERE s.address_norm = d.address_norm AND s.sale_price IS NOT DISTINCT FROM d.sale_price AND s.sale_date IS NOT DISTINCT FROM d.sale_date) OR row_number() OVER (PARTITION BY address_norm, sale_price, sale_date, gate IS NULL AND NOT doc_seen ORDER BY ord) > 1 AS key_seen FROM d)
-SELECT ord, CASE WHEN gate IS NOT NULL THEN gate WHEN doc_seen THEN 'duplicate_doc' WHEN key_seen THEN 'duplicate_key' WHEN source_system IN ('traded', 'crexi') AND coalesce(bldg_class, '') = '' AND units <= 2 AND asset_type = 'Multifamily' THEN 'merged_flagged' ELSE 'merged' END AS status FROM k"""
-
-
-def _batch(deals):
-    n = c("deal_id")
-    return deals.filter(NEW).select(
-        n.alias("ord"), "address_norm", "sale_price", "sale_date", F.when(n % 29 == 0, "Condo").otherwise(c("asset_type")).alias("asset_type"),
-        F.when(n % 31 == 0, "A1").when(n % 37 == 0, "R4").when(n % 5 == 0, None).otherwise(c("bldg_class")).alias("bldg_class"), "source_system", "units", F.concat(F.lit("D"), (n % 4000).cast("string")).alias("doc_id"),
-    )
-
-
-def _stored(deals):
-    return deals.filter(OLD).withColumn("doc_id", F.concat(F.lit("D"), (c("deal_id") % 4000).cast("string")))
-
-
-@query("deals", "exclusion_ledger", sql=MERGE)
-def merge_deals(deals, ledger):
-    return G.merge_status(_stored(deals), _batch(deals), ledger)
-
-
-@query("deals", "exclusion_ledger", sql=f"SELECT status, count(*) AS n FROM ({MERGE}) GROUP BY status")
-def sync_upsert_batch(deals, ledger):
-    return G.merge_status(_stored(deals), _batch(deals), ledger).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+#: The rules one row after another: what is contested (a deed id or key that another passed row of the batch has) goes through a recursion in order that holds the claims so far.
+MERGE = """WITH b AS (SELECT *, CASE WHEN doc IS NOT NULL THEN concat('D', doc) END AS doc_id, CAST(trunc(coalesce(sale_price, 0)) AS BIGINT) AS whole,
+  CASE WHEN borough IS NOT NULL THEN concat(address_norm, '|', borough, '|', coalesce(CAST(sale_price AS VARCHAR), '-'), '|', coalesce(CAST(sale_date AS VARCHAR), '-')) END AS claim FROM reports),
+s AS (SELECT concat('D', deal_id % 4000) AS doc_id, concat(address_norm, '|', borough, '|', coalesce(CAST(sale_price AS VARCHAR), '-'), '|', coalesce(CAST(sale_date AS VARCHAR), '-')) AS claim FROM deals WHERE created_on < DATE '1999-01-01' AND deal_id % 3 = 0),
+c AS (SELECT *, CASE WHEN asset_type = 'Condo' THEN 'rejected_banned_type' WHEN regexp_matches(bldg_class, '^(A[0-9A-Z]?|B[0-9A-Z]?|RG)$') THEN 'rejected_one_two_family' WHEN regexp_matches(bldg_class, '^R[0-9A-Z]?$') THEN 'rejected_condo_class' END AS why FROM b),
+x AS (SELECT addr_norm AS address_norm, CAST(trunc(price) AS BIGINT) AS whole, -1 AS since FROM exclusion_ledger UNION ALL SELECT address_norm, whole, ord FROM c WHERE why IN ('rejected_one_two_family', 'rejected_condo_class')),
+m AS (SELECT address_norm, whole, min(since) AS since FROM x GROUP BY 1, 2),
+g AS (SELECT c.*, CASE WHEN m.since < c.ord THEN 'rejected_excluded' ELSE why END AS gate, doc_id IN (SELECT doc_id FROM s) AS doc_held, coalesce(claim IN (SELECT claim FROM s), false) AS key_held FROM c LEFT JOIN m ON m.address_norm = c.address_norm AND m.whole = c.whole),
+o AS (SELECT ord, doc_id, claim, count(*) OVER (PARTITION BY doc_id) > 1 AND doc_id IS NOT NULL OR count(*) OVER (PARTITION BY claim) > 1 AND claim IS NOT NULL AS contested FROM g WHERE gate IS NULL AND NOT coalesce(doc_held, false) AND NOT key_held),
+q AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ord) AS i FROM o WHERE contested),
+f(one, i, docs, claims, won) USING KEY (one) AS (
+  SELECT 1, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[])
+  UNION
+  SELECT 1, nr, CASE WHEN take AND doc_id IS NOT NULL THEN list_append(docs, doc_id) ELSE docs END, CASE WHEN take AND claim IS NOT NULL THEN list_append(claims, claim) ELSE claims END, CASE WHEN take THEN list_append(won, ord) ELSE won END
+  FROM (SELECT f.docs, f.claims, f.won, q.ord, q.doc_id, q.claim, q.i AS nr, NOT (list_contains(docs, coalesce(q.doc_id, '')) OR list_contains(claims, coalesce(q.claim, ''))) AS take FROM f JOIN q ON q.i = f.i + 1) z
+),
+w AS (SELECT unnest(won) AS ord FROM f UNION SELECT ord FROM o WHERE NOT contested),
+d AS (SELECT doc_id, min(g.ord) AS winner FROM w JOIN g ON g.ord = w.ord WHERE doc_id IS NOT NULL GROUP BY 1)
+SELECT g.ord, CASE WHEN gate IS NOT NULL THEN gate WHEN g.ord IN (SELECT ord FROM w) THEN CASE WHEN source_system IN ('traded', 'crexi') AND coalesce(bldg_class, '') = '' AND units <= 2 AND asset_type = 'Multifamily' THEN 'merged_flagged' ELSE 'merged' END
+  WHEN coalesce(doc_held, false) OR coalesce(d.winner < g.ord, false) THEN 'duplicate_doc' ELSE 'duplicate_key' END AS status FROM g LEFT JOIN d ON d.doc_id = g.doc_id"""
+
+
+def _merged(deals, ledger, reports):
+    stored = deals.filter(OLD).filter("deal_id % 3 = 0").withColumn("doc_id", F.concat(F.lit("D"), (c("deal_id") % 4000).cast("string")))
+    return G.merge_status(stored, reports.withColumn("doc_id", F.concat(F.lit("D"), c("doc").cast("string"))), ledger)
+
+
+@query("deals", "exclusion_ledger", "reports", sql=MERGE)
+def merge_deals(deals, ledger, reports):
+    """Late deals, and second and third reports of many of them under other deed ids or prices, so that rows wait for one another. A third of the early deals is stored."""
+    return _merged(deals, ledger, reports)
+
+
+@query("deals", "exclusion_ledger", "reports", sql=f"SELECT status, count(*) AS n FROM (WITH RECURSIVE{MERGE.removeprefix('WITH')}) GROUP BY status")
+def sync_upsert_batch(deals, ledger, reports):
+    return _merged(deals, ledger, reports).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 COARSE = "SELECT deal_id, property_id % 300 AS property_id, round(sale_price / 200000) AS sale_price, date_trunc('year', sale_date) AS sale_date, created_on FROM deals"

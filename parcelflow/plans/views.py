@@ -90,6 +90,15 @@ FROM (SELECT c_custkey AS row_num, c_custkey % 7 AS upload_id, {made_name('c_cus
 LEFT JOIN (SELECT o_custkey, min(property_id) AS property_id FROM deals GROUP BY o_custkey) d ON d.o_custkey = a.row_num LEFT JOIN properties p ON p.property_id = d.property_id""",
     "deed_masters": """
 SELECT deal_id AS document_id, sale_price * (95 + deal_id % 10) / 100 AS document_amt, sale_date AS deal_date, CAST(deal_id % 80 AS INT) - 40 AS day_shift, address_norm, borough, property_id, o_custkey, suppkey FROM deals""",
+    "reports": """
+SELECT deal_id AS ord, deal_id % 4000 AS doc, address_norm, borough, sale_price, sale_date, CASE WHEN deal_id % 29 = 0 THEN 'Condo' WHEN deal_id % 20 = 5 THEN 'Multifamily' ELSE asset_type END AS asset_type,
+  CASE WHEN deal_id % 31 = 0 THEN 'A1' WHEN deal_id % 37 = 0 THEN 'R4' WHEN deal_id % 5 = 0 THEN NULL ELSE bldg_class END AS bldg_class, source_system, CASE WHEN deal_id % 20 = 5 THEN 2 ELSE units END AS units FROM deals WHERE created_on >= DATE '1999-01-01'
+UNION ALL
+SELECT deal_id + 10000000, (deal_id + 1) % 4000, address_norm, borough, sale_price, sale_date, asset_type, bldg_class, 'traded', units FROM deals WHERE created_on >= DATE '1999-01-01' AND deal_id % 3 = 0
+UNION ALL
+SELECT deal_id + 20000000, CASE WHEN deal_id % 4 = 0 THEN NULL ELSE (deal_id + 1) % 4000 END, address_norm, CASE WHEN deal_id % 10 = 0 THEN NULL ELSE borough END, coalesce(sale_price, 0) + 1, sale_date, asset_type, bldg_class, 'crexi', units FROM deals WHERE created_on >= DATE '1999-01-01' AND deal_id % 2 = 0
+UNION ALL
+SELECT deal_id + 30000000, (deal_id + 2) % 4000, address_norm, borough, coalesce(sale_price, 0) + 1, sale_date, asset_type, bldg_class, 'crexi', units FROM deals WHERE created_on >= DATE '1999-01-01' AND deal_id % 6 = 0""",
     "fetch_ledger": "SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN 'fetch_error:HTTP' ELSE 'ok' END AS disposition FROM {pages}",
     "exclusion_ledger": "SELECT DISTINCT address_norm AS addr_norm, coalesce(sale_price, 0) AS price, 'one_two_family' AS reason FROM deals WHERE confidence = 7",
     "raw_names": """
@@ -144,7 +153,7 @@ def with_views(sql: str) -> str:
     head = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
     if names:
         body = sql.strip()
-        sql = f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head}\n{body}"
+        sql = f"WITH RECURSIVE {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head}\n{body}"
     return re.sub(r"\{([a-z_]+)\}", r"\1", sql)
 
 

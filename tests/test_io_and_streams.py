@@ -3,6 +3,8 @@
 import json
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from parcelflow.operators import merge, similarity
@@ -106,25 +108,63 @@ def test_trigram_join_is_exact(spark):
         assert {(r.l_id, r.r_id) for r in similarity.trigram_join(left, right, least).collect()} == want
 
 
-def test_merge_status_with_few_deed_ids_equals_a_fold(spark):
-    """Nine rows of ten have no deed id: the fold's statuses, and no window partition gathers those rows."""
-    rng = random.Random(3)
-    kind = "ord long, doc_id string, address_norm string, sale_price double, sale_date string, asset_type string, bldg_class string, units int, source_system string"
-    make = lambda o: (o, f"D{rng.randrange(20)}" if rng.random() < 0.1 else None, rng.choice([None, "a", "b", "c", "d"]), rng.choice([None, 1.0, 2.0, 3.0]), rng.choice([None, "x", "y", "z"]), "Office", rng.choice(["O1", "A1"]), 20, "deed")
-    stored, batch = [make(o) for o in range(20)], [make(o) for o in range(20, 620)]
-    docs, keys, want = {r[1] for r in stored if r[1]}, {r[2:5] for r in stored}, {}
-    for r in batch:
-        if (r[2], r[3] or 0.0) == ("a", 2.0):
-            want[r[0]] = "rejected_excluded"
-        elif r[6] == "A1":
-            want[r[0]] = "rejected_one_two_family"
-        elif r[1] in docs:
-            want[r[0]] = "duplicate_doc"
+MERGE_ROW = "ord long, doc_id string, address_norm string, borough string, sale_price double, sale_date string, asset_type string, bldg_class string, units int, source_system string"
+
+
+def merged_one_by_one(stored, batch, ledger):
+    """The rules as a loop over rows: nothing that is refused leaves a claim, a class rejection leaves an exclusion."""
+    docs, keys, out = {r[1] for r in stored if r[1]}, {r[2:6] for r in stored if r[2] is not None and r[3] is not None}, set(ledger)
+    status = {}
+    for n, doc, address, borough, price, day, kind, cls, units, source in sorted(batch):
+        spot, cls = (address, int(price or 0)), (cls or "").strip()
+        if spot in out:
+            status[n] = "rejected_excluded"
+        elif kind in ("Condo", "Co-op"):
+            status[n] = "rejected_banned_type"
+        elif cls[:1] in ("A", "B"):
+            out.add(spot)
+            status[n] = "rejected_one_two_family"
+        elif cls[:1] == "R":
+            out.add(spot)
+            status[n] = "rejected_condo_class"
+        elif doc and doc in docs:
+            status[n] = "duplicate_doc"
+        elif borough is not None and (address, borough, price, day) in keys:
+            status[n] = "duplicate_key"
         else:
-            want[r[0]] = "duplicate_key" if r[2:5] in keys else "merged"
-            docs |= {r[1]} - {None}
-            keys.add(r[2:5])
-    ledger = spark.createDataFrame([("a", 2.0)], "addr_norm string, price double")
-    got = merge.merge_status(spark.createDataFrame(stored, kind), spark.createDataFrame(batch, kind), ledger)
-    assert {r.ord: r.status for r in got.collect()} == want
-    assert {"merged", "duplicate_key", "duplicate_doc", "rejected_excluded", "rejected_one_two_family"} == set(want.values())
+            small = not cls and source in ("traded", "crexi", "instagram", "upload") and units is not None and units <= 2 and kind in ("Multifamily", "", None)
+            status[n] = "merged_flagged" if small else "merged"
+            if doc:
+                docs.add(doc)
+            if borough is not None:
+                keys.add((address, borough, price, day))
+    return status
+
+
+@pytest.mark.parametrize("seed, docs, addresses", [(3, 20, 4), (4, 300, 60), (5, 6, 2)])
+def test_merge_status_equals_a_loop(spark, seed, docs, addresses):
+    rng = random.Random(seed)
+
+    def make(n):
+        doc = rng.choice([None, "", *[f"D{rng.randrange(docs)}"] * 6])
+        return (n, doc, f"{rng.randrange(addresses)} main st", rng.choice([None, "Queens", "Bronx"]), rng.choice([None, 1.0, 2.5, 3.0]), rng.choice([None, "2020-01-01", "2021-01-01"]), rng.choice(["Office", "Office", "Office", "Multifamily", None, "Condo"]), rng.choice([*["O1"] * 9, None, "", "A1", "R4"]), rng.choice([None, 1, 20]), rng.choice(["traded", "upload", "acris"]))
+
+    stored, batch = [make(n) for n in range(5)], [make(n) for n in range(20, 520)]
+    ledger = spark.createDataFrame([("0 main st", 2.0)], "addr_norm string, price double")
+    got = merge.merge_status(spark.createDataFrame(stored, MERGE_ROW), spark.createDataFrame(random.Random(1).sample(batch, 500), MERGE_ROW), ledger).collect()
+    assert {r.ord: r.status for r in got} == merged_one_by_one(stored, batch, {("0 main st", 2)}) and len(got) == 500
+    assert len({r.status for r in got}) == 8 or seed != 3
+
+
+def test_merge_status_of_a_chain_and_of_a_rejected_class(spark):
+    """Each row is refused or not for the sake of the one before; and a class rejection meets a later row with the same address and price."""
+    chain = [(n, f"D{(n + 1) // 2}", f"{n // 2} main st", "Queens", 1.0, None, "Office", "O1", 9, "deed") for n in range(9)]
+    classes = [(100, "E1", "x", "Queens", 3.0, None, "Office", "A1", 9, "deed"), (101, "E2", "x", "Bronx", 3.2, None, "Office", "O1", 9, "deed"), (102, "E3", "x", "Bronx", 4.0, None, "Office", "O1", 9, "deed")]
+    none = spark.createDataFrame([], "addr_norm string, price double")
+    got = merge.merge_status(spark.createDataFrame([], MERGE_ROW), spark.createDataFrame(chain + classes, MERGE_ROW), none).collect()
+    assert {r.ord: r.status for r in got} == merged_one_by_one([], chain + classes, set())
+    assert {r.ord: r.status for r in got}[101] == "rejected_excluded"
+    empty = spark.createDataFrame([], MERGE_ROW)
+    assert merge.merge_status(empty, empty, none).collect() == []
+
+
