@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelflow.sources import landing
@@ -21,39 +24,105 @@ def similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(x, y)) / F.when(F.size(F.array_union(x, y)) > 0, F.size(F.array_union(x, y))), F.lit(0.0))
 
 
-def _distinct_sets(names: DataFrame, key: str, grams: str) -> DataFrame:
-    """The distinct names with their trigrams, written once: every later step reads them."""
-    sets = names.select(F.col("name").alias(key)).distinct().withColumn(grams, trigrams(F.col(key))).filter(F.size(grams) > 0)
-    path = landing.folder(names.sparkSession, "trigrams")
-    sets.write.parquet(path)
-    return names.sparkSession.read.schema(sets.schema).parquet(path)
+def _at_least(c: Column) -> Column:
+    """The smallest whole number that isn't below c; a product like 0.6 * 5 may lie just above 3."""
+    return F.ceil(c - 1e-9)
+
+
+def _sets(names: DataFrame) -> DataFrame:
+    """The distinct names as (name_id, name, grams, n). Names that collide in name_id are told apart at the last, when whole sets are compared."""
+    sets = names.select("name").distinct().withColumn("grams", trigrams(F.col("name"))).filter(F.size("grams") > 0)
+    return sets.select(F.xxhash64("name").alias("name_id"), "name", "grams", F.size("grams").alias("n"))
+
+
+class TrigramIndex:
+    """An inverted index of names that stays in a folder: a batch of names only probes it, and new names are appended.
+
+    Tables: postings (g, name_id, n), bucketed by trigram, with each name's number of trigrams; names (name_id, name, grams), bucketed; keys (name_id, name, key), bucketed, the keys that bear a name;
+    frequencies (g, f). Buckets are met without the index being shuffled. Any session that opens the folder registers its tables. One writer at a time."""
+
+    TABLES = {"postings": ("g string, name_id bigint, n int", "g"), "names": ("name_id bigint, name string, grams array<string>", "name_id"), "keys": ("name_id bigint, name string, key {key}", "name_id, name"), "frequencies": ("g string, f bigint", None)}
+
+    def __init__(self, spark: SparkSession, path: str | None = None, key_type: str = "string", buckets: int | None = None):
+        self.spark, self.path = spark, (path or landing.folder(spark, "trigram_index")).rstrip("/")
+        meta = f"{self.path}/_meta"
+        try:
+            self.buckets, self.key_type = spark.read.schema("buckets int, key_type string").parquet(meta).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            self.buckets, self.key_type = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), key_type
+            spark.createDataFrame([(self.buckets, self.key_type)], "buckets int, key_type string").coalesce(1).write.parquet(meta)
+        tag = hashlib.sha256(self.path.encode()).hexdigest()[:20]
+        self.names = {t: f"trigrams_{t}_{tag}" for t in self.TABLES}
+        for t, (columns, by) in self.TABLES.items():
+            cluster = f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS" if by else ""
+            place = f"{self.path}/{t}".replace("\\", "\\\\").replace("'", "\\'")
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.names[t]} ({columns.format(key=self.key_type)}) USING parquet {cluster} LOCATION '{place}'")
+            spark.catalog.refreshTable(self.names[t])
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.table(self.names[name])
+
+    def add(self, names: DataFrame) -> TrigramIndex:
+        """names (key, name): appends the keys, and the names that the index lacks. A key that is added twice under one name is held twice; null and empty names are left out."""
+        keyed = names.select(F.xxhash64("name").alias("name_id"), "name", F.col("key").cast(self.key_type).alias("key")).filter(F.size(trigrams(F.col("name"))) > 0)
+        fresh = _sets(names).join(self.table("keys").select("name_id", "name"), ["name_id", "name"], "left_anti")
+        path = landing.folder(self.spark, "trigrams_new")
+        fresh.write.parquet(path)
+        fresh = self.spark.read.schema(fresh.schema).parquet(path)
+        postings = fresh.select(F.explode("grams").alias("g"), "name_id", "n")
+        self._append("postings", postings, "g")
+        self._append("frequencies", postings.groupBy("g").agg(F.count(F.lit(1)).alias("f")))
+        self._append("keys", keyed, "name_id", "name")
+        self._append("names", fresh.select("name_id", "name", "grams"), "name_id")
+        return self
+
+    def _append(self, name: str, rows: DataFrame, *by: str) -> None:
+        (rows.repartition(self.buckets, *by) if by else rows.coalesce(1)).write.insertInto(self.names[name])  # frequencies: a row a trigram
+        self.spark.catalog.refreshTable(self.names[name])
+
+    def candidates(self, sets: DataFrame, least: float) -> DataFrame:
+        """sets (name_id, n, grams) -> (l, r): every pair that may have a likeness of at least `least`, and few others.
+
+        Of a name with n trigrams the ceil(t n) - 1 most frequent are set aside: who is t alike shares at least one of the rest, and, as it shares
+        ceil(t / (1 + t) (n + m)) in all, at least that many less those set aside. Pairs that share fewer go before any set is read. The index has at most a row for each trigram of letters, digits and
+        blanks, some 50,000, in its frequencies, so these are broadcast."""
+        freq = F.broadcast(self.table("frequencies").groupBy("g").agg(F.sum("f").alias("f")))
+        each = sets.select(F.col("name_id").alias("l"), F.col("n").alias("ln"), F.explode("grams").alias("g")).join(freq, "g", "left")
+        rank = F.row_number().over(Window.partitionBy("l").orderBy(F.coalesce("f", F.lit(0)), "g"))
+        aside = _at_least(F.col("ln") * least) - 1
+        rare = each.withColumn("rank", rank).filter((F.col("rank") <= F.col("ln") - aside) & F.col("f").isNotNull()).select("l", "ln", "g")
+        held = self.table("postings").select("g", F.col("name_id").alias("r"), F.col("n").alias("rn"))
+        sized = (F.col("ln") >= _at_least(F.col("rn") * least)) & (F.col("rn") >= _at_least(F.col("ln") * least))
+        shared = rare.join(held, "g").filter(sized).groupBy("l", "r", "ln", "rn").agg(F.count(F.lit(1)).alias("shared"))
+        enough = F.col("shared") >= _at_least((F.col("ln") + F.col("rn")) * (least / (1 + least))) - aside
+        return shared.filter(enough).select("l", "r")
+
+    def probe(self, asked: DataFrame, least: float, asked_id: str = "id", key: str = "key") -> DataFrame:
+        """asked (id, name) -> (id, key, sim): every key with a name whose similarity is at least `least` (over 0). Distinct names are compared once; null and empty names match nothing."""
+        path = landing.folder(self.spark, "asked_sets")
+        sets = _sets(asked)
+        sets.write.parquet(path)
+        sets = self.spark.read.schema(sets.schema).parquet(path)
+        l = sets.select(F.col("name_id").alias("l"), F.col("name").alias("l_name"), F.col("grams").alias("lg"))  # noqa: E741
+        r = self.table("names").select(F.col("name_id").alias("r"), F.col("name").alias("r_name"), F.col("grams").alias("rg"))
+        both = F.size(F.array_intersect("lg", "rg"))
+        sim = both / (F.size("lg") + F.size("rg") - both)
+        near = self.candidates(sets, least).join(l, "l").join(r, "r").select("l", "l_name", "r", "r_name", sim.alias("sim")).filter(F.col("sim") >= least)
+        keys = self.table("keys").select(F.col("name_id").alias("r"), F.col("name").alias("r_name"), F.col("key").alias(key))
+        who = asked.select(F.col(asked_id), F.col("name").alias("l_name"))
+        return near.join(who, "l_name").join(keys, ["r", "r_name"]).select(asked_id, key, "sim")
+
+
+def indexed(names: DataFrame, key: str) -> TrigramIndex:
+    """A new index of names (key, name)."""
+    return TrigramIndex(names.sparkSession, key_type=names.schema[key].dataType.simpleString()).add(names.select(F.col(key).alias("key"), "name"))
 
 
 def trigram_join(left: DataFrame, right: DataFrame, least: float, left_id: str = "l_id", right_id: str = "r_id") -> DataFrame:
-    """left (l_id, name), right (r_id, name) -> every pair with a similarity of at least `least`, with sim.
-
-    Exact, by prefix filtering over distinct names: two sets with Jaccard likeness t share a trigram among each one's rarest n - ceil(t n) + 1, so
-    only those are joined, and only where lengths and places let the pair reach t; a trigram that most names have is in few prefixes. Pairs are then verified on their whole sets."""
-    l, r = _distinct_sets(left, "l", "lt"), _distinct_sets(right, "r", "rt")  # noqa: E741
-    each = l.select(F.explode("lt").alias("g")).unionByName(r.select(F.explode("rt").alias("g")))
-    freq = each.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    least_of = lambda c: F.ceil(c - 1e-9)  # noqa: E731  a product like 0.6 * 5 may lie just above 3
-
-    def prefix(df: DataFrame, key: str, grams: str) -> DataFrame:
-        ranked = df.select(key, F.size(grams).alias("n"), F.explode(grams).alias("g")).join(freq, "g")
-        rank = F.row_number().over(Window.partitionBy(key).orderBy("f", "g"))
-        return ranked.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - least_of(F.col("n") * least) + 1).select(key, "g", "n", "rank")
-
-    lp = prefix(l, "l", "lt").withColumnsRenamed({"n": "ln", "rank": "lk"})
-    rp = prefix(r, "r", "rt").withColumnsRenamed({"n": "rn", "rank": "rk"})
-    sized = (F.col("ln") >= least_of(F.col("rn") * least)) & (F.col("rn") >= least_of(F.col("ln") * least))
-    # At the first trigram that two names share, what can still be shared lies behind it in both.
-    reach = 1 + F.least(F.col("ln") - F.col("lk"), F.col("rn") - F.col("rk")) >= least_of((F.col("ln") + F.col("rn")) * (least / (1 + least)))
-    pairs = lp.join(rp, "g").filter(sized & reach).select("l", "r").distinct()
-    sim = F.size(F.array_intersect("lt", "rt")) / F.size(F.array_union("lt", "rt"))
-    near = pairs.join(l, "l").join(r, "r").select("l", "r", sim.alias("sim")).filter(F.col("sim") >= least)
-    asked, held = left.select(F.col(left_id).alias("l_key"), F.col("name").alias("l")), right.select(F.col(right_id).alias("r_key"), F.col("name").alias("r"))
-    return near.join(asked, "l").join(held, "r").select(F.col("l_key").alias(left_id), F.col("r_key").alias(right_id), "sim")
+    """left (l_id, name), right (r_id, name) -> every pair with a similarity of at least `least`, with sim. Exact. A new index of the right side is made; where the right side stays, keep its index and probe it."""
+    return indexed(right, right_id).probe(left, least, left_id, right_id)
 
 
 def resolve_tiered(names: DataFrame, entities: DataFrame, aliases: DataFrame, least: float = 0.45, top: int = 5) -> DataFrame:

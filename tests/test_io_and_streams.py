@@ -168,3 +168,37 @@ def test_merge_status_of_a_chain_and_of_a_rejected_class(spark):
     assert merge.merge_status(empty, empty, none).collect() == []
 
 
+
+
+def test_trigram_index_is_probed_without_a_shuffle_of_its_side(spark, tmp_path):
+    """Names appended in two parts, by two handles of one folder, are found as if they were one; the plan of a probe has no exchange above the index's tables."""
+    rng = random.Random(8)
+    make = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 6))) for _ in range(2))
+    names = [(i, make()) for i in range(300)] + [(300, None), (301, ""), (302, "aa bb"), (303, "aa bb")]
+    held = spark.createDataFrame(names, "key long, name string")
+    index = similarity.TrigramIndex(spark, str(tmp_path / "index"), "bigint")
+    index.add(held.filter("key < 150"))
+    similarity.TrigramIndex(spark, str(tmp_path / "index")).add(held.filter("key >= 150"))
+    asked = spark.createDataFrame([(i, make()) for i in range(60)] + [(60, "aa bb"), (61, None), (62, "aa bb")], "id long, name string")
+    index = similarity.TrigramIndex(spark, str(tmp_path / "index"))
+    whole = similarity.trigram_join(asked, held, 0.4, "id", "key").collect()
+    got = index.probe(asked, 0.4).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, whole)) and {(60, 302), (60, 303), (62, 302)} <= {(r.id, r.key) for r in got}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = index.probe(asked, 0.4)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for table in ("postings", "names", "keys"):
+        at = next(i for i, line in enumerate(plan) if "FileScan" in line and f"trigrams_{table}_" in line)
+        above, now = [], depth(plan[at])
+        for line in reversed(plan[:at]):
+            if depth(line) < now:
+                now = depth(line)
+                above.append(line)
+                if "Join" in line:
+                    break
+        assert "Join" in above[-1] and not any("Exchange" in line for line in above), above
