@@ -146,8 +146,17 @@ def resolve_scored(asked: DataFrame, entities: DataFrame, aliases: DataFrame, pr
     asset_type): one row for each party of a deal, which is made distinct before it is joined."""
     names = entities.select("entity_id", F.col("norm_name").alias("name")).unionByName(aliases.select("entity_id", F.col("alias_norm").alias("name")))
     near = trigram_join(asked.select("id", "name"), names, least, "id", "entity_id").groupBy("id", "entity_id").agg(F.max("sim").alias("name_score"))
-    at = trigram_join(asked.select("id", F.col("address").alias("name")), properties.select("property_id", F.col("address_norm").alias("name")), 0.72, "id", "property_id")
-    here = at.join(history.select("property_id", "entity_id").distinct(), "property_id").select("id", "entity_id", F.lit(True).alias("here")).distinct()
+    path = landing.folder(asked.sparkSession, "candidates")
+    near.write.parquet(path)
+    near = asked.sparkSession.read.schema(near.schema).parquet(path)
+    # Addresses are compared for the candidates found only: the one asked for with those where the candidate was a party, as sets that are made once for each address.
+    wanted = asked.select("id", trigrams(F.col("address")).alias("g")).filter(F.size("g") > 0)
+    places = properties.select("property_id", trigrams(F.col("address_norm")).alias("h")).filter(F.size("h") > 0)
+    met = near.select("id", "entity_id").join(history.select("entity_id", "property_id").distinct(), "entity_id").join(wanted, "id").join(places, "property_id")
+    small, large = F.least(F.size("g"), F.size("h")), F.greatest(F.size("g"), F.size("h"))
+    both = F.size(F.array_intersect("g", "h"))
+    alike = (small >= _at_least(large * 0.72)) & (both / (F.size("g") + F.size("h") - both) >= 0.72)
+    here = met.filter(alike).select("id", "entity_id", F.lit(True).alias("here")).distinct()
     in_borough = history.select("entity_id", "borough", F.lit(True).alias("known")).distinct()
     of_asset = history.select("entity_id", F.lower("asset_type").alias("asset"), F.lit(True).alias("dealt")).distinct()
     j = near.join(asked.select("id", "borough", F.lower("asset").alias("asset")), "id").join(here, ["id", "entity_id"], "left")
