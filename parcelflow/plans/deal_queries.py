@@ -496,7 +496,7 @@ def q_contact_search(entities, contacts):
     return entities.filter(c("display_name").ilike("%0012%")).join(contacts, "entity_id").groupBy("entity_id", "display_name").agg(F.array_join(F.transform(items, lambda x: x["t"]), ",").alias("contacts"))
 
 
-@query("deals", sql=f"SELECT deal_id, CAST(created_on AS VARCHAR) AS created_on FROM deals WHERE created_on + update_lag * INTERVAL 1 DAY >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY ORDER BY created_on + update_lag * INTERVAL 1 DAY DESC, deal_id LIMIT 500", also=("st_window_recent",))
+@query("deals", sql=f"SELECT deal_id, CAST(created_on AS VARCHAR) AS created_on FROM deals WHERE created_on + update_lag * INTERVAL 1 DAY >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY ORDER BY created_on + update_lag * INTERVAL 1 DAY DESC, deal_id LIMIT 500")
 def q_recent_changes(deals):
     changed = F.date_add("created_on", c("update_lag"))
     return deals.filter(changed >= F.date_sub(F.lit(AS_OF).cast("date"), 30)).orderBy(changed.desc(), "deal_id").limit(500).select("deal_id", c("created_on").cast("string").alias("created_on"))

@@ -110,40 +110,74 @@ def sink_csv_export(spark, deals):
 # Streams ------------------------------------------------------------------------------------------------------------
 
 
-def _streamed(spark, deals):
-    """Deals land as files, are merged by micro-batches into a table, and a second run finds nothing new. Returns the table's folder."""
+ARRIVED = "deal_id bigint, address_norm string, sale_price double, sale_date string, source_system string"
+
+
+def _streamed(spark, deals) -> incremental.Store:
+    """Deals land as files, some of them twice, and are merged by micro-batches into a stored table; a second run finds nothing new."""
     landed, table, check = (landing.folder(spark, n) for n in ("landed", "merged", "stream"))
     rows = deals.select("deal_id", "address_norm", "sale_price", c("sale_date").cast("string").alias("sale_date"), "source_system")
-    rows.unionByName(rows.filter("source_system = 'crexi'")).repartition(6, "deal_id").write.parquet(landed)  # some rows arrive twice
-    schema = "deal_id bigint, address_norm string, sale_price double, sale_date string, source_system string"
-    batches: list[int] = []
-
-    def merge(batch, number):
-        held = spark.read.schema(schema).parquet(*[f"{table}/{n}/inserted" for n in batches]) if batches else None
-        one = batch.dropDuplicates(["deal_id"])
-        fresh = one if held is None else one.join(held.select("deal_id"), "deal_id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{table}/{number}/inserted")  # a repeat of the last batch writes the same folder
-        n_in, n_new = batch.count(), spark.read.parquet(f"{table}/{number}/inserted").count()
-        spark.createDataFrame([("inserted", n_new), ("duplicate", n_in - n_new)], "status string, n bigint").write.mode("overwrite").parquet(f"{table}/{number}/stats")
-        if number not in batches:
-            batches.append(number)
-
+    rows.unionByName(rows.filter("source_system = 'crexi'")).repartition(6, "deal_id").write.parquet(landed)
     for _ in range(2):
-        incremental.ingest(spark, landed, schema, merge, check, files_per_batch=2).awaitTermination()
-    return table, batches
+        store = incremental.Store(spark, table, ARRIVED, "deal_id")  # as another process would open it
+        incremental.ingest(spark, landed, ARRIVED, store.merge, check, files_per_batch=3).awaitTermination()
+    return store
 
 
 @query("deals", sql="SELECT source_system, count(*) AS n, round(sum(sale_price), 2) AS volume FROM deals GROUP BY source_system")
 def st_incremental_ingest(spark, deals):
-    table, batches = _streamed(spark, deals)
-    merged = spark.read.parquet(*[f"{table}/{n}/inserted" for n in batches])
-    return merged.groupBy("source_system").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("sale_price"), 2).alias("volume"))
+    return _streamed(spark, deals).rows().groupBy("source_system").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("sale_price"), 2).alias("volume"))
 
 
 @query("deals", sql="SELECT 'inserted' AS status, count(*) AS n FROM deals UNION ALL SELECT 'duplicate', count(*) FROM deals WHERE source_system = 'crexi'")
 def st_batch_merge(spark, deals):
-    table, batches = _streamed(spark, deals)
-    return spark.read.parquet(*[f"{table}/{n}/stats" for n in batches]).groupBy("status").agg(F.sum("n").alias("n"))
+    return _streamed(spark, deals).stats().groupBy("status").agg(F.sum("n").alias("n"))
+
+
+def _runs(spark, parts, flow, mode: str, schema: str):
+    """Lands each part, then runs the flow over what has come since; all runs share a checkpoint. Returns what the runs wrote, with the number of its batch."""
+    landed, out, check = (landing.folder(spark, n) for n in ("landed", "out", "stream"))
+    for part in parts:
+        part.write.mode("append").parquet(landed)
+        incremental.run_to(flow(spark.readStream.schema(schema).parquet(landed)), out, check, mode)
+    return spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+
+
+@query("pages", sql="SELECT regexp_replace(url, '[?#].*$', '') AS url, min(page_id) AS pos FROM {pages} WHERE url IS NOT NULL GROUP BY 1")
+def st_dedupe_discovery(spark, pages):
+    """URLs are discovered in two runs, the pages of odd ids after those of even ones and once more; none is given out twice."""
+    urls = pages.filter("url IS NOT NULL").select(F.regexp_replace("url", "[?#].*$", "").alias("url"), c("page_id").cast("bigint").alias("pos"))
+    half = urls.agg(F.max("pos")).first()[0] or 0
+    early = urls.filter(c("pos") <= half // 2)
+    return _runs(spark, [early, urls.filter(c("pos") > half // 2).unionByName(early)], incremental.first_seen, "append", "url string, pos bigint").select("url", "pos")
+
+
+OUTCOME = "CASE WHEN page_id % {every} = 0 THEN 'fetch_error:HTTP' WHEN page_id % 7 = 0 THEN 'no_deal_node' ELSE 'ok' END"
+FETCHED = f"SELECT url, page_id AS nr, {OUTCOME.format(every=5)} AS disposition FROM {{pages}} WHERE url IS NOT NULL"
+AGAIN = f"SELECT url, page_id + 1000000000 AS nr, {OUTCOME.format(every=10)} AS disposition FROM {{pages}} WHERE url IS NOT NULL AND page_id % 3 <> 0"
+RETRIED = f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY nr) AS k FROM ({FETCHED} UNION ALL {AGAIN}) z), f AS (SELECT url, min(k) FILTER (WHERE disposition NOT LIKE 'fetch_error%') AS final, count(*) AS n FROM o GROUP BY url)
+SELECT f.url, coalesce(final, n) AS attempts, o.disposition, final IS NULL AS eligible FROM f JOIN o ON o.url = f.url AND o.k = coalesce(final, n)"""
+
+
+@query("pages", sql=RETRIED)
+def st_retry_errors(spark, pages):
+    """Two runs of fetches: those that failed transiently stay eligible and are counted, final ones are settled, whatever a later run says of them."""
+    outcome = lambda every: F.when(c("page_id") % every == 0, "fetch_error:HTTP").when(c("page_id") % 7 == 0, "no_deal_node").otherwise("ok")
+    known = pages.filter("url IS NOT NULL")
+    first = known.select("url", c("page_id").cast("bigint").alias("nr"), outcome(5).alias("disposition"))
+    second = known.filter("page_id % 3 <> 0").select("url", (c("page_id") + 1000000000).cast("bigint").alias("nr"), outcome(10).alias("disposition"))
+    told = _runs(spark, [first, second], incremental.fetch_state, "update", "url string, nr bigint, disposition string")
+    last = F.max_by(F.struct("attempts", "disposition", "eligible"), "batch").alias("s")
+    return told.groupBy("url").agg(last).select("url", "s.*")
+
+
+@query("deals", sql="SELECT CAST(day AS VARCHAR) AS day, kind, count(*) AS n FROM (SELECT created_on + update_lag * INTERVAL 1 DAY AS day, parse_status AS kind FROM deals) WHERE day >= TIMESTAMP '2001-07-03' GROUP BY 1, 2")
+def st_window_recent(spark, deals):
+    """The change feed as a stream: changes of the last thirty days counted in windows of a day. Two runs share the state of the windows; of each window the last count holds."""
+    changes = deals.select(F.date_add("created_on", c("update_lag")).cast("timestamp").alias("changed_at"), c("parse_status").alias("kind")).filter("changed_at >= TIMESTAMP '2001-07-03'")
+    parts = [changes.filter("changed_at < TIMESTAMP '2001-07-20'"), changes.filter("changed_at >= TIMESTAMP '2001-07-20'")]
+    told = _runs(spark, parts, incremental.change_feed, "update", "changed_at timestamp, kind string")
+    return told.groupBy(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("day"), "kind").agg(F.max_by("n", "batch").alias("n"))
 
 
 LATE = f"WITH early AS ({DEED.replace('WHERE document_amt > 0)', 'WHERE document_amt > 0 AND suppkey >= 20)')}), every AS ({DEED}) SELECT target_id, document_id, 1 AS run FROM early UNION ALL SELECT target_id, document_id, 2 FROM every WHERE target_id NOT IN (SELECT target_id FROM early)"
@@ -334,11 +368,6 @@ def sort_dynamic(spark, deals):
     return R.sort_page(deals, "no such column", ["sale_date"], "deal_id", descending=False).select("deal_id", c("sale_date").cast("string").alias("sale_date"))
 
 
-@query("pages", "fetch_ledger", sql="SELECT page_id FROM {pages} p WHERE NOT EXISTS (SELECT 1 FROM fetch_ledger l WHERE l.url = p.url AND l.disposition = 'ok')")
-def st_retry_errors(spark, pages, ledger):
-    return incremental.not_final(pages, ledger).select("page_id")
-
-
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -289,11 +289,6 @@ def fetch_ledger_upsert(ledger):
     return G.latest_by(ledger, "url", "disposition", "page_id")
 
 
-@query("pages", sql="SELECT regexp_replace(url, '[?#].*$', '') AS url, min(page_id) AS first_page FROM {pages} GROUP BY 1")
-def st_dedupe_discovery(pages):
-    return pages.groupBy(F.regexp_replace("url", "[?#].*$", "").alias("url")).agg(F.min("page_id").alias("first_page"))
-
-
 # Similarity and resolution ------------------------------------------------------------------------------------------
 
 GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr(concat('  ', w, ' '), i, 3)))))"

@@ -2,6 +2,9 @@
 
 import json
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -71,6 +74,54 @@ def test_stream_operators(spark, tmp_path):
     assert [r.n for r in spark.table("feed").collect()] == [3]
 
 
+KILLED = """
+import os, sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from parcelflow.streaming import incremental
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", {path!r} + "/w").getOrCreate()
+store = incremental.Store(spark, {path!r} + "/store", "id bigint, v string", "id")
+seen = []
+def merge(batch, number):
+    if {dies} and number == 1:
+        # Between the rows and the commit of the second batch: its keys are written, its commit isn't.
+        store.spark.createDataFrame = lambda *a, f=store.spark.createDataFrame: os._exit(7) if a[1:] == ("status string, n bigint",) else f(*a)
+    store.merge(batch, number)
+incremental.ingest(spark, {path!r} + "/in", "id bigint, v string", merge, {path!r} + "/ck", files_per_batch=1).awaitTermination()
+print("ROWS", sorted(map(tuple, store.rows().collect())), sorted((r.status, r.n) for r in store.stats().groupBy("status").sum("n").withColumnRenamed("sum(n)", "n").collect()))
+"""
+
+
+def test_ingest_survives_the_death_of_its_process(spark, tmp_path):
+    """The process dies between the rows and the commit of a batch; another goes on from storage alone, repeats the batch, and a third finds nothing to do."""
+    for k, ids in enumerate([[1, 2, 2], [2, 3], [3, 4, 5]]):
+        spark.createDataFrame([(i, f"v{i}") for i in ids], "id bigint, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda dies: subprocess.run([sys.executable, "-c", KILLED.format(root=str(Path(__file__).resolve().parents[1]), path=str(tmp_path), dies=dies)], capture_output=True, text=True, timeout=300)
+    assert run(True).returncode == 7
+    assert incremental.Store(spark, str(tmp_path / "store"), "id bigint, v string", "id", 2).rows().count() == 2  # the first batch
+    want = "ROWS [(1, 'v1'), (2, 'v2'), (3, 'v3'), (4, 'v4'), (5, 'v5')] [('duplicate', 3), ('inserted', 5)]"
+    for _ in range(2):
+        out = run(False)
+        assert [x for x in out.stdout.splitlines() if x.startswith("ROWS")] == [want], out.stderr[-2000:]
+
+
+def test_states_of_urls_outlive_runs(spark, tmp_path):
+    def told(rows, schema, flow, mode, name):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        incremental.run_to(flow(spark.readStream.schema(schema).parquet(str(tmp_path / name))), str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-ck"), mode)
+        return spark.read.option("basePath", str(tmp_path / f"{name}-out")).parquet(str(tmp_path / f"{name}-out/batch=*"))
+
+    schema = "url string, pos bigint"
+    told([("a", 1), ("b", 2), ("a", 3)], schema, incremental.first_seen, "append", "urls")
+    got = told([("b", 4), ("c", 6), ("c", 5)], schema, incremental.first_seen, "append", "urls")
+    assert [(r.url, r.pos) for r in got.orderBy("pos").collect()] == [("a", 1), ("b", 2), ("c", 5)]
+    schema = "url string, nr bigint, disposition string"
+    told([("a", 1, "fetch_error:HTTP"), ("b", 1, "ok"), ("a", 2, "fetch_error:timeout")], schema, incremental.fetch_state, "update", "fetches")
+    got = told([("a", 3, "no_deal_node"), ("a", 4, "ok"), ("b", 2, "fetch_error:HTTP"), ("c", 1, "fetch_error:HTTP")], schema, incremental.fetch_state, "update", "fetches")
+    last = {r.url: (r.attempts, r.disposition, r.eligible) for r in got.orderBy("batch").collect()}
+    assert last == {"a": (3, "no_deal_node", False), "b": (1, "ok", False), "c": (1, "fetch_error:HTTP", True)}
+
+
 def test_null_tolerant_rule_equals_a_fold(spark):
     rng = random.Random(2)
     dates = [None, "2020-01-01", "2020-02-01", "2020-03-01"]
