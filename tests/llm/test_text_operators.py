@@ -571,11 +571,13 @@ def test_html(spark):
 
 
 def test_html_template_decides(spark):
-    """Repeated text goes from inside an article, inline markup and all; teasers in article elements don't displace the text."""
+    """The slot is given whole, texts that all pages share included; teasers beside it go; an article's slot needs half of what varies only."""
     story = "Story {0} " + "about things {0} " * 20
     shapes = {
-        "a": ("<html><body><article><h1>Head {0}</h1><p>" + story + "</p><p>Read <b>more</b> with us</p></article></body></html>", "Head {0}\n\n" + story.strip()),
-        "b": ("<html><body><div class='text'><p>" + story + "</p></div><div class='cards'><article>Card {0}</article></div></body></html>", story.strip() + "\n\nCard {0}"),
+        "a": ("<html><body><article><h1>Head {0}</h1><p>" + story + "</p><p>Read <b>more</b> with us</p></article></body></html>", "Head {0}\n\n" + story.strip() + "\n\nRead more with us"),
+        "b": ("<html><body><div class='text'><p>" + story + "</p></div><div class='cards'><article>Card {0}</article></div></body></html>", story.strip()),
+        "c": ("<html><body><div>" + "Teaser {0} and more {0} " * 9 + "</div><article><p>" + story + "</p></article></body></html>", story.strip()),
+        "d": ("<html><body><div class='w-1/2 x=y a.b'><div class='w-1/2'>Legal notice, the same everywhere. " + "It is long. " * 40 + "</div><div class='w-1/2'><p>" + story + "</p></div></div></body></html>", story.strip()),
     }
     rows = [(i, f"http://{host}.example/", page.format(i)) for host, (page, _) in shapes.items() for i in range(20)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
@@ -584,6 +586,18 @@ def test_html_template_decides(spark):
         assert got == {(host, i): want.format(i) for host, (_, want) in shapes.items() for i in range(20)}
 
 
+@pytest.mark.parametrize("classes", ["", " class='w-1/2'", " class='a=b'", " class='x.y #0'"])
+def test_html_copies_and_shared_paragraphs(spark, classes):
+    """Identical pages, however many, have their article; so have pages whose articles end alike; class names may hold any character."""
+    page = "<html><body><nav><li>Menu {0}</li></nav><div" + classes + "><article><h1>Head {0}</h1><p>" + "Some text {0}. " * 12 + "</p><p>Sources: own research.</p></article></div><footer>f</footer></body></html>"
+    text = lambda i: f"Head {i}\n\n" + ("Some text {0}. " * 12).format(i).strip() + "\n\nSources: own research."
+    rows = [(0, "http://copies.example/", page.format(0))] * 10 + [(k, "http://mixed.example/", page.format(0)) for k in range(9)]
+    rows += [(i, "http://differ.example/", page.format(i)) for i in range(10)] + [(i, "http://few.example/", page.format(i)) for i in range(7)] + [(40, "http://mixed.example/", page.format(1)), (1, "http://one.example/", page.format(1))]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    want = [(i, url, text(int(html.split("Menu ")[1].split("<")[0]))) for i, url, html in rows]
+    assert sorted((r.page_id, r.url, r.text) for r in got) == sorted(want)
+
+
 def test_html_template_is_whole(spark):
     """A host's template may have any number of texts."""
     page = "<html><body>" + "".join(f"<div><p>Fixed line {i}</p></div>" for i in range(600)) + "<div><p>Story {0}</p></div></body></html>"
@@ -591,20 +605,64 @@ def test_html_template_is_whole(spark):
     assert {r.text for r in html_extract.main_text(pages).collect()} == {f"Story {i}" for i in range(20)}
 
 
-def test_html_classes_nest():
+def random_page(rng, shape):
+    part = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "menu", "fixed"]) for _ in range(rng.randint(1, 12)))
+    out = ["<html><body>"]
+    for kind in shape:
+        if kind == "fixed":
+            out.append("<div><p>fixed words here for ever</p></div>")
+        elif kind == "maybe":
+            out.append("<div class='maybe'>" + part() + "</div>" if rng.random() < 0.5 else "")
+        elif kind == "text":
+            out.append("<section><div>" + "".join(f"<p>{part()}</p>" for _ in range(rng.randint(1, 4))) + "</div></section>")
+        else:
+            out.append("<article><h1>" + part() + "</h1><p>" + part() + "</p></article>")
+    return "".join(out) + "</body></html>"
+
+
+def test_html_template_equals_brute_force(spark):
+    """Classes by whole occurrence vectors over the host's different pages; the slot is that of the hashed sums, and the texts are the slot's."""
+    rng, rows, hosts = random.Random(4), [], {}
+    for h in range(12):
+        shape = [rng.choice(["fixed", "maybe", "text", "article"]) for _ in range(rng.randint(1, 4))]
+        hosts[f"h{h}.example"] = [random_page(rng, shape) for _ in range(rng.randint(2, 9))]
+        rows += [(len(rows) + i, f"http://h{h}.example/", p) for i, p in enumerate(hosts[f"h{h}.example"] * (1 + h % 2))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for lists, share in ((True, 0.95), (False, 0.5)):
+        want = {}
+        for host, own in hosts.items():
+            own = [p for p in own]
+            per_page = [html_extract.tokens(p, lists) for p in own]
+            every = {t: v[:2] for found in per_page for t, v in found.items()}
+            vectors = {t: tuple(found.get(t, [0, 0, 0, 0])[2] for found in per_page) for t in every}
+            on = {t: sum(map(bool, v)) for t, v in vectors.items()}
+            found = {t: (*every[t], (on[t], sum(vectors[t]), vectors[t]), sum(f.get(t, [0, 0, 0, 0])[3] for f in per_page)) for t in every if on[t] * 2 >= len(own)}
+            slot = html_extract.deduce(found, share) if len(set(own)) > 1 else None
+            for p in own:
+                want[host, p] = html_extract.extract(p, slot, lists)
+        got = html_extract.main_text(pages.repartition(3), lists=lists, share=share).collect()
+        by_id = {i: (u[7:-1], p) for i, u, p in rows}
+        assert all(r.text == want[by_id[r.page_id]] for r in got) and len(got) == len(rows)
+
+
+def test_html_slot_is_found_inwards():
     once, twice = (9, 9, 1, 1), (9, 18, 2, 2)
-    found = {"": (once, 90), "body": (once, 90), "body/div": (once, 90), "body/x/div": (once, 80), "body/div/p": (twice, 90), "body/div/p=1": (once, 5), "body/div/p=2": ((9, 9, 5, 5), 5)}
-    assert html_extract.deduce(found) == ([], ["body/div/p=1"])
-    found |= {"body/article": (once, 60), "body/x/main": (once, 90)}
-    assert html_extract.deduce(found)[0] == ["body/article"]
-    found["body/article"] = (once, 30)
-    assert html_extract.deduce(found)[0] == [""]
-
-
-def test_html_template_text_goes(spark):
-    page = "<html><body><div><p>Story number {0} about many things</p></div><div><p>All rights reserved by us</p></div></body></html>"
-    pages = spark.createDataFrame([(i, "http://h.example/", page.format(i)) for i in range(30)], "page_id bigint, url string, html string")
-    assert {r.text for r in html_extract.main_text(pages).collect()} == {f"Story number {i} about many things" for i in range(30)}
+    page, body, div, aside, p, word = 0, 1, 2, 3, 4, 5
+    found = {page: (-1, 1, once, 100), body: (page, 1, once, 100), div: (body, 1, once, 70), aside: (body, 1, once, 30), p: (div, 0, twice, 70), word: (aside, 3, once, 30)}
+    assert html_extract.deduce(found) == div  # the aside's words are template
+    assert html_extract.deduce(found | {word: (aside, 3, twice, 30)}) == body  # they vary, so both are the slot
+    assert html_extract.deduce(found | {word: (aside, 3, twice, 30), div: (body, 2, once, 70)}) == div  # a main element
+    assert html_extract.deduce(found | {div: (body, 1, twice, 70)}) == body  # not once a page
+    assert html_extract.deduce(found | {div: (77, 1, once, 70)}) == body  # does not nest
+
+
+def test_html_given_pages_by_the_template_alone(spark, sf_dir):
+    """Without asking names, on hosts of three pages or more, the slot is the article."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    many = pages.withColumn("host", urls.host_of(F.col("url")))
+    ids = [r.page_id for r in many.join(many.groupBy("host").count().filter("count >= 3"), "host").select("page_id").collect()]
+    both = [{r.page_id: r.text for r in html_extract.main_text(pages, lists=lists, share=share).collect()} for lists, share in ((True, 0.95), (False, 0.5))]
+    assert sum(both[0][i] == both[1][i] for i in ids) >= 0.95 * len(ids)
 
 
 # 1 and 10: classifiers -----------------------------------------------------------------------------------------------
