@@ -234,10 +234,8 @@ FROM p JOIN folded f ON f.id = p.id JOIN below s ON s.tree = p.tree AND s.width
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     ops = [op1_quality_rules, op2_token_records, op3_lempel_ziv_fingerprint, op4_exact_dedup, op5_simhash_near_dedup, op6_url_filter, op7_mix_sources, op8_byte_bpe, op9_html_main_text, op10_toxicity_lexicon, op11_feistel_shards, op12_phrase_mining, op13_merkle_manifest]
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
