@@ -61,10 +61,17 @@ def question_price(text: Column) -> Column:
     return F.coalesce(n * scale, F.when(n >= 100000, n))
 
 
+#: Words that say nothing as keywords.
+SKIPPED = ["buyer", "best", "around", "property", "building", "million", "brooklyn", "manhattan", "queens", "bronx", "multifamily", "office", "retail", "industrial"]
+
+
+def question_days(text: Column) -> Column:
+    return F.regexp_extract(text, r"(?i)(?:last|past)\s+(\d+)\s+days?", 1).try_cast("int")
+
+
 def question_keywords(text: Column, most: int = 6) -> Column:
     words = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s-]", " "), r"\s+")
-    skip = ["buyer", "best", "around", "property", "building", "million", "brooklyn", "manhattan", "queens", "bronx", "multifamily", "office", "retail", "industrial"]
-    return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(skip))), 1, most)
+    return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(SKIPPED))), 1, most)
 
 
 def page_links(pages: DataFrame, pattern: str = r'href="([^"#]+)"') -> DataFrame:

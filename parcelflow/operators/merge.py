@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.functions.classify import residential_gate, small_unit_flag
-from parcelflow.functions.normalize import is_placeholder
+from parcelflow.functions.normalize import is_placeholder, norm_contact_address, norm_email, norm_phone, norm_website
 from parcelflow.sources import landing
 
 
@@ -183,3 +183,15 @@ def queue_once(open_items: DataFrame, batch: DataFrame, keys: list[str]) -> Data
 
 def latest_by(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(value, order).alias(value))
+
+
+def dedupe_contacts(contacts: DataFrame) -> DataFrame:
+    """contacts (contact_id, entity_id, role, phone, email, website, mailing_address, is_primary, created) -> (entity_id, keep_id, removed): contacts of one entity and role are the same if their
+    normalised phones, mails, websites and addresses are, unknown ones being alike. The primary one stays, then the one with most known (phone and mail 4, website 2, address 1), then the oldest.
+    The survivor is a minimum, so the copies of a hot contact are reduced before they are shuffled."""
+    full = sum((F.when(F.col(f).isNotNull(), w).otherwise(0) for f, w in (("phone", 4), ("email", 4), ("website", 2), ("mailing_address", 1))), F.lit(0))
+    best = F.min(F.struct((~F.col("is_primary")).alias("second"), (-full).alias("less"), "created", "contact_id"))
+    blank = lambda x: F.coalesce(x, F.lit(""))
+    same = [blank(norm_phone(F.col("phone"))).alias("p"), blank(norm_email(F.col("email"))).alias("m"), blank(norm_website(F.col("website"))).alias("w"), blank(norm_contact_address(F.col("mailing_address"))).alias("a")]
+    groups = contacts.groupBy("entity_id", "role", *same).agg(best.alias("best"), (F.count(F.lit(1)) - 1).alias("removed"))
+    return groups.select("entity_id", F.col("best.contact_id").alias("keep_id"), "removed")

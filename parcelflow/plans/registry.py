@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parcelflow.plans import deal_queries, flow_queries, function_queries, state_queries
+from parcelflow.plans import deal_queries, document_queries, flow_queries, function_queries, state_queries
 
-PARTS = (function_queries, deal_queries, state_queries, flow_queries)
+PARTS = (function_queries, deal_queries, state_queries, flow_queries, document_queries)
 
 
 def queries() -> dict:

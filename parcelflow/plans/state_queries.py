@@ -84,15 +84,6 @@ def scan_partner_deals(deals):
     return deals.filter(c("source_system").isin("traded", "crexi")).select("deal_id", "address_raw", "sale_price", "source_system")
 
 
-@query("customer", sql="SELECT c_custkey AS row_num, c_name AS owner, c_mktsegment AS segment, '3' AS size FROM {customer}", also=("upload_value",))
-def scan_upload_rows(customer):
-    raw = F.create_map(F.lit("Owner"), c("c_name"), F.lit("Segment"), c("c_mktsegment"))
-    mapping = F.create_map(F.lit("entity_name"), F.lit("Owner"), F.lit("kind"), F.lit("Segment"))
-    staged = customer.select(c("c_custkey").alias("row_num"), raw.alias("raw"), mapping.alias("mapping"))
-    value = lambda f: F.element_at("raw", F.element_at("mapping", F.lit(f)))
-    return staged.select("row_num", value("entity_name").alias("owner"), value("kind").alias("segment"), (F.size("raw") + 1).cast("string").alias("size"))
-
-
 @query("pages", sql="SELECT page_id, url, length(html) AS n FROM {pages}")
 def scan_pages_html(pages):
     return pages.select("page_id", "url", F.length("html").cast("bigint").alias("n"))
@@ -226,12 +217,6 @@ def contact_upsert(contacts):
     return b.join(s, met, "left").select("ord", F.when(c("s.contact_id").isNull(), "inserted").when(filled, "filled").otherwise("same").alias("status"))
 
 
-@query("contacts", sql="WITH k AS (SELECT contact_id, concat(coalesce(right(regexp_replace(phone, '[^0-9]', '', 'g'), 2), ''), '|', lower(coalesce(substr(email, 1, 2), ''))) AS key FROM contacts) SELECT key, min(contact_id) AS keep_id, count(*) - 1 AS removed FROM k GROUP BY key")
-def contact_dedupe(contacts):
-    key = F.concat_ws("|", F.coalesce(F.right(N.norm_phone(c("phone")), F.lit(2)), F.lit("")), F.lower(F.coalesce(F.substring("email", 1, 2), F.lit(""))))
-    return contacts.groupBy(key.alias("key")).agg(F.min("contact_id").alias("keep_id"), (F.count(F.lit(1)) - 1).alias("removed"))
-
-
 @query("raw_names", "entities", "contacts", sql="SELECT DISTINCT e.entity_id, concat('555-', CAST(n.id AS VARCHAR)) AS phone FROM (SELECT id, upper(trim(name)) AS name FROM raw_names) n JOIN entities e ON e.norm_name = replace(replace(n.name, ' L.L.C.', ''), 'THE ', '') WHERE NOT EXISTS (SELECT 1 FROM contacts k WHERE k.entity_id = e.entity_id AND k.phone IS NOT NULL)")
 def contact_harvest(names, entities, contacts):
     staged = names.select(F.replace(F.replace(F.upper(F.trim("name")), F.lit(" L.L.C."), F.lit("")), F.lit("THE "), F.lit("")).alias("norm_name"), F.concat(F.lit("555-"), c("id").cast("string")).alias("phone"))
@@ -440,21 +425,6 @@ def extract_page_links(pages):
     return E.page_links(pages).select("page_id", "link", c("pos").cast("bigint").alias("pos"))
 
 
-@query("pages", sql="SELECT page_id, regexp_extract(html, 'track\\((\\d+)\\)', 1) AS n FROM {pages}")
-def extract_embedded_json(pages):
-    doc = F.try_parse_json(F.concat(F.lit('{"page": {"id": '), F.regexp_extract("html", r"track\((\d+)\)", 1), F.lit("}}")))
-    return pages.select("page_id", F.try_variant_get(doc, "$.page.id", "string").alias("n"))
-
-
-@query("deals", sql="SELECT deal_id, sale_price AS price FROM deals WHERE sale_price IS NOT NULL AND deal_id % 2 = 0")
-def find_deal_nodes(deals):
-    body = F.to_json(F.struct(F.struct(c("sale_price").alias("salePrice"), F.array(F.struct("address_raw")).alias("properties")).alias("deal")))
-    other = F.to_json(F.struct(F.lit(1).alias("page")))
-    doc = F.try_parse_json(F.when(c("deal_id") % 2 == 0, body).otherwise(other))
-    found = deals.select("deal_id", F.try_variant_get(doc, "$.deal.salePrice", "double").alias("price"), F.try_variant_get(doc, "$.deal.properties[0].address_raw", "string").alias("address"))
-    return found.filter("price IS NOT NULL AND address IS NOT NULL").select("deal_id", "price")
-
-
 @query("deals", "deal_parties", "entities", sql="SELECT d.deal_id, min(CASE WHEN role = 'buyer' THEN display_name END) AS buyer FROM deals d JOIN deal_parties p ON p.deal_id = d.deal_id JOIN entities e ON e.entity_id = p.entity_id GROUP BY d.deal_id")
 def extract_party_structured(deals, parties, entities):
     nested = deals.select("deal_id").join(parties, "deal_id").join(entities, "entity_id").groupBy("deal_id").agg(F.array_sort(F.collect_list(F.struct("role", "display_name"))).alias("companies"))
@@ -482,22 +452,6 @@ def parse_caption_kv(deals):
     return deals.select("deal_id", E.caption_value(caption, E.CAPTION_LABELS["buyer"]).alias("buyer"), E.caption_value(caption, E.CAPTION_LABELS["address"]).alias("address"))
 
 
-@query("pages", sql="SELECT url, max(day) AS lastmod FROM (SELECT url, concat('2024-01-', lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0')) AS day FROM {pages} WHERE NOT contains(url, '<')) GROUP BY url")
-def extract_sitemap_urls(pages):
-    day = F.concat(F.lit("2024-01-"), F.lpad((c("page_id") % 28 + 1).cast("string"), 2, "0"))
-    xml = pages.select(F.concat(F.lit("<url><loc>"), "url", F.lit("</loc><lastmod>"), day, F.lit("</lastmod></url>")).alias("xml"))
-    pairs = F.arrays_zip(F.regexp_extract_all("xml", F.lit("<loc>([^<]+)</loc>"), 1).alias("url"), F.regexp_extract_all("xml", F.lit("<lastmod>([^<]+)</lastmod>"), 1).alias("day"))
-    return xml.select(F.explode(pairs).alias("p")).groupBy(c("p.url").alias("url")).agg(F.max("p.day").alias("lastmod"))
-
-
-@query("contacts", sql="SELECT concat('Agent ', contact_id % 40) AS name, concat('Firm ', contact_id % 7) AS company, arg_min(phone, contact_id) FILTER (WHERE phone IS NOT NULL) AS phone FROM contacts GROUP BY 1, 2")
-def listing_agents_explode(contacts):
-    n = c("contact_id")
-    agent = F.struct(F.concat(F.lit("Agent "), (n % 40).cast("string")).alias("full_name"), F.struct(F.concat(F.lit("Firm "), (n % 7).cast("string")).alias("name")).alias("brokerage"), "phone")
-    each = contacts.select(n, F.explode(F.array(agent)).alias("a"))
-    return each.groupBy(c("a.full_name").alias("name"), c("a.brokerage.name").alias("company")).agg(F.min_by("a.phone", F.when(c("a.phone").isNotNull(), n)).alias("phone"))
-
-
 ASKED = "SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN concat('Best buyer for a $', conv_id + 1, ' million retail') WHEN 1 THEN 'phone of the seller' WHEN 2 THEN concat('recent sales over ', 150000 + conv_id) WHEN 3 THEN 'what was updated' WHEN 4 THEN 'most active buyers 5k' ELSE text END AS q FROM {conversations} WHERE role = 'user'"
 
 
@@ -515,25 +469,6 @@ def question_intent(conversations):
     return _asked(conversations).select("conv_id", "turn", E.question_intent(c("q")).alias("tool"))
 
 
-@query("conversations", sql=f"SELECT conv_id, turn, CAST(CASE (conv_id + turn) % 6 WHEN 0 THEN (conv_id + 1) * 1000000 WHEN 2 THEN 150000 + conv_id WHEN 4 THEN 5000 END AS DOUBLE) AS price FROM ({ASKED}) WHERE (conv_id + turn) % 6 <> 5")
-def question_criteria(conversations):
-    return _asked(conversations).filter((c("conv_id") + c("turn")) % 6 != 5).select("conv_id", "turn", E.question_price(c("q")).alias("price"))
-
-
-@query("customer", sql="SELECT DISTINCT name, field, score FROM (SELECT CASE c_custkey % 5 WHEN 0 THEN 'Owner' WHEN 1 THEN 'Work Phone' WHEN 2 THEN 'when last-contacted' WHEN 3 THEN 'E-Mail' ELSE 'Zip' END AS name FROM {customer}) JOIN (VALUES ('Owner', 'entity_name', 3), ('Work Phone', 'phone', 1), ('when last-contacted', 'last_contact_date', 2), ('E-Mail', 'email', 3)) v(n, field, score) ON n = name")
-def sniff_mapping(customer):
-    k = c("c_custkey") % 5
-    headers = customer.select(F.when(k == 0, "Owner").when(k == 1, "Work Phone").when(k == 2, "when last-contacted").when(k == 3, "E-Mail").otherwise("Zip").alias("name")).distinct()
-    return E.sniff_mapping(headers)
-
-
-@query("customer", sql="SELECT DISTINCT name, field, score FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'Owner' WHEN 1 THEN 'Work Phone' ELSE 'E-Mail' END AS name FROM {customer}) JOIN (VALUES ('Owner', 'entity_name', 3), ('E-Mail', 'email', 3)) v(n, field, score) ON n = name")
-def sniff_mapping_exact(customer):
-    k = c("c_custkey") % 3
-    headers = customer.select(F.when(k == 0, "Owner").when(k == 1, "Work Phone").otherwise("E-Mail").alias("name")).distinct()
-    return E.sniff_mapping(headers, exact=True)
-
-
 @query("contacts", sql="SELECT contact_id, CASE WHEN phone IS NULL THEN concat('{\"a\":\"1\",\"b\":\"', source, '\"}') ELSE concat('{\"a\":\"', phone, '\",\"b\":\"', source, '\"}') END AS provenance FROM contacts")
 def json_merge(contacts):
     """Later keys win; keys without a value go."""

@@ -37,14 +37,28 @@ def listings_json(spark: SparkSession, path: str) -> DataFrame:
 
 def listing_agents(listings: DataFrame) -> DataFrame:
     each = listings.select("listing_id", F.posexplode("agents").alias("pos", "a")).select("pos", F.trim("a.full_name").alias("name"), F.trim("a.brokerage.name").alias("company"), "a.phone")
-    return each.filter("name <> ''").groupBy("name", "company").agg(F.min_by("phone", F.when(F.col("phone").isNotNull(), F.col("pos"))).alias("phone"))
-
-
-def upload_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Any CSV with a header: each row as a map of its texts, numbered in file order. The number comes from the file's own order, so the file is read as one split: uploads are small files, many of them in parallel."""
-    df = spark.read.option("header", True).option("multiLine", True).csv(path)
-    pairs = [x for n in df.columns for x in (F.lit(n), F.col(f"`{n}`"))]
-    return df.select(F.create_map(*pairs).alias("raw"), (F.monotonically_increasing_id() + 1).alias("row_num"))
+    return each.filter("name <> ''").groupBy("name", "company").agg(F.min_by("phone", F.when(F.col("phone").isNotNull(), F.struct("pos", "phone"))).alias("phone"))
+
+
+def csv_cells(spark: SparkSession, path: str, most: int = 64) -> DataFrame:
+    """CSV files, each with a header row of its own, as (file, row_num, is_header, values): up to `most` columns, rows numbered in the order of the file. A file is read as
+    one split, since only so its quoted line breaks and its first row are sure: uploads are small files, many of them in parallel."""
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(most)])
+    df = spark.read.schema(schema).option("header", False).option("multiLine", True).option("escape", '"').csv(path)
+    place = F.monotonically_increasing_id()
+    cells = df.select(F.col("_metadata.file_path").alias("file"), place.alias("_at"), F.array(*[F.col(f.name) for f in schema.fields]).alias("values"))
+    first = cells.groupBy("file").agg(F.min("_at").alias("_first"))
+    return cells.join(first, "file").select("file", (F.col("_at") - F.col("_first")).alias("row_num"), (F.col("_at") == F.col("_first")).alias("is_header"), "values")
+
+
+def sitemap_urls(spark: SparkSession, index: str, files: str, pattern: str) -> DataFrame:
+    """Sitemap files that an index names -> (url, lastmod): each URL that fits the pattern once, with one slash at its end and its latest date. A named file that is missing is
+    passed over. A file is known by its name, less the ending, in the path."""
+    named = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(index)
+    wanted = named.select(F.regexp_extract("loc", r"([^/]+)\.xml$", 1).alias("name")).filter("name <> ''").distinct()
+    entries = spark.read.format("xml").option("rowTag", "url").option("recursiveFileLookup", True).schema("loc string, lastmod string").load(files).select("loc", "lastmod", F.col("_metadata.file_path").alias("file"))
+    entries = entries.withColumn("name", F.element_at(F.split("file", "/"), -2)).join(wanted, "name", "left_semi").filter(F.col("loc").rlike(pattern))
+    return entries.groupBy(F.concat(F.rtrim("loc", F.lit("/")), F.lit("/")).alias("url")).agg(F.max("lastmod").alias("lastmod"))
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, version: str) -> None:

@@ -1,5 +1,6 @@
 """Readers, sinks, streams, and the merge rules against sequential folds."""
 
+import datetime
 import json
 import random
 import subprocess
@@ -10,7 +11,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from parcelflow.operators import merge, similarity
+from parcelflow.operators import matching, merge, nested, similarity
 from parcelflow.sources import tables
 from parcelflow.streaming import incremental
 
@@ -253,3 +254,69 @@ def test_trigram_index_is_probed_without_a_shuffle_of_its_side(spark, tmp_path):
                 if "Join" in line:
                     break
         assert "Join" in above[-1] and not any("Exchange" in line for line in above), above
+
+
+def test_deal_nodes_at_any_depth(spark):
+    """The listed place, then the single one, then a walk that does not enter deals and ends at its depth."""
+    deal = lambda n: {"properties": [{"displayAddress": f"{n} main st"}], "salePrice": n}
+    deep = lambda n, levels: deal(n) if not levels else ({"k": deep(n, levels - 1), "b": 2} if levels % 2 else [None, deep(n, levels - 1)])
+    docs = {f"depth {k}": (deep(k, k), [k]) for k in range(0, 9)} | {
+        "too deep": (deep(9, 9), []), "inside a deal": ({"x": deal(1) | {"more": deal(2)}}, [1]), "null price": ({"a": {"closingDate": None, "properties": []}}, [None]),
+        "no list": ({"a": {"salePrice": 1, "properties": {}}}, []), "several": ({"z": [deal(3), {"y": deal(4)}], "a": deal(5)}, [3, 4, 5]), "scalar": (7, []), "null": (None, []),
+        "listed": ({"props": {"pageProps": {"initialValues": {"dealsWithCount": {"deals": [deal(1), {}, deal(2)]}}, "deal": deal(3)}}, "x": deal(4)}, [1, 2]),
+        "none listed": ({"props": {"pageProps": {"initialValues": {"dealsWithCount": {"deals": [{}]}}, "deal": deal(3)}}, "x": deal(4)}, [3]),
+    }
+    page = lambda d: f'<script>x</script><script id="__NEXT_DATA__" type="application/json">{json.dumps(d)}</script>'
+    rows = [(k, page(d)) for k, (d, _) in docs.items()] + [("no script", "<html>"), ("broken", page(1).replace(">1<", ">{<")), ("no page", None)]
+    pages = spark.createDataFrame(rows, "name string, html string")
+    got = {}
+    for r in nested.deal_nodes(pages.select("name", nested.embedded_json(F.col("html")).alias("doc")), "name").select("name", F.try_variant_get("node", "$.salePrice", "int").alias("price")).collect():
+        got.setdefault(r.name, []).append(r.price)
+    assert {k: sorted(v, key=str) for k, v in got.items()} == {k: v for k, (_, v) in docs.items() if v}
+
+
+def test_uploaded_rows_by_what_their_headers_say(spark, tmp_path):
+    files = {"a.csv": 'Owner,Work Phone,owner\n"Main, ""LLC""",1,x\n"two\nlines",,y\n', "b.csv": "Zip,E-Mail\n1,a@b\n", "c.csv": "Phone\n", "d.csv": "note,Contact Name,Last Contacted\nhi,Ann,2020\n"}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    cells = tables.csv_cells(spark, str(tmp_path))
+    headers = cells.filter("is_header").select("file", F.posexplode("values").alias("pos", "name")).filter("name IS NOT NULL")
+    mapping = nested.assigned(headers)
+    assert {(r.file[-5:], r.name, r.field, r.score) for r in mapping.collect()} == {
+        ("a.csv", "Owner", "entity_name", 3), ("a.csv", "Work Phone", "phone", 1), ("b.csv", "E-Mail", "email", 3), ("c.csv", "Phone", "phone", 3),
+        ("d.csv", "note", "interaction_notes", 3), ("d.csv", "Contact Name", "person_name", 3), ("d.csv", "Last Contacted", "last_contact_date", 3),
+    }
+    rows = nested.mapped_rows(cells.filter("NOT is_header"), mapping).collect()
+    got = {(r.file[-5:], r.row_num): {k: v for k, v in (r.mapped or {}).items() if v} for r in rows}
+    assert got == {("a.csv", 1): {"entity_name": 'Main, "LLC"', "phone": "1"}, ("a.csv", 2): {"entity_name": "two\nlines"}, ("b.csv", 1): {"email": "a@b"}, ("d.csv", 1): {"interaction_notes": "hi", "person_name": "Ann", "last_contact_date": "2020"}}
+
+
+def test_sitemaps(spark, tmp_path):
+    (tmp_path / "index").mkdir()
+    (tmp_path / "index/i.xml").write_text("<sitemapindex><sitemap><loc>https://x/one.xml</loc></sitemap><sitemap><loc>https://x/gone.xml</loc></sitemap></sitemapindex>")
+    for name in ("one", "other"):
+        (tmp_path / f"files/{name}").mkdir(parents=True)
+        (tmp_path / f"files/{name}/f.xml").write_text(f"<urlset><url><loc>https://x/sale/{name}</loc><lastmod>2020-01-01</lastmod></url><url><loc>https://x/sale/{name}/</loc><lastmod>2021-01-01</lastmod></url><url><loc>https://x/sale/late-{name}</loc></url><url><loc>https://x/about</loc></url></urlset>")
+    got = tables.sitemap_urls(spark, str(tmp_path / "index"), str(tmp_path / "files"), "/sale/").collect()
+    assert sorted(map(tuple, got)) == [("https://x/sale/late-one/", None), ("https://x/sale/one/", "2021-01-01")]
+
+
+def test_match_deed_equals_a_search(spark):
+    rng = random.Random(6)
+    day = lambda: None if rng.random() < 0.1 else datetime.date(2020, 1, 1) + datetime.timedelta(days=rng.randrange(-900, 900))
+    targets = [(i, rng.choice([None, 0.0, round(10 ** rng.uniform(4, 6), 2)]), day(), rng.randrange(4)) for i in range(300)]
+    deeds = [(1000 + i, rng.choice([0.0, 150000.0, round(10 ** rng.uniform(4, 6.3), 2)]), day(), rng.randrange(4)) for i in range(300)]
+    deeds += [(2000 + i, round(p * f, 4), d, k) for i, p, d, k in targets if p for f in (0.97, 0.9699, 1.03, 1.0301)]
+    want = {}
+    for i, price, when, place in targets:
+        near = []
+        for doc, amount, deed_day, where in deeds:
+            days = abs((when - deed_day).days) if when and deed_day else 9999
+            if where == place and amount > 0 and (abs(amount - price) / price <= 0.03 if price else amount >= 200000 and days <= 240):
+                near.append((days, doc))
+        near.sort()
+        if near and (near[0][0] <= 400 if price else len(near) == 1 or near[0][0] < near[1][0]):
+            want[i] = near[0][1]
+    t = spark.createDataFrame(targets, "target_id long, price double, day date, place int")
+    d = spark.createDataFrame(deeds, "document_id long, amount double, deed_day date, place int")
+    assert dict(map(tuple, matching.match_deed(t, d, ["place"]).collect())) == want and len(want) > 50
