@@ -6,6 +6,8 @@ as an aggregate that takes the first row, or, where rows wait for one another, a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,15 +124,19 @@ def null_tolerant_status(stored: DataFrame, batch: DataFrame) -> DataFrame:
     only known dates stored, a row is new if its date is known, not stored, and first in the batch; with nothing stored, the first row is new, and, if its
     date is known, so are later first occurrences of other known dates."""
     group = ["property_id", "sale_price"]
-    s = stored.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("sale_date").isNull()).alias("_null"), F.collect_set("sale_date").alias("_dates"))
-    b, h = batch.alias("b"), s.alias("h")
-    same = F.col("b.property_id").eqNullSafe(F.col("h.property_id")) & F.col("b.sale_price").eqNullSafe(F.col("h.sale_price"))
-    out = b.join(h, same, "left").select("b.*", "h._n", "h._null", "h._dates")
-    w = Window.partitionBy(*group).orderBy("ord")
-    nth_of_date = F.row_number().over(Window.partitionBy(*group, "sale_date").orderBy("ord"))
-    out = out.select("*", F.row_number().over(w).alias("_row"), F.first("sale_date").over(w).isNull().alias("_first_null"), nth_of_date.alias("_nth"))
-    fresh_date = F.col("sale_date").isNotNull() & (F.col("_nth") == 1)
-    new = F.when(F.col("_null"), False).when(F.col("_n") > 0, fresh_date & ~F.array_contains("_dates", F.col("sale_date"))).otherwise((F.col("_row") == 1) | ~F.col("_first_null") & fresh_date)
+
+    def met(left: DataFrame, right: DataFrame, keys: list[str], name: str) -> DataFrame:
+        right = right.withColumnsRenamed({k: f"_{name}_{k}" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"_{name}_{k}")) for k in keys]
+        return left.join(right, reduce(lambda a, b: a & b, same), "left").drop(*[f"_{name}_{k}" for k in keys])
+
+    # Groups and dates are reduced before they are joined, so no group is gathered: neither its dates nor its rows.
+    out = met(batch, stored.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("sale_date").isNull()).alias("_null")), group, "s")
+    out = met(out, stored.filter("sale_date IS NOT NULL").select(*group, "sale_date").distinct().withColumn("_held", F.lit(True)), [*group, "sale_date"], "d")
+    out = met(out, batch.groupBy(*group).agg(F.min(F.struct("ord", F.col("sale_date").isNull().alias("null"))).alias("_first")), group, "b")
+    out = met(out, batch.groupBy(*group, "sale_date").agg(F.min("ord").alias("_first_of_date")), [*group, "sale_date"], "o")
+    fresh_date = F.col("sale_date").isNotNull() & (F.col("_first_of_date") == F.col("ord"))
+    new = F.when(F.col("_null"), False).when(F.col("_n") > 0, fresh_date & F.col("_held").isNull()).otherwise((F.col("_first.ord") == F.col("ord")) | ~F.col("_first.null") & fresh_date)
     return out.select("ord", F.when(F.coalesce(new, F.lit(False)), "inserted").otherwise("duplicate").alias("status"))
 
 

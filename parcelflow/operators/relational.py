@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelflow.sources import landing
+
 MIN_MAX = ["sale_price", "units", "sqft", "sale_date"]
 
 
@@ -96,3 +98,46 @@ def amount_gate(deed_amount: Column, price: Column, days: Column) -> Column:
 def amount_gate_sync(deed_amount: Column, price: Column) -> Column:
     """The batch variant: a deed amount is required, and so is a price."""
     return F.coalesce((deed_amount > 0) & (price > 0) & (F.abs(deed_amount - price) <= price * 0.03), F.lit(False))
+
+
+def exact_median(df: DataFrame, group: list[str], value: str, name: str = "median", buckets: int = 1024) -> DataFrame:
+    """The exact median of each group (of an even number of values the mean of the middle two), null where a group has no value; nulls don't count.
+
+    Values are first counted within (group, value), so a hot group's values are spread and its repeats reduced. Then histograms narrow down: a round counts each group's values in
+    `buckets` equal ranges, at most so many rows a group, and the next looks into the range that holds the middle only. A round's ranges end at values that occur, so each round
+    splits what is left, and the last has one value, or two neighbouring ones."""
+    spark = df.sparkSession
+
+    def kept(d: DataFrame, label: str) -> DataFrame:
+        path = landing.folder(spark, label)
+        d.write.parquet(path)
+        return spark.read.schema(d.schema).parquet(path)
+
+    key = F.struct(*group, F.lit(1).alias("_one")).alias("_g")
+    counted = kept(df.groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_k")), "values")
+    known = counted.filter("_v IS NOT NULL")
+    state = known.groupBy("_g").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.lit(0).cast("bigint").alias("_before"), F.sum("_k").alias("_n"))
+    done, now = None, kept(state, "ranges")
+    for _ in range(200):
+        # Settled: one value is left in the range.
+        one = now.filter("_low = _high").select("_g", F.col("_low").alias("_m"))
+        done = one if done is None else done.unionByName(one)
+        now = now.filter("_low < _high")
+        if now.isEmpty():
+            break
+        inside = known.join(now, "_g").filter("_v BETWEEN _low AND _high")
+        at = F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * buckets), F.lit(buckets - 1))
+        histogram = inside.groupBy("_g", "_n", "_before", at.alias("_b")).agg(F.sum("_k").alias("_k"), F.min("_v").alias("_first"), F.max("_v").alias("_last"))
+        w = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        histogram = histogram.withColumn("_below", F.col("_before") + F.coalesce(F.sum("_k").over(w), F.lit(0)))
+        holds = lambda rank: (F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_k"))
+        lower, upper = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+        middle = histogram.filter(holds(lower) | holds(upper)).groupBy("_g", "_n").agg(F.count(F.lit(1)).alias("_ranges"), F.min("_last").alias("_a"), F.max("_first").alias("_z"), F.min("_first").alias("_low"), F.max("_last").alias("_high"), F.min("_below").alias("_before"))
+        middle = kept(middle, "ranges")
+        # The two middle values lie on both sides of a border: the last of one range and the first of the next.
+        done = done.unionByName(middle.filter("_ranges = 2").select("_g", ((F.col("_a") + F.col("_z")) / 2).alias("_m")))
+        now = middle.filter("_ranges = 1").select("_g", "_low", "_high", "_before", "_n")
+    else:
+        raise ArithmeticError("a range of values is too wide for double arithmetic")
+    groups = counted.select("_g").distinct()
+    return groups.join(done, "_g", "left").select(*[F.col(f"_g.{c}").alias(c) for c in group], F.col("_m").alias(name))

@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import statistics
 import subprocess
 import sys
 from pathlib import Path
@@ -11,7 +12,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from parcelflow.operators import matching, merge, nested, similarity
+from parcelflow.operators import matching, merge, nested, relational, similarity
 from parcelflow.sources import tables
 from parcelflow.streaming import incremental
 
@@ -320,3 +321,18 @@ def test_match_deed_equals_a_search(spark):
     t = spark.createDataFrame(targets, "target_id long, price double, day date, place int")
     d = spark.createDataFrame(deeds, "document_id long, amount double, deed_day date, place int")
     assert dict(map(tuple, matching.match_deed(t, d, ["place"]).collect())) == want and len(want) > 50
+
+
+def test_exact_median(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(3), rng.choice([None, 1.0, -5.0, rng.uniform(-1e9, 1e9), float(rng.randrange(9)), 1e-300])) for _ in range(900)]
+    rows += [("one", 1, 2.5), ("same", 1, 7.0), ("same", 1, 7.0), ("none", 1, None), ("two", 1, 1.0), ("two", 1, 2.0), ("near", 1, 1.0), ("near", 1, 1.0000000000000002), ("near", 1, 1.0000000000000002), ("far", 1, -1e300), ("far", 1, 1e300), ("far", 1, 5.0)]
+    want = {}
+    for k in {r[:2] for r in rows}:
+        v = [r[2] for r in rows if r[:2] == k and r[2] is not None]
+        want[k] = statistics.median(v) if v else None
+    df = spark.createDataFrame(rows, "g string, h int, v double")
+    for buckets in (2, 1024):
+        got = {(r.g, r.h): r.median for r in relational.exact_median(df, ["g", "h"], "v", buckets=buckets).collect()}
+        assert got == want
+    assert relational.exact_median(df.limit(0), ["g"], "v").collect() == []
