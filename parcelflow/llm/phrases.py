@@ -28,7 +28,7 @@ FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdef
 #: Bits of a filter at most (16 MB), and for each phrase in it.
 FILTER_BITS, BITS_EACH = 1 << 27, 16
 #: Bytes of text that are counted at once, and words that a worker remembers by hash.
-CHUNK, REMEMBERED = 4 << 20, 1 << 20
+CHUNK, REMEMBERED = 8 << 20, 1 << 17
 COUNTS = "lang string, phrase string, n bigint"
 
 
