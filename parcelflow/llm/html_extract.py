@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -171,9 +171,10 @@ class Tokens:
         return xxhash.xxh64_intdigest(f"{parent} {nth} {word}", seed=1) >> 1
 
 
-def tokens(page: str | None, lists: bool = True) -> dict[int, list[int]]:
-    """token -> [parent, kind, how often the page has it, characters]: of a word its own, of an element those of all texts below it that no name calls boilerplate (lists: whether names are asked at all)."""
-    found: dict[int, list[int]] = {PAGE: [-1, HOLDER, 1, 0]}
+def tokens(page: str | None, lists: bool = True) -> dict:
+    """token -> [parent, kind, how often the page has it, characters]: of a word its own, of an element those of all texts below it that no name calls boilerplate (lists: whether names are asked at all).
+    A word is a tuple of the element around it, the word, and which of its repeats in the block it is; given are those that the page has as often as the element, since no others can be in its class."""
+    found: dict = {PAGE: [-1, HOLDER, 1, 0]}
     if not page:
         return {}
     number = Tokens()
@@ -186,17 +187,19 @@ def tokens(page: str | None, lists: bool = True) -> dict[int, list[int]]:
             continue
         if lists and any(map(outside, path)):
             continue
-        nth: dict[str, int] = defaultdict(int)
-        for w in text.split(" "):
-            one = found.setdefault(number.word(mine, w, nth[w]), [mine, WORD, 0, 0])
-            nth[w] += 1
-            one[2] += 1
-            one[3] += len(w)
-        size = sum(map(len, text.split(" ")))
+        words = text.split(" ")
+        size = len(text) - len(words) + 1
+        for w, n in Counter(words).items():
+            for nth in range(n):
+                if one := found.get((mine, w, nth)):
+                    one[2] += 1
+                    one[3] += len(w)
+                else:
+                    found[mine, w, nth] = [mine, WORD, 1, len(w)]
         for k in range(len(path) + 1):
             if (t := number.path(path[:k])) in found:
                 found[t][3] += size
-    return found
+    return {t: v for t, v in found.items() if v[1] != WORD or v[0] in found and v[2] == found[v[0]][2]}
 
 
 def token_vectors(pages: DataFrame, lists: bool = True) -> DataFrame:
@@ -208,16 +211,23 @@ def token_vectors(pages: DataFrame, lists: bool = True) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sums: dict[tuple[str, int], list[int]] = {}
+            by_host: dict[str, dict] = defaultdict(dict)
             for host, page in ((h.as_py(), p.as_py()) for h, p in zip(b.column("host"), b.column("html"))):
-                digest = xxhash.xxh64_intdigest(page or "")
+                digest, sums = xxhash.xxh64_intdigest(page or ""), by_host[host]
+                hashes: dict[int, int] = {}
                 for token, (parent, kind, n, chars) in tokens(page, lists).items():
-                    h = xxhash.xxh64_intdigest(f"{digest} {n}")
-                    s = sums.setdefault((host, token), [parent, kind, 0, 0, 0, 0, 0])
-                    for i, v in enumerate((1, n, h & 0x7FFFFFFF, h >> 33, chars)):
-                        s[2 + i] += v
-            kept = [(k, v) for k, v in sums.items() if v[1] != WORD or sums.get((k[0], v[0]), v)[2:6] == v[2:6]]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in kept], pa.string()), pa.array([k[1] for k, _ in kept], pa.int64()), *(pa.array([v[i] for _, v in kept], pa.int64()) for i in range(7))], ["host", "token", "parent", "kind", *VECTOR, "chars"])
+                    if (h := hashes.get(n)) is None:
+                        h = hashes[n] = xxhash.xxh64_intdigest(f"{digest} {n}")
+                    if s := sums.get(token):
+                        s[2] += 1
+                        s[3] += n
+                        s[4] += h & 0x7FFFFFFF
+                        s[5] += h >> 33
+                        s[6] += chars
+                    else:
+                        sums[token] = [parent, kind, 1, n, h & 0x7FFFFFFF, h >> 33, chars]
+            kept = [(host, t if v[1] != WORD else Tokens.word(*t), v) for host, sums in by_host.items() for t, v in sums.items() if v[1] != WORD or sums[v[0]][2:6] == v[2:6]]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.int64()), *(pa.array([k[2][i] for k in kept], pa.int64()) for i in range(7))], ["host", "token", "parent", "kind", *VECTOR, "chars"])
 
     kinds = ", ".join(f"{c} bigint" for c in ("token", "parent", "kind", *VECTOR, "chars"))
     each = pages.mapInArrow(run, f"host string, {kinds}")
@@ -306,7 +316,8 @@ def main_text(pages: DataFrame, broadcast_bytes: int = 16 << 20, salts: int = 16
     kind = pages.schema["page_id"].dataType.simpleString()
     own = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
     known = own.filter("html <> ''").select("host", "html")
-    by_host = scratch(templates(known, token_vectors(known, lists), share=share), "templates")
+    vectors = scratch(token_vectors(known, lists), "token_vectors")  # else pages would be read as tokens for each use
+    by_host = scratch(templates(known, vectors, share=share), "templates")
     size = by_host.agg(F.sum(F.octet_length("host") + 8)).first()[0] or 0
     schema = f"page_id {kind}, url string, text string"
 
