@@ -28,7 +28,7 @@ FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdef
 #: Bits of a filter at most (16 MB), and for each phrase in it.
 FILTER_BITS, BITS_EACH = 1 << 27, 16
 #: Bytes of text that are counted at once, and words that a worker remembers by hash.
-CHUNK, REMEMBERED = 8 << 20, 1 << 17
+CHUNK, REMEMBERED = 4 << 20, 1 << 17
 COUNTS = "lang string, phrase string, n bigint"
 
 
@@ -110,13 +110,15 @@ def counted(docs: DataFrame, k: int, wanted: Callable[[str, list[np.ndarray]], n
 
     def chunk(lang: str, text: bytes, known: dict[bytes, int]) -> tuple[list[str], list[int]]:
         words = words_of(text)
-        if not words:
-            return [], []
-        number: dict[bytes, int] = {}
-        ids = np.array([-1 if w == b"\n" else number.setdefault(w, len(number)) for w in words], np.int64)
-        names = list(number)
+        names = list(dict.fromkeys(words))
+        number = dict(zip(names, range(len(names))))
+        ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        del words
+        if (end := number.get(b"\n")) is not None:
+            ids[ids == end] = -1
         if k == 1:
-            return [w.decode() for w in names], np.bincount(ids[ids >= 0], minlength=len(names)).tolist()
+            n = np.bincount(ids[ids >= 0], minlength=len(names)).tolist()
+            return [w.decode() for w, c in zip(names, n) if c], [c for c in n if c]
         hashes = np.empty(len(names), np.uint64)
         for i, w in enumerate(names):
             if (h := known.get(w)) is None:
