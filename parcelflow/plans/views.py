@@ -153,7 +153,7 @@ def with_views(sql: str) -> str:
     head = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
     if names:
         body = sql.strip()
-        sql = f"WITH RECURSIVE {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head}\n{body}"
+        sql = f"WITH {'RECURSIVE ' if 'USING KEY' in body else ''}{head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head}\n{body}"
     return re.sub(r"\{([a-z_]+)\}", r"\1", sql)
 
 
