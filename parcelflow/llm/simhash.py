@@ -182,25 +182,56 @@ def _within(pairs: DataFrame, fps: DataFrame, radius: int, bits: int) -> DataFra
     return pairs.join(a, "u").join(b, "v").filter(distance <= radius).select(*pairs.columns)
 
 
-def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int = 96, width: int = 24, rounds: int = 3, few: int = 16) -> DataFrame:
-    """fps (node, fp; distinct) -> (node, root) of the nodes that are linked to another one.
+def cross_links(rows: DataFrame, fps: DataFrame, radius: int, bits: int = 1024, block: int = 256) -> DataFrame:
+    """rows (key, node, root) -> (r, s): the roots of every two nodes that share a key, have different roots and differ in at most radius bits.
+
+    Nodes of a key are compared in blocks of about `block`, so pairs are never rows: a root with more nodes than that under a key has blocks of its own, which are not compared with one
+    another, and all smaller ones share blocks. A block of a key meets each other block of it once, in a task that holds the two."""
+    each = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = each.groupBy("key").agg(F.sum(F.when(F.col("n") <= block, F.col("n")).otherwise(0)).alias("mixed"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").drop("groups")
+    sized = rows.join(each.join(mixed, "key"), ["key", "root"])
+    own = F.col("n") > block
+    dealt = sized.select("key", "node", "root", F.when(own, F.col("root")).alias("own"), F.pmod(F.xxhash64("node"), F.ceil(F.when(own, F.col("n")).otherwise(F.col("mixed")) / block)).alias("part"))
+    held = scratch(dealt.join(fps.select("node", "fp"), "node").groupBy("key", "own", "part").agg(F.collect_list(F.struct("root", "fp")).alias("held")), "blocks")
+    left, right = (held.select("key", *[F.col(k).alias(f"{side}_{k}") for k in ("own", "part", "held")]) for side in ("a", "b"))
+    order = F.struct(F.coalesce("a_own", F.lit(0)), F.col("a_own").isNull(), "a_part") <= F.struct(F.coalesce("b_own", F.lit(0)), F.col("b_own").isNull(), "b_part")
+    met = left.join(right, "key").filter(order & F.coalesce(F.col("a_own") != F.col("b_own"), F.lit(True)))
+
+    def unpacked(column) -> tuple[np.ndarray, np.ndarray]:
+        found = column.flatten()
+        return found.field("root").to_numpy(zero_copy_only=False), found.field("fp").flatten().to_numpy().view("<u8").reshape(-1, bits // 64)
 
-    Nodes that share a segment are candidates, and whole distances decide. First each node meets the smallest node of each of its buckets. Then the rows of a bucket are
-    aggregated to one for each group in it, before anything is joined, and where a bucket of more than `few` nodes holds several groups, one node of each, chosen by a hash of the
-    round, meets the bucket's first one. At last all nodes of different groups meet in buckets of at most `few` nodes. So a crowd of thousands of near copies costs a row for each member and bucket
-    once and a row for each group and bucket in each round, never pairs.
+    def run(batches):
+        for b in batches:
+            links = set()
+            for i in range(b.num_rows):
+                (r, x), (s, y) = unpacked(b.column("a").slice(i, 1)), unpacked(b.column("b").slice(i, 1))
+                distance = np.zeros((len(x), len(y)), np.uint16)
+                for k in range(bits // 64):
+                    distance += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+                u, v = np.nonzero((distance <= radius) & (r[:, None] != s[None]))
+                links.update(zip(np.minimum(r[u], s[v]).tolist(), np.maximum(r[u], s[v]).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["r", "s"])
+
+    return met.select(F.col("a_held").alias("a"), F.col("b_held").alias("b")).mapInArrow(run, "r bigint, s bigint").distinct()
+
+
+def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int = 96, width: int = 24, rounds: int = 1, block: int = 256) -> DataFrame:
+    """fps (node, fp; distinct) -> (node, root): the components of all links of at most radius bits between nodes that share a segment; nodes without a link are left out.
 
-    A link between two groups is missed only where its ends share none but larger buckets and are not the nodes that meet there; the other members of both groups, and each
-    one's other buckets, are as many more chances."""
+    First each node meets the smallest node of each of its buckets. Then, in each round, the rows of a bucket are aggregated to one for each group in it, before anything is joined, and one node
+    of each group, chosen by a hash of the round, meets the bucket's first one. So a crowd of thousands of near copies becomes one group for a row a member and bucket. The rounds
+    decide nothing: at last all nodes that share a bucket and are still in different groups are compared, in blocks (cross_links)."""
     keys = scratch(segment_keys(fps, bits, segments, width), "segments")
     buckets = keys.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = scratch(keys.join(buckets, "key"), "buckets")
     asked = met.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
     roots = scratch(components(_within(asked, fps, radius, bits)), "roots")
+    more = met.filter("members > 2").select("key", "node")  # a pair has met
 
-    def joined(asked: DataFrame, name: str) -> DataFrame | None:
-        """The roots after the links among asked (u, v, their roots r, s), or None where there are none. Only the linked groups' roots go through components."""
-        links = scratch(_within(asked, fps, radius, bits), f"links_{name}")
+    def joined(links: DataFrame, name: str) -> DataFrame | None:
+        """The roots after links (r, s) between roots, or None where there are none. Only the linked groups' roots go through components."""
+        links = scratch(links, f"links_{name}")
         if links.isEmpty():
             return None
         merged = components(links.select(F.col("r").alias("u"), F.col("s").alias("v"))).select(F.col("node").alias("old"), F.col("root").alias("new"))
@@ -209,31 +240,26 @@ def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int
         alone = merged.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
         return scratch(moved.unionByName(alone), f"roots_{name}")
 
-    def rooted(rows: DataFrame, by: str) -> DataFrame:
-        """rows with the root, as it is now, of the node in column by."""
-        now = roots.select(F.col("node").alias(by), F.col("root").alias("now"))
-        return rows.join(now, by, "left").withColumn("root", F.coalesce("now", by)).drop("now")
+    def several(rows: DataFrame, name: str) -> DataFrame:
+        """rows (key, node) with the root, as it is now, of the node, where the key has several roots."""
+        now = roots.select("node", "root")
+        rooted = scratch(rows.join(now, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), f"rooted_{name}")
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+        return scratch(rooted.join(mixed, "key", "left_semi"), f"several_{name}")
 
-    # Of the larger buckets, one row for each bucket and group, with a node for each round.
-    order = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("order"), "node")).alias(f"one_{i}") for i in range(1, rounds + 1)]
-    crowd = rooted(met.filter(F.col("members") > few).select("key", "node"), "node").groupBy("key", "root").agg(*order)
     for i in range(1, rounds + 1):
-        left = [f"one_{k}" for k in range(i, rounds + 1)]
-        crowd = scratch(crowd, f"round_{i}")
-        first = crowd.groupBy("key").agg(F.min(F.struct(f"one_{i}", "root")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "first")
-        crowd = scratch(crowd.join(first, "key"), f"several_{i}")
-        u, v = F.col(f"first.one_{i}.node"), F.col(f"one_{i}.node")
-        more = joined(crowd.filter(u != v).select(u.alias("u"), v.alias("v"), F.col("first.root").alias("r"), F.col("root").alias("s")).distinct(), str(i))
-        if more is None:
+        rows = several(more, str(i))
+        more = rows.select("key", "node")
+        one = rows.groupBy("key", "root").agg(F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("order"), "node")).alias("one"))
+        first = one.groupBy("key").agg(F.min(F.struct("one", "root")).alias("first"))
+        u, v = F.col("first.one.node"), F.col("one.node")
+        asked = one.join(first, "key").filter(u != v).select(u.alias("u"), v.alias("v"), F.col("first.root").alias("r"), F.col("root").alias("s")).distinct()
+        found = joined(_within(asked, fps, radius, bits), str(i))
+        if found is None:
             break
-        roots = more
-        crowd = rooted(crowd.select("key", "root", *left), "root").groupBy("key", "root").agg(*[F.min(k).alias(k) for k in left])
-    small = rooted(met.filter(F.col("members").between(3, few)).select("key", "node"), "node")
-    several = small.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    small = scratch(small.join(several, "key", "left_semi"), "small")
-    a, b = small.select("key", F.col("node").alias("u"), F.col("root").alias("r")), small.select("key", F.col("node").alias("v"), F.col("root").alias("s"))
-    more = joined(a.join(b, "key").filter("r < s").select("u", "v", "r", "s").distinct(), "small")
-    return roots if more is None else more
+        roots = found
+    found = joined(cross_links(several(more, "last"), fps, radius, bits, block), "last")
+    return roots if found is None else found
 
 
 def like_groups(docs: DataFrame, words: int = 5, likeness: float = 0.8, bits: int = 1024, segments: int = 96, width: int = 24) -> DataFrame:

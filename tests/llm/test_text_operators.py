@@ -366,12 +366,28 @@ def test_likeness_roots_lose_no_link_of_a_segment(spark):
                     x, y = sorted((find(a), find(b)))
                     parent[y] = x
     want = {n: find(n) for n in bits}
-    got = {r.node: r.root for r in simhash.likeness_roots(fps, 90, segments=12, width=16, few=1000).collect()}
-    assert {n: got.get(n, n) for n in bits} == want and len(set(want.values())) > 40
-    # With few pairs in small buckets only, groups may fall apart but never mix, and hardly do.
-    some = {r.node: r.root for r in simhash.likeness_roots(fps, 90, segments=12, width=16, few=4).collect()}
-    apart = {(some.get(n, n), want[n]) for n in bits}
-    assert len({a for a, _ in apart}) == len(apart) <= len(set(want.values())) + 5
+    for rounds, block in ((1, 256), (0, 8)):
+        got = {r.node: r.root for r in simhash.likeness_roots(fps, 90, segments=12, width=16, rounds=rounds, block=block).collect()}
+        assert {n: got.get(n, n) for n in bits} == want and len(set(want.values())) > 40
+
+
+def test_cross_links_equal_all_pairs_of_a_bucket(spark):
+    """One group much larger than a block, small ones that share blocks, a key of one group and a node under several keys."""
+    rng = np.random.default_rng(4)
+    center = rng.integers(0, 2, 1024)
+    flipped = [np.where(rng.random(1024) < share, 1 - center, center) for share in [0.04] * 60 + [0.1] * 25 + [0.5] * 5]
+    fps = [(i, np.packbits(x.astype(np.uint8)).view("<i8").tolist()) for i, x in enumerate(flipped)]
+    rows = [(1, i, 0 if i < 60 else i - i % 3) for i in range(90)] + [(2, i, 0 if i < 60 else i - i % 3) for i in range(0, 90, 4)] + [(3, i, 0) for i in range(10)]
+    root = {(k, n): r for k, n, r in rows}
+    want = set()
+    for k, a in root:
+        for l, b in root:
+            if k == l and root[k, a] < root[l, b] and int((flipped[a] != flipped[b]).sum()) <= 130:
+                want.add((root[k, a], root[l, b]))
+    table, prints = spark.createDataFrame(rows, "key bigint, node bigint, root bigint"), spark.createDataFrame(fps, "node bigint, fp array<bigint>")
+    for block in (4, 16, 256):
+        assert sorted(map(tuple, simhash.cross_links(table, prints, 130, block=block).collect())) == sorted(want)
+    assert want and simhash.cross_links(table.limit(0), prints, 130).count() == 0
 
 
 def test_keep_one_of_near_copies(spark):
