@@ -46,7 +46,8 @@ def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, fp long): one row for each row, whole texts."""
+    """docs (doc_id, text, ...) -> (doc_id, fp long): one row for each row, repeated or not, whole texts. Null and empty texts give zero, null ids stay null,
+    extra columns are ignored, an empty table gives no rows."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
 
@@ -69,7 +70,8 @@ def _ball(masks, segment: int, part):
 
 
 def links(fps: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
-    """fps (fp long, distinct) -> (u, v) for every two that differ in at most radius bits."""
+    """fps (fp long, distinct, not null) -> (u, v), u < v, for every two that differ in at most radius bits; a pair that meets in several segments
+    comes several times. Extra columns are ignored; an empty table gives no rows."""
     width = 64 // segments
     table, probe = [], []
     for i, r in enumerate(split_radius(radius, segments)):
@@ -137,7 +139,8 @@ def wide_simhash(text: str | None, words: int = 5, bits: int = 1024) -> bytes:
 
 
 def wide_fingerprints(docs: DataFrame, words: int = 5, bits: int = 1024) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, fp: 64 bits in each long, node: a hash of fp): one row for each row, whole texts."""
+    """docs (doc_id, text, ...) -> (doc_id, fp: 64 bits in each long, node: a hash of fp): one row for each row, repeated or not, whole texts. Null and empty texts
+    give zeros, null ids stay null, extra columns are ignored, an empty table gives no rows."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
 
