@@ -10,12 +10,13 @@ Only distinct fingerprints enter the search: thousands of copies are one entry,
 
 keep_one() drops near copies by Jaccard likeness of five-word shingles. 64 bits are too few to tell 0.8 from less, so its fingerprints are long and cut into many
 segments, each a choice of bits, with balls of radius zero: at 0.8, where every bit differs with a chance of 0.15, a ball of radius one costs 24 more rows a
-segment for what five more segments give.
+segment for what five more segments give. Distances far from the one of the wanted likeness decide; between, the sets of shingles are compared.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -139,8 +140,8 @@ def wide_simhash(text: str | None, words: int = 5, bits: int = 1024) -> bytes:
 
 
 def wide_fingerprints(docs: DataFrame, words: int = 5, bits: int = 1024) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, fp: 64 bits in each long, node: a hash of fp): one row for each row, repeated or not, whole texts. Null and empty texts
-    give zeros, null ids stay null, extra columns are ignored, an empty table gives no rows."""
+    """docs (doc_id, text, ...) -> (doc_id, text_hash, fp: 64 bits in each long, node: a hash of fp): one row for each row, repeated or not, whole texts. Null and empty
+    texts give zeros, null ids stay null, extra columns are ignored, an empty table gives no rows."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
 
@@ -148,18 +149,46 @@ def wide_fingerprints(docs: DataFrame, words: int = 5, bits: int = 1024) -> Data
         for b in batches:
             flat = np.frombuffer(b"".join(wide_simhash(t, words, bits) for t in b.column("text").to_pylist()), "<i8")
             fps = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * (bits // 64), flat)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), fps], ["doc_id", "text_hash", "fp"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, fp array<bigint>")
+    found = docs.select("doc_id", "text", _text_hash()).mapInArrow(run, f"doc_id {kind.simpleString()}, text_hash bigint, fp array<bigint>")
     return found.withColumn("node", F.xxhash64("fp"))
 
 
+def _text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = 5) -> DataFrame:
+    """docs (text, ...) and wanted (node, text_hash; distinct) -> (node, hashes: the text's distinct shingle hashes, ascending). Null and empty texts have no hashes; copies give one
+    row; texts that aren't wanted are read but not cut up. Extra columns are ignored; empty tables give no rows."""
+    small_batches(docs.sparkSession)
+    wanted = scratch(wanted.select("node", F.col("text_hash").alias("wanted_hash")), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    asked = docs.select("text", _text_hash()).join(wanted, F.col("text_hash") == F.col("wanted_hash")).select("node", "text")
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_hashes(t, words).view("<i8") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    return scratch(asked.mapInArrow(run, "node bigint, hashes array<bigint>").dropDuplicates(["node"]), "sets")
+
+
 def most_bits(likeness: float, bits: int) -> int:
     """How many bits two sets of one size and this Jaccard likeness differ in, on average: the angle between them over pi."""
     return round(bits * math.acos(2 * likeness / (1 + likeness)) / math.pi)
 
 
-def segment_keys(fps: DataFrame, bits: int = 1024, segments: int = 96, width: int = 24, seed: int = 5) -> DataFrame:
+def unsure_bits(likeness: float, bits: int, errors: float = 3.0) -> tuple[int, int]:
+    """(surely near, surely far): distances at so many standard errors below and above the one of this likeness."""
+    chance = most_bits(likeness, bits) / bits
+    error = math.sqrt(bits * chance * (1 - chance))
+    return round(bits * chance - errors * error), round(bits * chance + errors * error)
+
+
+def segment_keys(fps: DataFrame, bits: int = 1024, segments: int = 128, width: int = 24, seed: int = 5) -> DataFrame:
     """fps (node, fp) -> (node, key long): one row for each segment, a fixed choice of width bits; the key tells the segment and its bits."""
     rng = np.random.default_rng(seed)
     chosen = np.stack([rng.choice(bits, width, replace=False) for _ in range(segments)])
@@ -185,46 +214,123 @@ def _within(pairs: DataFrame, fps: DataFrame, radius: int, bits: int) -> DataFra
     return pairs.join(a, "u").join(b, "v").filter(distance <= radius).select(*pairs.columns)
 
 
-def cross_links(rows: DataFrame, fps: DataFrame, radius: int, bits: int = 1024, block: int = 256) -> DataFrame:
-    """rows (key, node, root) -> (r, s): the roots of every two nodes that share a key, have different roots and differ in at most radius bits.
+def _met_blocks(rows: DataFrame, held: DataFrame, block: int) -> DataFrame:
+    """rows (key, node, root) and held (node, weight, what: a struct) -> (key, a, b: lists of (node, root, what)): blocks of a key that are to be compared.
 
-    Nodes of a key are compared in blocks of about `block`, so pairs are never rows: a root with more nodes than that under a key has blocks of its own, which are not compared with one
+    Nodes of a key lie in blocks of about `block` by weight, so pairs are never rows: a root with more than that under a key has blocks of its own, which are not compared with one
     another, and all smaller ones share blocks. A block of a key meets each other block of it once, in a task that holds the two."""
-    each = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(held.select("node", "weight"), "node")
+    each = rows.groupBy("key", "root").agg(F.sum("weight").alias("n"))
     mixed = each.groupBy("key").agg(F.sum(F.when(F.col("n") <= block, F.col("n")).otherwise(0)).alias("mixed"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").drop("groups")
     sized = rows.join(each.join(mixed, "key"), ["key", "root"])
     own = F.col("n") > block
     dealt = sized.select("key", "node", "root", F.when(own, F.col("root")).alias("own"), F.pmod(F.xxhash64("node"), F.ceil(F.when(own, F.col("n")).otherwise(F.col("mixed")) / block)).alias("part"))
-    held = scratch(dealt.join(fps.select("node", "fp"), "node").groupBy("key", "own", "part").agg(F.collect_list(F.struct("root", "fp")).alias("held")), "blocks")
+    held = scratch(dealt.join(held.select("node", "what"), "node").groupBy("key", "own", "part").agg(F.collect_list(F.struct("node", "root", "what")).alias("held")), "blocks")
     left, right = (held.select("key", *[F.col(k).alias(f"{side}_{k}") for k in ("own", "part", "held")]) for side in ("a", "b"))
     order = F.struct(F.coalesce("a_own", F.lit(0)), F.col("a_own").isNull(), "a_part") <= F.struct(F.coalesce("b_own", F.lit(0)), F.col("b_own").isNull(), "b_part")
     met = left.join(right, "key").filter(order & F.coalesce(F.col("a_own") != F.col("b_own"), F.lit(True)))
+    return met.select("key", F.col("a_held").alias("a"), F.col("b_held").alias("b"))
+
+
+def _side(column, i: int, bits: int):
+    """(nodes, roots, fingerprints, what) of the i-th block of a column."""
+    found = column.slice(i, 1).flatten()
+    what = found.field("what")
+    return found.field("node").to_numpy(zero_copy_only=False), found.field("root").to_numpy(zero_copy_only=False), what.field("fp").flatten().to_numpy().view("<u8").reshape(-1, bits // 64), what
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), len(y)), np.uint16)
+    for k in range(x.shape[1]):
+        out += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+    return out
+
+
+def _longs(rows, *names: str) -> pa.RecordBatch:
+    rows = list(rows)
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(len(names))], list(names))
 
-    def unpacked(column) -> tuple[np.ndarray, np.ndarray]:
-        found = column.flatten()
-        return found.field("root").to_numpy(zero_copy_only=False), found.field("fp").flatten().to_numpy().view("<u8").reshape(-1, bits // 64)
+
+def _prints(fps: DataFrame) -> DataFrame:
+    return fps.select("node", F.lit(1).alias("weight"), F.struct("fp").alias("what"))
+
+
+def cross_links(rows: DataFrame, fps: DataFrame, radius: int, bits: int = 1024, block: int = 256) -> DataFrame:
+    """rows (key, node, root) -> (r, s): the roots of every two nodes that share a key, have different roots and differ in at most radius bits. No rows give none."""
 
     def run(batches):
         for b in batches:
             links = set()
             for i in range(b.num_rows):
-                (r, x), (s, y) = unpacked(b.column("a").slice(i, 1)), unpacked(b.column("b").slice(i, 1))
-                distance = np.zeros((len(x), len(y)), np.uint16)
-                for k in range(bits // 64):
-                    distance += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
-                u, v = np.nonzero((distance <= radius) & (r[:, None] != s[None]))
+                (_, r, x, _), (_, s, y, _) = _side(b.column("a"), i, bits), _side(b.column("b"), i, bits)
+                u, v = np.nonzero((_distances(x, y) <= radius) & (r[:, None] != s[None]))
                 links.update(zip(np.minimum(r[u], s[v]).tolist(), np.maximum(r[u], s[v]).tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["r", "s"])
+            yield _longs(links, "r", "s")
+
+    return _met_blocks(rows, _prints(fps), block).select("a", "b").mapInArrow(run, "r bigint, s bigint").distinct()
 
-    return met.select(F.col("a_held").alias("a"), F.col("b_held").alias("b")).mapInArrow(run, "r bigint, s bigint").distinct()
 
+def unsure_rows(rows: DataFrame, fps: DataFrame, low: int, high: int, bits: int = 1024, block: int = 256) -> DataFrame:
+    """The rows (key, node, root) of nodes that differ in more than low and at most high bits from another node of their key that has another root. No rows give none."""
+
+    def run(batches):
+        for b in batches:
+            found = set()
+            for i, key in enumerate(b.column("key").to_pylist()):
+                (m, r, x, _), (n, s, y, _) = _side(b.column("a"), i, bits), _side(b.column("b"), i, bits)
+                apart = _distances(x, y)
+                unsure = (apart > low) & (apart <= high) & (r[:, None] != s[None])
+                for nodes, roots, some in ((m, r, unsure.any(1)), (n, s, unsure.any(0))):
+                    found.update((key, *pair) for pair in zip(nodes[some].tolist(), roots[some].tolist()))
+            yield _longs(found, "key", "node", "root")
+
+    return _met_blocks(rows, _prints(fps), block).mapInArrow(run, "key bigint, node bigint, root bigint").distinct()
 
-def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int = 96, width: int = 24, rounds: int = 1, block: int = 256) -> DataFrame:
+
+def exact_links(rows: DataFrame, held: DataFrame, low: int, high: int, likeness: float, bits: int = 1024, block_bytes: int = 65536) -> DataFrame:
+    """rows (key, node, root) and held (node, fp, hashes) -> (r, s): roots that nodes of a Jaccard likeness of at least `likeness` link, of those that share a key and differ in more than
+    low and at most high bits. Of links within two blocks that follow from others of them, some are left out. A long text's block holds little else. No rows give none."""
+    what = held.select("node", (F.size("hashes") * 8 + bits // 8).alias("weight"), F.struct("fp", "hashes").alias("what"))
+
+    def run(batches):
+        for b in batches:
+            links, up = set(), {}
+
+            def top(x: int) -> int:
+                while up.get(x, x) != x:
+                    x = up[x]
+                return x
+
+            for i in range(b.num_rows):
+                (_, r, x, p), (_, s, y, q) = _side(b.column("a"), i, bits), _side(b.column("b"), i, bits)
+                apart = _distances(x, y)
+                u, v = np.nonzero((apart > low) & (apart <= high) & (r[:, None] != s[None]))
+                order = np.argsort(apart[u, v], kind="stable")  # the nearest first: what they link needs no more looking at
+                p, q = p.field("hashes"), q.field("hashes")
+                for j, k in zip(u[order].tolist(), v[order].tolist()):
+                    one, two = top(int(r[j])), top(int(s[k]))
+                    if one == two:
+                        continue
+                    a, c = p[j].values.to_numpy(), q[k].values.to_numpy()
+                    if min(len(a), len(c)) >= likeness * max(len(a), len(c)):
+                        both = np.intersect1d(a, c, assume_unique=True).size
+                        if both >= likeness * (len(a) + len(c) - both):
+                            up[max(one, two)] = min(one, two)
+                            links.add((min(int(r[j]), int(s[k])), max(int(r[j]), int(s[k]))))
+            yield _longs(links, "r", "s")
+
+    return _met_blocks(rows, what, block_bytes).select("a", "b").mapInArrow(run, "r bigint, s bigint").distinct()
+
+
+def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int = 128, width: int = 24, rounds: int = 1, block: int = 256, exact: tuple[int, float, Callable] | None = None) -> DataFrame:
     """fps (node, fp; distinct) -> (node, root): the components of all links of at most radius bits between nodes that share a segment; nodes without a link are left out.
 
     First each node meets the smallest node of each of its buckets. Then, in each round, the rows of a bucket are aggregated to one for each group in it, before anything is joined, and one node
     of each group, chosen by a hash of the round, meets the bucket's first one. So a crowd of thousands of near copies becomes one group for a row a member and bucket. The rounds
-    decide nothing: at last all nodes that share a bucket and are still in different groups are compared, in blocks (cross_links)."""
+    decide nothing: at last all nodes that share a bucket and are still in different groups are compared, in blocks (cross_links).
+
+    exact: (high, likeness, sets). Then links are also those of up to `high` bits whose sets, sets(nodes) -> (node, hashes), are so alike; only nodes with such a distance to
+    a node of another group, in a bucket of both, have their sets read (unsure_rows, exact_links)."""
     keys = scratch(segment_keys(fps, bits, segments, width), "segments")
     buckets = keys.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = scratch(keys.join(buckets, "key"), "buckets")
@@ -262,18 +368,29 @@ def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int
             break
         roots = found
     found = joined(cross_links(several(more, "last"), fps, radius, bits, block), "last")
+    roots = roots if found is None else found
+    if exact is None:
+        return roots
+    high, likeness, sets = exact
+    unsure = scratch(unsure_rows(several(met.select("key", "node"), "unsure"), fps, radius, high, bits, block), "unsure")
+    if unsure.isEmpty():
+        return roots
+    held = fps.select("node", "fp").join(sets(unsure.select("node").distinct()), "node")
+    found = joined(exact_links(unsure, held, radius, high, likeness, bits), "exact")
     return roots if found is None else found
 
 
-def like_groups(docs: DataFrame, words: int = 5, likeness: float = 0.8, bits: int = 1024, segments: int = 96, width: int = 24) -> DataFrame:
-    """docs -> (doc_id, component_id): texts whose sets of word shingles have a Jaccard likeness of about `likeness` or more are linked; component_id is
+def like_groups(docs: DataFrame, words: int = 5, likeness: float = 0.8, bits: int = 1024, segments: int = 128, width: int = 24) -> DataFrame:
+    """docs -> (doc_id, component_id): texts whose sets of word shingles have a Jaccard likeness of `likeness` or more are linked; component_id is
     the smallest doc_id of the group (null last).
 
-    Likeness is read from the distance of long SimHash fingerprints, to about 0.02 with 1,024 bits. Null and empty texts are alike. Extra columns are ignored; an empty table
-    gives no rows."""
+    Pairs that share a segment of their long SimHash fingerprints meet. Distances three standard errors from that of `likeness` decide (unsure_bits); between, the sets are
+    compared. Null and empty texts are alike. Extra columns are ignored; an empty table gives no rows."""
     marked = scratch(wide_fingerprints(docs, words, bits), "wide_simhash")
-    fps = scratch(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first_id")), "distinct_simhash")
-    roots = likeness_roots(fps, most_bits(likeness, bits), bits, segments, width)
+    fps = scratch(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first_id"), F.min("text_hash").alias("text_hash")), "distinct_simhash")
+    near, far = unsure_bits(likeness, bits)
+    sets = lambda nodes: shingle_sets(docs, fps.join(nodes, "node"), words)
+    roots = likeness_roots(fps, near, bits, segments, width, exact=(far, likeness, sets))
     rooted = fps.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return marked.select("doc_id", "node").join(rooted.join(low, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -390,6 +390,82 @@ def test_cross_links_equal_all_pairs_of_a_bucket(spark):
     assert want and simhash.cross_links(table.limit(0), prints, 130).count() == 0
 
 
+def reworded(text, share, seed):
+    """The text with that share of its words replaced by words of its own."""
+    rng = random.Random(seed)
+    return " ".join(f"r{rng.randrange(10**6)}" if rng.random() < share else w for w in text.split())
+
+
+def test_groups_equal_exact_likeness_of_all_pairs_of_a_bucket(spark):
+    """Copies from 0.6 to 0.95 alike: a pair that shares a segment is linked if surely near by its bits, or between the bounds and 0.8 alike by its sets."""
+    texts = [reworded(distinct_text(120, k), 0.005 * (i % 9), 100 * k + i) for k in range(3) for i in range(40)] + [distinct_text(120, 70 + k) for k in range(10)]
+    docs = documents(spark, texts)
+    marked = {r.node: r for r in simhash.wide_fingerprints(docs).collect()}
+    near, far = simhash.unsure_bits(0.8, 1024)
+    bits, sets = {n: np.unpackbits(np.array(r.fp, "<i8").view(np.uint8)) for n, r in marked.items()}, {n: shingle_set(texts[r.doc_id]) for n, r in marked.items()}
+    fps = simhash.wide_fingerprints(docs).groupBy("node").agg(F.first("fp").alias("fp"), F.min("text_hash").alias("text_hash")).cache()
+    keys = {}
+    for r in simhash.segment_keys(fps, segments=24, width=12).collect():
+        keys.setdefault(r.key, []).append(r.node)
+    parent, unsure = {n: n for n in bits}, set()
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in {(max(a, b), min(a, b)) for bucket in keys.values() for i, a in enumerate(bucket) for b in bucket[:i]}:
+        apart = int((bits[a] != bits[b]).sum())
+        if apart <= near or (apart <= far and jaccard(sets[a], sets[b]) >= 0.8):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+        if near < apart <= far:
+            unsure.add(jaccard(sets[a], sets[b]) >= 0.8)
+    want = {n: find(n) for n in bits}
+    assert unsure == {True, False} and 13 < len(set(want.values())) < len(want) - 20
+    asked = lambda nodes: simhash.shingle_sets(docs, fps.join(nodes, "node"))
+    for block in (256, 8):
+        got = {r.node: r.root for r in simhash.likeness_roots(fps, near, segments=24, width=12, block=block, exact=(far, 0.8, asked)).collect()}
+        assert {n: got.get(n, n) for n in bits} == want
+
+
+def test_exact_links_and_unsure_rows(spark):
+    """Blocks of every size give the same groups as all pairs; unsure rows are those with a partner between the bounds; no rows give none."""
+    rng = np.random.default_rng(6)
+    center = rng.integers(0, 2, 1024)
+    flipped = [np.where(rng.random(1024) < share, 1 - center, center) for share in [0.05] * 30 + [0.09] * 20 + [0.5] * 4]
+    hashes = [sorted(rng.choice(60, 40 + i % 20, replace=False).tolist()) for i in range(len(flipped))]
+    held = spark.createDataFrame([(i, np.packbits(x.astype(np.uint8)).view("<i8").tolist(), h) for i, (x, h) in enumerate(zip(flipped, hashes))], "node bigint, fp array<bigint>, hashes array<bigint>")
+    rows = [(k, i, 0 if i < 20 else i - i % 2) for k in (1, 2) for i in range(0, 54, k)]
+    table, root = spark.createDataFrame(rows, "key bigint, node bigint, root bigint"), {(k, n): r for k, n, r in rows}
+    pairs = [(k, a, b) for k, a in root for l, b in root if k == l and root[k, a] != root[l, b] and 110 < int((flipped[a] != flipped[b]).sum()) <= 160]
+    want_rows = sorted({(k, n, root[k, n]) for k, a, b in pairs for n in (a, b)})
+    want = {(root[k, a], root[k, b]) for k, a, b in pairs if jaccard(set(hashes[a]), set(hashes[b])) >= 0.7}
+
+    def groups(links):
+        parent = {r: r for r in root.values()}
+        find = lambda x: x if parent[x] == x else find(parent[x])
+        for a, b in links:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+        return {r: find(r) for r in parent}
+
+    for block in (4, 256):
+        assert sorted(map(tuple, simhash.unsure_rows(table, held, 110, 160, block=block).collect())) == want_rows
+    for block_bytes in (600, 65536):
+        got = {tuple(r) for r in simhash.exact_links(table, held, 110, 160, 0.7, block_bytes=block_bytes).collect()}
+        assert got <= {(min(p), max(p)) for p in want} and groups(got) == groups(want)
+    assert 0 < len(want) and simhash.exact_links(table.limit(0), held, 110, 160, 0.7).count() == 0 and simhash.unsure_rows(table.limit(0), held, 110, 160).count() == 0
+
+
+def test_shingle_sets(spark):
+    texts = ["a b c d e f", "a b c d e f", None, "", "not wanted " * 9, "A b"]
+    marked = simhash.wide_fingerprints(documents(spark, texts)).groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("doc_id"))
+    got = {r.node: r.hashes for r in simhash.shingle_sets(documents(spark, texts), marked.filter("doc_id <> 4")).collect()}
+    assert got == {r.node: simhash.shingle_hashes(texts[r.doc_id]).view("<i8").tolist() for r in marked.collect() if r.doc_id != 4} and len(got) == 3
+    assert simhash.shingle_sets(documents(spark, texts).limit(0), marked).count() == 0
+
+
 def test_keep_one_of_near_copies(spark):
     texts = near_copies(150, distinct_text(300, 3), 3) + [distinct_text(300, 50 + i) for i in range(20)] + near_copies(5, distinct_text(80, 7), 7) + ["Lone short text", "lone SHORT text", None, ""]
     docs = documents(spark, texts)
