@@ -206,12 +206,12 @@ def segment_keys(fps: DataFrame, bits: int = 1024, segments: int = 128, width: i
 
 
 def _within(pairs: DataFrame, fps: DataFrame, radius: int, bits: int) -> DataFrame:
-    """The pairs (u, v, ...) whose whole fingerprints differ in at most radius bits."""
+    """The pairs (u, v, ...) whose whole fingerprints differ in at most radius bits, with the number of these (apart)."""
     a, b = (fps.select(F.col("node").alias(x), F.col("fp").alias(f"{x}_fp")) for x in ("u", "v"))
     distance = F.lit(0)
     for i in range(bits // 64):
         distance = distance + F.bit_count(F.col("u_fp")[i].bitwiseXOR(F.col("v_fp")[i]))
-    return pairs.join(a, "u").join(b, "v").filter(distance <= radius).select(*pairs.columns)
+    return pairs.join(a, "u").join(b, "v").withColumn("apart", distance).filter(F.col("apart") <= radius).select(*pairs.columns, "apart")
 
 
 def _met_blocks(rows: DataFrame, held: DataFrame, block: int) -> DataFrame:
@@ -246,45 +246,30 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _longs(rows, *names: str) -> pa.RecordBatch:
+def _columns(rows, **kinds: pa.DataType) -> pa.RecordBatch:
     rows = list(rows)
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(len(names))], list(names))
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds.values())], list(kinds))
 
 
-def _prints(fps: DataFrame) -> DataFrame:
-    return fps.select("node", F.lit(1).alias("weight"), F.struct("fp").alias("what"))
-
-
-def cross_links(rows: DataFrame, fps: DataFrame, radius: int, bits: int = 1024, block: int = 256) -> DataFrame:
-    """rows (key, node, root) -> (r, s): the roots of every two nodes that share a key, have different roots and differ in at most radius bits. No rows give none."""
-
-    def run(batches):
-        for b in batches:
-            links = set()
-            for i in range(b.num_rows):
-                (_, r, x, _), (_, s, y, _) = _side(b.column("a"), i, bits), _side(b.column("b"), i, bits)
-                u, v = np.nonzero((_distances(x, y) <= radius) & (r[:, None] != s[None]))
-                links.update(zip(np.minimum(r[u], s[v]).tolist(), np.maximum(r[u], s[v]).tolist()))
-            yield _longs(links, "r", "s")
-
-    return _met_blocks(rows, _prints(fps), block).select("a", "b").mapInArrow(run, "r bigint, s bigint").distinct()
-
-
-def unsure_rows(rows: DataFrame, fps: DataFrame, low: int, high: int, bits: int = 1024, block: int = 256) -> DataFrame:
-    """The rows (key, node, root) of nodes that differ in more than low and at most high bits from another node of their key that has another root. No rows give none."""
+def compared(rows: DataFrame, fps: DataFrame, low: int, high: int, bits: int = 1024, block: int = 256) -> DataFrame:
+    """rows (key, node, root) -> (link, key, x, y), distinct. Of every two nodes that share a key and have different roots: a link of their roots (null, x < y) where they differ in
+    at most low bits, and for each of them an unsure row (key, its node, its root) where they differ in more, but at most high bits. No rows give none."""
+    prints = fps.select("node", F.lit(1).alias("weight"), F.struct("fp").alias("what"))
 
     def run(batches):
         for b in batches:
             found = set()
             for i, key in enumerate(b.column("key").to_pylist()):
                 (m, r, x, _), (n, s, y, _) = _side(b.column("a"), i, bits), _side(b.column("b"), i, bits)
-                apart = _distances(x, y)
-                unsure = (apart > low) & (apart <= high) & (r[:, None] != s[None])
+                apart, other = _distances(x, y), r[:, None] != s[None]
+                u, v = np.nonzero((apart <= low) & other)
+                found.update((True, None, *pair) for pair in zip(np.minimum(r[u], s[v]).tolist(), np.maximum(r[u], s[v]).tolist()))
+                unsure = (apart > low) & (apart <= high) & other
                 for nodes, roots, some in ((m, r, unsure.any(1)), (n, s, unsure.any(0))):
-                    found.update((key, *pair) for pair in zip(nodes[some].tolist(), roots[some].tolist()))
-            yield _longs(found, "key", "node", "root")
+                    found.update((False, key, *pair) for pair in zip(nodes[some].tolist(), roots[some].tolist()))
+            yield _columns(found, link=pa.bool_(), key=pa.int64(), x=pa.int64(), y=pa.int64())
 
-    return _met_blocks(rows, _prints(fps), block).mapInArrow(run, "key bigint, node bigint, root bigint").distinct()
+    return _met_blocks(rows, prints, block).mapInArrow(run, "link boolean, key bigint, x bigint, y bigint").distinct()
 
 
 def exact_links(rows: DataFrame, held: DataFrame, low: int, high: int, likeness: float, bits: int = 1024, block_bytes: int = 65536) -> DataFrame:
@@ -317,25 +302,27 @@ def exact_links(rows: DataFrame, held: DataFrame, low: int, high: int, likeness:
                         if both >= likeness * (len(a) + len(c) - both):
                             up[max(one, two)] = min(one, two)
                             links.add((min(int(r[j]), int(s[k])), max(int(r[j]), int(s[k]))))
-            yield _longs(links, "r", "s")
+            yield _columns(links, r=pa.int64(), s=pa.int64())
 
     return _met_blocks(rows, what, block_bytes).select("a", "b").mapInArrow(run, "r bigint, s bigint").distinct()
 
 
-def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int = 128, width: int = 24, rounds: int = 1, block: int = 256, exact: tuple[int, float, Callable] | None = None) -> DataFrame:
+def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int = 128, width: int = 24, rounds: int = 0, block: int = 256, exact: tuple[int, float, Callable] | None = None) -> DataFrame:
     """fps (node, fp; distinct) -> (node, root): the components of all links of at most radius bits between nodes that share a segment; nodes without a link are left out.
 
-    First each node meets the smallest node of each of its buckets. Then, in each round, the rows of a bucket are aggregated to one for each group in it, before anything is joined, and one node
-    of each group, chosen by a hash of the round, meets the bucket's first one. So a crowd of thousands of near copies becomes one group for a row a member and bucket. The rounds
-    decide nothing: at last all nodes that share a bucket and are still in different groups are compared, in blocks (cross_links).
+    First each node meets the smallest node of each of its buckets, so a crowd of thousands of near copies becomes a few groups for a row a member and bucket. In each round, the rows of a
+    bucket are aggregated to one for each group in it, and one node of each group, chosen by a hash of the round, meets the bucket's first one. The rounds decide nothing: at last all
+    nodes that share a bucket and are still in different groups are compared, in blocks (compared).
 
     exact: (high, likeness, sets). Then links are also those of up to `high` bits whose sets, sets(nodes) -> (node, hashes), are so alike; only nodes with such a distance to
-    a node of another group, in a bucket of both, have their sets read (unsure_rows, exact_links)."""
+    a node of another group, in a bucket of both, have their sets read (exact_links)."""
+    high = exact[0] if exact else radius
     keys = scratch(segment_keys(fps, bits, segments, width), "segments")
     buckets = keys.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = scratch(keys.join(buckets, "key"), "buckets")
-    asked = met.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-    roots = scratch(components(_within(asked, fps, radius, bits)), "roots")
+    asked = met.filter("node <> center").groupBy(F.col("center").alias("u"), F.col("node").alias("v")).agg((F.min("members") == 2).alias("alone"))
+    near = scratch(_within(asked, fps, high, bits), "near")
+    roots = scratch(components(near.filter(F.col("apart") <= radius)), "roots")
     more = met.filter("members > 2").select("key", "node")  # a pair has met
 
     def joined(links: DataFrame, name: str) -> DataFrame | None:
@@ -367,16 +354,19 @@ def likeness_roots(fps: DataFrame, radius: int, bits: int = 1024, segments: int
         if found is None:
             break
         roots = found
-    found = joined(cross_links(several(more, "last"), fps, radius, bits, block), "last")
+    last = scratch(compared(several(more, "last"), fps, radius, high, bits, block), "compared")
+    found = joined(last.filter("link").select(F.col("x").alias("r"), F.col("y").alias("s")), "last")
     roots = roots if found is None else found
     if exact is None:
         return roots
-    high, likeness, sets = exact
-    unsure = scratch(unsure_rows(several(met.select("key", "node"), "unsure"), fps, radius, high, bits, block), "unsure")
+    # A bucket of two is settled by its pair's distance; where that leaves it open, the pair is a key of its own.
+    pairs = near.filter((F.col("apart") > radius) & F.col("alone")).select(F.xxhash64("u", "v").alias("key"), F.explode(F.array("u", "v")).alias("node"))
+    unsure = last.filter("NOT link").select("key", F.col("x").alias("node")).unionByName(pairs).distinct()
+    unsure = scratch(unsure.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "unsure")
     if unsure.isEmpty():
         return roots
-    held = fps.select("node", "fp").join(sets(unsure.select("node").distinct()), "node")
-    found = joined(exact_links(unsure, held, radius, high, likeness, bits), "exact")
+    held = fps.select("node", "fp").join(exact[2](unsure.select("node").distinct()), "node")
+    found = joined(exact_links(unsure, held, radius, high, exact[1], bits), "exact")
     return roots if found is None else found
 
 

@@ -371,7 +371,7 @@ def test_likeness_roots_lose_no_link_of_a_segment(spark):
         assert {n: got.get(n, n) for n in bits} == want and len(set(want.values())) > 40
 
 
-def test_cross_links_equal_all_pairs_of_a_bucket(spark):
+def test_compared_links_equal_all_pairs_of_a_bucket(spark):
     """One group much larger than a block, small ones that share blocks, a key of one group and a node under several keys."""
     rng = np.random.default_rng(4)
     center = rng.integers(0, 2, 1024)
@@ -386,8 +386,8 @@ def test_cross_links_equal_all_pairs_of_a_bucket(spark):
                 want.add((root[k, a], root[l, b]))
     table, prints = spark.createDataFrame(rows, "key bigint, node bigint, root bigint"), spark.createDataFrame(fps, "node bigint, fp array<bigint>")
     for block in (4, 16, 256):
-        assert sorted(map(tuple, simhash.cross_links(table, prints, 130, block=block).collect())) == sorted(want)
-    assert want and simhash.cross_links(table.limit(0), prints, 130).count() == 0
+        assert sorted((r.x, r.y) for r in simhash.compared(table, prints, 130, 130, block=block).collect() if r.link) == sorted(want)
+    assert want and simhash.compared(table.limit(0), prints, 130, 130).count() == 0
 
 
 def reworded(text, share, seed):
@@ -451,11 +451,11 @@ def test_exact_links_and_unsure_rows(spark):
         return {r: find(r) for r in parent}
 
     for block in (4, 256):
-        assert sorted(map(tuple, simhash.unsure_rows(table, held, 110, 160, block=block).collect())) == want_rows
+        assert sorted((r.key, r.x, r.y) for r in simhash.compared(table, held, 110, 160, block=block).collect() if not r.link) == want_rows
     for block_bytes in (600, 65536):
         got = {tuple(r) for r in simhash.exact_links(table, held, 110, 160, 0.7, block_bytes=block_bytes).collect()}
         assert got <= {(min(p), max(p)) for p in want} and groups(got) == groups(want)
-    assert 0 < len(want) and simhash.exact_links(table.limit(0), held, 110, 160, 0.7).count() == 0 and simhash.unsure_rows(table.limit(0), held, 110, 160).count() == 0
+    assert 0 < len(want) and simhash.exact_links(table.limit(0), held, 110, 160, 0.7).count() == 0
 
 
 def test_shingle_sets(spark):
