@@ -188,21 +188,27 @@ def unsure_bits(likeness: float, bits: int, errors: float = 3.0) -> tuple[int, i
     return round(bits * chance - errors * error), round(bits * chance + errors * error)
 
 
-def segment_keys(fps: DataFrame, bits: int = 1024, segments: int = 128, width: int = 24, seed: int = 5) -> DataFrame:
-    """fps (node, fp) -> (node, key long): one row for each segment, a fixed choice of width bits; the key tells the segment and its bits."""
+#: Fingerprints in a task that writes their segments: each gives a row a segment, and the task that reads these back counts nearly as many keys in memory.
+SEGMENT_NODES = 4096
+
+
+def segment_keys(fps: DataFrame, bits: int = 1024, segments: int = 128, width: int = 24, seed: int = 5, nodes: int = SEGMENT_NODES) -> DataFrame:
+    """fps (node, fp) -> (node, key long): one row for each segment, a fixed choice of width bits; the key tells the segment and its bits. Partitions hold about `nodes`
+    fingerprints each, however few tasks fps has. No fingerprints give no rows."""
     rng = np.random.default_rng(seed)
     chosen = np.stack([rng.choice(bits, width, replace=False) for _ in range(segments)])
     weights, number = 1 << np.arange(width, dtype=np.int64), np.arange(segments, dtype=np.int64) << width
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
+            for i in range(0, b.num_rows, 250):
+                part = b.slice(i, 250)
                 set_bits = np.unpackbits(part.column("fp").flatten().to_numpy().view(np.uint8).reshape(part.num_rows, -1), axis=1)
                 keys = set_bits[:, chosen].astype(np.int64) @ weights + number
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), segments)), pa.array(keys.ravel())], ["node", "key"])
 
-    return fps.select("node", "fp").mapInArrow(run, "node bigint, key bigint")
+    dealt = fps.select("node", "fp").repartition(-(-fps.count() // nodes) or 1, "node")
+    return dealt.mapInArrow(run, "node bigint, key bigint")
 
 
 def _within(pairs: DataFrame, fps: DataFrame, radius: int, bits: int) -> DataFrame:
@@ -219,6 +225,7 @@ def _met_blocks(rows: DataFrame, held: DataFrame, block: int) -> DataFrame:
 
     Nodes of a key lie in blocks of about `block` by weight, so pairs are never rows: a root with more than that under a key has blocks of its own, which are not compared with one
     another, and all smaller ones share blocks. A block of a key meets each other block of it once, in a task that holds the two."""
+    small_batches(rows.sparkSession)
     rows = rows.join(held.select("node", "weight"), "node")
     each = rows.groupBy("key", "root").agg(F.sum("weight").alias("n"))
     mixed = each.groupBy("key").agg(F.sum(F.when(F.col("n") <= block, F.col("n")).otherwise(0)).alias("mixed"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").drop("groups")

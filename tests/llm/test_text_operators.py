@@ -371,6 +371,22 @@ def test_likeness_roots_lose_no_link_of_a_segment(spark):
         assert {n: got.get(n, n) for n in bits} == want and len(set(want.values())) > 40
 
 
+def test_segments_are_written_in_small_partitions(spark):
+    """However few tasks hold the fingerprints, a task writes the segments of some thousands; and each node still has a row for each segment."""
+    fps = spark.range(12_000).coalesce(1).select(F.col("id").alias("node"), F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.xxhash64("id", i)).alias("fp"))
+    keys = simhash.segment_keys(fps, segments=3)
+    sizes = [r["count"] for r in keys.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 36_000 == keys.distinct().count() and max(sizes) < 1.5 * 3 * 4096
+    assert simhash.segment_keys(fps.limit(0)).count() == 0
+
+
+def test_arrow_batches_are_small_in_bytes(spark):
+    common.small_batches(spark)
+    rows = spark.range(40).coalesce(1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    sizes = [r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint").collect()]
+    assert sum(sizes) == 40 and max(sizes) <= 9
+
+
 def test_compared_links_equal_all_pairs_of_a_bucket(spark):
     """One group much larger than a block, small ones that share blocks, a key of one group and a node under several keys."""
     rng = np.random.default_rng(4)
