@@ -40,6 +40,13 @@ def listing_agents(listings: DataFrame) -> DataFrame:
     return each.filter("name <> ''").groupBy("name", "company").agg(F.min_by("phone", F.when(F.col("phone").isNotNull(), F.struct("pos", "phone"))).alias("phone"))
 
 
+def upload_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Any CSV with a header: each row as a map of its texts, numbered in file order. The number comes from the file's own order, so the file is read as one split: uploads are small files, many of them in parallel."""
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    pairs = [x for n in df.columns for x in (F.lit(n), F.col(f"`{n}`"))]
+    return df.select(F.create_map(*pairs).alias("raw"), (F.monotonically_increasing_id() + 1).alias("row_num"))
+
+
 def csv_cells(spark: SparkSession, path: str, most: int = 64) -> DataFrame:
     """CSV files, each with a header row of its own, as (file, row_num, is_header, values): up to `most` columns, rows numbered in the order of the file. A file is read as
     one split, since only so its quoted line breaks and its first row are sure: uploads are small files, many of them in parallel."""
