@@ -43,8 +43,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every row; no ids for an empty text."""
-    return bpe.encode_decode(docs, public_tokenizers.path(BYTE_BPE))
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every row; no ids for an empty text. Workers go on to other stages, so they remember less and keep no tables."""
+    return bpe.encode_decode(docs, public_tokenizers.path(BYTE_BPE), keep=False, remember=50_000, pairs=60_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", good), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]

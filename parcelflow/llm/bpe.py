@@ -164,25 +164,31 @@ class BacktrackingBPE:
 
 
 @cache
-def tokenizer(path: str) -> BacktrackingBPE:
-    return BacktrackingBPE(path)
+def tokenizer(path: str, **memory: int) -> BacktrackingBPE:
+    return BacktrackingBPE(path, **memory)
 
 
-def encode_decode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, ids: bool = True, keep: bool = True, **memory: int) -> DataFrame:
     """docs -> (doc_id, n_tokens, ids binary, ids_sha256, decoded_sha256): one row for each row; ids are unsigned 32-bit
-    little-endian, and null unless asked for. Null counts as the empty text, which has no ids. Extra columns are ignored; an empty table gives no rows."""
+    little-endian, and null unless asked for. Null counts as the empty text, which has no ids. Extra columns are ignored; an empty table gives no rows.
+
+    memory: how many pieces and pairs a worker remembers (remember, pairs of BacktrackingBPE). keep: whether a worker holds the tables for its next task."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
-        t = tokenizer(path)
-        for b in batches:
-            rows = []
-            for text in b.column("text").to_pylist():
-                got = t.encode(text or "")
-                rows.append((len(got) // 4, got if ids else None, hashlib.sha256(got).hexdigest(), hashlib.sha256(t.decode(got).encode()).hexdigest()))
-            columns = list(zip(*rows)) or [()] * 4
-            types = (pa.int64(), pa.binary(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, types))], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+        t = tokenizer(path, **memory)
+        try:
+            for b in batches:
+                rows = []
+                for text in b.column("text").to_pylist():
+                    got = t.encode(text or "")
+                    rows.append((len(got) // 4, got if ids else None, hashlib.sha256(got).hexdigest(), hashlib.sha256(t.decode(got).encode()).hexdigest()))
+                columns = list(zip(*rows)) or [()] * 4
+                types = (pa.int64(), pa.binary(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, types))], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+        finally:
+            if not keep:
+                tokenizer.cache_clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string")

@@ -874,6 +874,13 @@ def test_toxic_sample_is_the_same_however_dealt(spark):
     assert one.weights == other.weights and one.curve == pytest.approx(other.curve)
 
 
+def test_byte_bpe_with_little_memory(spark):
+    """What a worker remembers changes no result, nor whether it keeps the tables."""
+    docs, path = documents(spark, [*texts_like(8), *ODD]), public_tokenizers.path(queries.BYTE_BPE)
+    little = rows(bpe.encode_decode(docs, path, keep=False, remember=3, pairs=2))
+    assert sorted(little, key=str) == sorted(rows(bpe.encode_decode(docs, path)), key=str) and len(little) == docs.count()
+
+
 def test_very_long_texts(spark):
     """Texts of some MB through the operators that read whole texts."""
     texts = ["word river " * 400_000, "x" * 4_000_000, "idiot. " * 300_000, "short"]
