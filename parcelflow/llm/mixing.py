@@ -142,7 +142,8 @@ def mix(docs: DataFrame, block: int = 32, shard_slots: int = 4096, weights: tupl
     spans = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     held = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     spans = spans.select("doc_id", "source", "bin", "row", "block", held.alias("held")).alias("s")
-    t = times.alias("t")
+    # Sizes are estimated without what an explode adds, so adaptive execution would broadcast the blocks' times, a row a block, by way of the driver.
+    t = times.hint("merge").alias("t")
     met = spans.join(t, F.col("s.source").eqNullSafe(F.col("t.source")) & (F.col("s.block") == F.col("t.block")))
     taken = met.groupBy("s.source", "s.bin", "s.row").agg(F.sum(F.col("s.held") * F.col("t.times")).alias("taken"))
     p, k, z = placed.alias("p"), taken.alias("k"), aims.alias("z")
