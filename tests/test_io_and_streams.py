@@ -8,6 +8,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -161,6 +162,33 @@ def test_trigram_join_is_exact(spark):
         assert {(r.l_id, r.r_id) for r in similarity.trigram_join(left, right, least).collect()} == want
 
 
+def test_trigram_join_shuffles_no_pairs_before_they_are_compared(spark, monkeypatch):
+    """Pairs that only share a trigram stay in the task of that trigram (they were counted in a shuffle once); trigrams with many names are dealt over a grid, pairs are looked at in parts."""
+    rng = random.Random(12)
+    make = lambda: " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 3)))
+    names = [make() for _ in range(500)]
+    left = spark.createDataFrame(list(enumerate(names[:300])), "l_id int, name string")
+    right = spark.createDataFrame(list(enumerate(names[200:])), "r_id int, name string")
+    sets = [{w[i : i + 3] for w in (f"  {x} " for x in n.split()) for i in range(len(w) - 2)} for n in names]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    want = sorted((i, j, alike(a, b)) for i, a in enumerate(sets[:300]) for j, b in enumerate(sets[200:]) if alike(a, b) >= 0.4)
+    monkeypatch.setattr(similarity, "BLOCK", 40)
+    got = similarity.trigram_join(left, right, 0.4)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    # One trigram's cell, without Spark: pairs in parts, each name's together.
+    sets = [{w[i : i + 3] for w in (f"  {x} " for x in make().split()) for i in range(len(w) - 2)} for _ in range(2400)]
+    ranked = sorted({g for s in sets for g in s}, key=lambda g: (sum(g in s for s in sets), g))
+    codes, g = [sorted(ranked.index(g) for g in s) for s in sets], len(ranked) // 2
+    l, r = ([(k, x) for k, x in enumerate(part) if g in x] for part in (codes[:1200], codes[1200:]))  # noqa: E741
+    cell = lambda part: similarity._Names(np.array([k for k, _ in part]), np.concatenate([x for _, x in part]).astype(np.int64), np.array([len(x) for _, x in part]), g)
+    monkeypatch.setattr(similarity, "PAIRS", 50)
+    parts = list(similarity._paired(cell(l), cell(r), 0.4))
+    assert len(l) * len(r) > 4096 and len(parts) > 10 and max((len(i) for i, _ in parts if len(np.unique(i)) > 1), default=0) <= 50
+    found = [(int(i), int(j)) for a, b, _ in similarity._alike(cell(l), cell(r), 0.4) for i, j in zip(a, b)]
+    assert sorted(found) == [(i, j) for i, x in l for j, y in r if min(set(x) & set(y)) == g and alike(set(x), set(y)) >= 0.4] and len(found) > 20
+
+
 MERGE_ROW = "ord long, doc_id string, address_norm string, borough string, sale_price double, sale_date string, asset_type string, bldg_class string, units int, source_system string"
 
 
