@@ -189,6 +189,25 @@ def test_trigram_join_shuffles_no_pairs_before_they_are_compared(spark, monkeypa
     assert sorted(found) == [(i, j) for i, x in l for j, y in r if min(set(x) & set(y)) == g and alike(set(x), set(y)) >= 0.4] and len(found) > 20
 
 
+def test_priority_match_reduces_stored_rows_before_they_are_joined(spark):
+    """The smallest stored row of the first key that matches, nulls only in the last key; a key that many rows have on both sides makes no pairs."""
+    rng = random.Random(4)
+    pick = lambda: (rng.choice(["D1", "D2", None]), rng.choice([1, 2, 3, None]))
+    stored, batch = [(i, *pick()) for i in rng.sample(range(1000), 12)], [(i, *pick()) for i in range(60)] + [(60, "D9", 9)]
+    want = []
+    for o, d, p in batch:
+        met = [(r, i) for i, x, y in stored for r, same in ((0, d is not None and x == d), (1, y == p)) if same]
+        r, i = min(met, default=(None, None))
+        want.append((o, i, r))
+    s, b = spark.createDataFrame(stored, "id int, doc string, place int"), spark.createDataFrame(batch, "ord int, doc string, place int")
+    got = merge.match_by_priority(s, b, [["doc"], ["place"]], "id")
+    assert sorted(map(tuple, got.collect())) == want
+    many = spark.range(1, 20_001).selectExpr("id", "'D' AS doc", "CAST(id AS INT) AS place")
+    hot = merge.match_by_priority(many, many.withColumnRenamed("id", "ord"), [["doc"], ["place"]], "id")
+    assert hot._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3  # of each key's stored rows, and of the matches
+    assert hot.agg(F.count("*"), F.sum("matched"), F.sum("rule")).first() == (20_000, 20_000, 0)
+
+
 MERGE_ROW = "ord long, doc_id string, address_norm string, borough string, sale_price double, sale_date string, asset_type string, bldg_class string, units int, source_system string"
 
 
