@@ -181,11 +181,11 @@ def test_trigram_join_shuffles_no_pairs_before_they_are_compared(spark, monkeypa
     ranked = sorted({g for s in sets for g in s}, key=lambda g: (sum(g in s for s in sets), g))
     codes, g = [sorted(ranked.index(g) for g in s) for s in sets], len(ranked) // 2
     l, r = ([(k, x) for k, x in enumerate(part) if g in x] for part in (codes[:1200], codes[1200:]))  # noqa: E741
-    cell = lambda part: similarity._Names(np.array([k for k, _ in part]), np.concatenate([x for _, x in part]).astype(np.int64), np.array([len(x) for _, x in part]), g)
+    cell = lambda part: similarity._Names(np.array([k for k, _ in part]), np.zeros(len(part)), np.concatenate([x for _, x in part]).astype(np.int64), np.array([len(x) for _, x in part]), g)
     monkeypatch.setattr(similarity, "PAIRS", 50)
     parts = list(similarity._paired(cell(l), cell(r), 0.4))
-    assert len(l) * len(r) > 4096 and len(parts) > 10 and max((len(i) for i, _ in parts if len(np.unique(i)) > 1), default=0) <= 50
-    found = [(int(i), int(j)) for a, b, _ in similarity._alike(cell(l), cell(r), 0.4) for i, j in zip(a, b)]
+    assert len(l) * len(r) > 4096 and len(parts) > 10 and max((len(i) for i, _, _ in parts if len(np.unique(i)) > 1), default=0) <= 50
+    found = [(int(i), int(j)) for a, _, b, _ in similarity._alike(cell(l), cell(r), 0.4) for i, j in zip(a, b)]
     assert sorted(found) == [(i, j) for i, x in l for j, y in r if min(set(x) & set(y)) == g and alike(set(x), set(y)) >= 0.4] and len(found) > 20
 
 
@@ -208,6 +208,21 @@ def test_priority_match_reduces_stored_rows_before_they_are_joined(spark):
     assert hot.agg(F.count("*"), F.sum("matched"), F.sum("rule")).first() == (20_000, 20_000, 0)
 
 
+def test_scored_candidates_meet_their_history_once(spark, monkeypatch):
+    """A candidate with many places is one row with them (a row each was joined to the places once), with cases broadcast or not; two names of an entity count as one, ties go by display name."""
+    entities = spark.createDataFrame([("E1", "ABCDEFG", "z", False), ("E2", "ABCDEFG", "a", True), ("E3", "QQQQQQQ", "b", False)], "entity_id string, norm_name string, display_name string, is_spv_suspect boolean")
+    aliases = spark.createDataFrame([("E1", "ABCDEFX"), ("E3", "ABCDEFG")], "entity_id string, alias_norm string")
+    properties = spark.createDataFrame([(i, f"{i} large ring st") for i in range(1, 40)] + [(99, None)], "property_id int, address_norm string")
+    history = spark.createDataFrame([("E1", i, "Bronx", "Retail") for i in range(1, 40)] + [("E3", 99, None, None)], "entity_id string, property_id int, borough string, asset_type string")
+    asked = spark.createDataFrame([(1, "abcdefg", "12 large ring street", "Bronx", "RETAIL"), (2, "ABCDEFG", "9 cold bolt st", None, None), (3, None, "1 large ring st", "Bronx", None), (4, "zzz", None, None, None)], "id int, name string, address string, borough string, asset string")
+    want = [(1, "E3", 1.0, 1), (1, "E1", 1.0, 2), (1, "E2", 0.94, 3), (2, "E3", 1.0, 1), (2, "E1", 1.0, 2), (2, "E2", 0.94, 3)]
+    for most in (2_000_000, 0):
+        monkeypatch.setattr(similarity, "CASES", most)
+        got = similarity.resolve_scored(asked, entities, aliases, properties, history)
+        assert sorted(map(tuple, got.collect()), key=lambda r: (r[0], r[3])) == sorted(want, key=lambda r: (r[0], r[3])), most
+        assert "arrays_overlap" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 MERGE_ROW = "ord long, doc_id string, address_norm string, borough string, sale_price double, sale_date string, asset_type string, bldg_class string, units int, source_system string"
 
 
