@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import re
 import statistics
 import subprocess
 import sys
@@ -223,6 +224,22 @@ def test_scored_candidates_meet_their_history_once(spark, monkeypatch):
         assert "arrays_overlap" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_context_pairs_are_shuffled_once_by_property_and_once_by_id(spark, sf_dir):
+    """The distinct pairs of property and party stay where they meet the names, and those of name and firm where they are ranked (each was dealt out twice once)."""
+    from parcelflow.plans import registry
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.queries()["resolve_with_context"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert not any(re.search(r"hashpartitioning\((property_id#\d+L?, entity_id|id#\d+L?, entity_id)", line) for line in dealt), dealt
+    assert sum("REPARTITION_BY_COL" in line for line in dealt) >= 2
+
+
 MERGE_ROW = "ord long, doc_id string, address_norm string, borough string, sale_price double, sale_date string, asset_type string, bldg_class string, units int, source_system string"
 
 
